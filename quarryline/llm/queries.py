@@ -25,12 +25,30 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.digests(docs, path, encoding.build_lexicon(docs, path))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarryline.llm import warc
+
+    return warc.index(spark, warc.write_archives(read(spark, sf_dir, "pages", "page_id", "url", "html")))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarryline.llm import packing
 
     return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("byte_bpe_50k.json"), 1024, 0)
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarryline.llm import minhash
+
+    return minhash.near_components(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarryline.llm import embeddings
+
+    return embeddings.near_components(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 def op8_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarryline.llm import sstable
 

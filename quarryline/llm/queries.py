@@ -49,6 +49,12 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_components(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarryline.llm import suffixdedup
+
+    return suffixdedup.digests(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarryline.llm import sstable
 

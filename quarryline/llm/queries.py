@@ -55,6 +55,13 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.digests(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarryline.llm import toxicity
+
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels", "doc_id", "toxic")))
+
+
 def op8_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarryline.llm import sstable
 

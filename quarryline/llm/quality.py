@@ -2,7 +2,7 @@
 
 Every rule votes for quality (1), against it (-1) or abstains (0). Votes depend on the text alone. The numbers of
 documents by vote pattern (at most 3^rules rows, partial counts before the shuffle) are all that
-expectation-maximisation needs: it estimates each rule's accuracy and the share of good documents under
+expectation-maximisation needs: it estimates each rule's accuracies and the share of good documents under
 conditional independence, and a document is kept if its posterior probability of quality is at least ``KEEP``.
 The iterations run inside one SQL expression over the collected patterns, on one executor row.
 
@@ -16,11 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.llm.common import materialize
+
 WS = r"[\x20\x09-\x0D]"
 KEEP = 0.5
 ITERATIONS = 40
-#: Where the estimation starts: the share of good documents and every rule's accuracy.
-START_GOOD, START_ACCURACY = 0.8, 0.8
+#: Where the estimation starts: the share of good documents, every rule's accuracy on them and on the others.
+START_GOOD, START_ON_GOOD, START_ON_BAD = 0.85, 0.98, 0.4
 RULES = ["length", "word_length", "symbols", "dup_lines", "repeats", "distinct", "stops", "capitals"]
 
 
@@ -53,7 +55,7 @@ def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
         F.size("lines").alias("n_lines"), upper.alias("n_upper"), letters.alias("n_letters"),
         F.size(F.array_distinct("h")).alias("n_distinct"),
-        F.size(F.filter("words", lambda w: F.length(w) <= 3)).alias("n_short"),
+        F.size(F.filter("words", lambda w: (F.length(w) <= 3) & (F.lower(w) != F.upper(w)))).alias("n_short"),
     )
 
 
@@ -79,45 +81,46 @@ def votes(m: DataFrame) -> DataFrame:
 
 
 def estimate(v: DataFrame, iterations: int = ITERATIONS) -> list[float]:
-    """[share of good documents, accuracy of each rule], from the counts of vote patterns."""
+    """[share of good documents, per rule its accuracy on good ones, per rule its accuracy on bad ones], from the counts of vote patterns.
+
+    An accuracy is the share of right votes among those cast on documents of the class.
+    """
     names = [f"v_{r}" for r in RULES]
     m = len(names)
     patterns = v.groupBy(F.array(*names).alias("p")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     one = patterns.agg(F.array_sort(F.collect_list(F.struct("p", "n"))).alias("s"))  # at most 3^rules entries
-    # x: share, then accuracies. A pattern's posterior g; then the new share and accuracies from sums over patterns.
-    like = "aggregate(sequence(1, {m}), cast({prior} as double), (a, j) -> a * case t.p[j-1] when {yes} then x[j] when {no} then 1 - x[j] else 1.0D end)"
-    g1, g0 = like.format(m=m, prior="x[0]", yes=1, no=-1), like.format(m=m, prior="1 - x[0]", yes=-1, no=1)
+    fold = f"aggregate(sequence(1, {m}), cast({{}} as double), (a, j) -> a * case t.p[j-1] when 1 then {{}} when -1 then {{}} else 1.0D end)"
+    g1, g0 = fold.format("x[0]", "x[j]", "1 - x[j]"), fold.format("1 - x[0]", f"1 - x[j+{m}]", f"x[j+{m}]")
     post = f"transform(s, t -> named_struct('p', t.p, 'n', t.n, 'g', ({g1}) / ({g1} + {g0})))"
-    total = "aggregate(q, 0.0D, (a, t) -> a + t.n)"
-    clip = "least(greatest({}, 0.02D), 0.98D)"
-    share = clip.format(f"(aggregate(q, 0.0D, (a, t) -> a + t.n * t.g) + 8) / ({total} + 10)")
-    right = "aggregate(q, 0.0D, (a, t) -> a + case t.p[j-1] when 1 then t.n * t.g when -1 then t.n * (1 - t.g) else 0.0D end)"
-    cast = "aggregate(q, 0.0D, (a, t) -> a + if(t.p[j-1] = 0, 0.0D, t.n))"
-    # Accuracies stay above a half, which fixes which class is which.
-    accuracy = f"least(greatest(({right} + 8) / ({cast} + 10), 0.55D), 0.98D)"
-    step = f"transform(array({post}), q -> concat(array({share}), transform(sequence(1, {m}), j -> {accuracy})))[0]"
-    start = "array(" + ", ".join([f"{START_GOOD}D", *[f"{START_ACCURACY}D"] * m]) + ")"
+    total = lambda of: f"aggregate(q, 0.0D, (a, t) -> a + {of})"
+    share = f"least(greatest(({total('t.n * t.g')} + 8) / ({total('t.n')} + 10), 0.5D), 0.98D)"
+    on_good = f"({total('if(t.p[j-1] = 1, t.n * t.g, 0.0D)')} + 9.5D) / ({total('if(t.p[j-1] <> 0, t.n * t.g, 0.0D)')} + 10)"
+    on_bad = f"({total('if(t.p[j-1] = -1, t.n * (1 - t.g), 0.0D)')} + 4) / ({total('if(t.p[j-1] <> 0, t.n * (1 - t.g), 0.0D)')} + 10)"
+    # A rule errs on at most a twentieth of the good documents, and says no to bad ones more often than to good ones: this fixes which class is which.
+    good_part = f"transform(sequence(1, {m}), j -> least(greatest({on_good}, 0.95D), 0.998D))"
+    bad_part = f"transform(sequence(1, {m}), j -> least(greatest({on_bad}, 0.06D), 0.98D))"
+    step = f"transform(array({post}), q -> concat(array({share}), {good_part}, {bad_part}))[0]"
+    start = "array(" + ", ".join([f"{START_GOOD}D", *[f"{START_ON_GOOD}D"] * m, *[f"{START_ON_BAD}D"] * m]) + ")"
     row = one.select(F.expr(f"aggregate(sequence(1, {iterations}), {start}, (x, it) -> {step})").alias("x")).first()
     return list(row.x)
 
 
 def posterior(x: list[float]) -> Column:
     """Probability of quality of a row with votes."""
-    good, bad = F.lit(x[0]), F.lit(1 - x[0])
-    for r, a in zip(RULES, x[1:]):
+    good, bad, m = F.lit(x[0]), F.lit(1 - x[0]), len(RULES)
+    for j, r in enumerate(RULES):
         v = F.col(f"v_{r}")
-        good = good * F.when(v == 1, a).when(v == -1, 1 - a).otherwise(1.0)
-        bad = bad * F.when(v == 1, 1 - a).when(v == -1, a).otherwise(1.0)
+        good = good * F.when(v == 1, x[1 + j]).when(v == -1, 1 - x[1 + j]).otherwise(1.0)
+        bad = bad * F.when(v == 1, 1 - x[1 + m + j]).when(v == -1, x[1 + m + j]).otherwise(1.0)
     return good / (good + bad)
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the measures, base_failed, the votes, p_quality and kept.
 
-    The verdict needs two passes over the texts, one for the counts of patterns and one for the result; that is
-    cheaper at scale than writing measures of all documents in between.
+    Measures and votes (some 60 bytes a document) are written once, so that texts are read in one pass.
     """
-    v = votes(measured(df, id_col, text_col))
+    v = materialize(votes(measured(df, id_col, text_col)), "measures")
     x = estimate(v)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return v.withColumn("base_failed", failed).withColumn("p_quality", posterior(x)).withColumn("kept", ~failed & (F.col("p_quality") >= KEEP))

@@ -2,7 +2,8 @@
 
 A shard holds documents in ascending order of their key (the identifier as 8 big-endian bytes, sign flipped so
 that bytes sort as numbers do). Blocks of about ``BLOCK_BYTES`` store each key as the length of the prefix it
-shares with the key before it and the rest, then the value (the ids, little-endian 32-bit). Behind the blocks
+shares with the key before it and the rest, then the value (the ids, little-endian, 16-bit if the block's ids
+allow it, else 32-bit); each block is one Zstandard frame. Behind the blocks
 come a sparse index (first key and place of each block), a Bloom filter over the keys and a footer with their
 places, the counts and a checksum. A lookup reads the footer, asks the filter, finds the block by binary search
 and reads that block alone.
@@ -22,8 +23,10 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,12 +60,18 @@ def write_shard(path: str, rows: Iterator[tuple[int, bytes]]) -> tuple[int, int]
     keys: list[bytes] = []
     docs = ids = 0
     with open(f"{path}.part", "wb") as f:
-        block, first, last = bytearray(), b"", b""
+        block, first, last, size = [], b"", b"", 0
+        packer = zstandard.ZstdCompressor(level=1)
 
         def flush() -> None:
             if block:
-                index.append((first, f.tell(), len(block)))
-                f.write(block)
+                values = [np.frombuffer(v, "<u4") for _, _, v in block]
+                wide = max((int(v.max()) for v in values if len(v)), default=0) > 0xFFFF
+                kind = "<u4" if wide else "<u2"
+                entries = (struct.pack("<BBI", shared, len(rest), len(v)) + rest + v.astype(kind).tobytes() for (shared, rest, _), v in zip(block, values))
+                data = packer.compress(bytes([4 if wide else 2]) + b"".join(entries))
+                index.append((first, f.tell(), len(data)))
+                f.write(data)
                 block.clear()
 
         for k, value in rows:
@@ -71,13 +80,15 @@ def write_shard(path: str, rows: Iterator[tuple[int, bytes]]) -> tuple[int, int]
                 first, shared = key, 0
             else:
                 shared = len(os.path.commonprefix([last, key]))
-            block += struct.pack("<BBI", shared, len(key) - shared, len(value)) + key[shared:] + value
+            block.append((shared, key[shared:], value))
+            size += len(value)
             if key != last:
                 keys.append(key)
             last = key
             docs, ids = docs + 1, ids + len(value) // 4
-            if len(block) >= BLOCK_BYTES:
+            if size >= BLOCK_BYTES:
                 flush()
+                size = 0
         flush()
         bits = max(64, (len(keys) * BLOOM_BITS + 7) // 8 * 8)
         bloom = bytearray(bits // 8)
@@ -115,14 +126,16 @@ class Shard:
     def _block(self, i: int) -> Iterator[tuple[bytes, bytes]]:
         at, n = self._where[i]
         self._f.seek(at)
-        data, p, key = self._f.read(n), 0, b""
-        while p < n:
+        data, p, key = zstandard.ZstdDecompressor().decompress(self._f.read(n)), 1, b""
+        width = data[0]
+        while p < len(data):
             shared, rest, size = struct.unpack_from("<BBI", data, p)
             p += 6
             key = key[:shared] + data[p : p + rest]
             p += rest
-            yield key, data[p : p + size]
-            p += size
+            value = data[p : p + width * size]
+            yield key, value if width == 4 else np.frombuffer(value, "<u2").astype("<u4").tobytes()
+            p += width * size
 
     def __iter__(self) -> Iterator[tuple[int, bytes]]:
         for i in range(len(self._where)):

@@ -7,10 +7,10 @@
 2. Documents with equal sets form a class (its smallest doc_id stands for it); only classes go on, so that
    thousands of copies are one row. Sets of fewer than six shingles match equal sets alone at 0.85.
 3. Buckets turn into stars: the member with the most bucket mates is the hub and is paired with the others, so
-   that pairs grow with members, not with their square. A pair is confirmed on full sets: texts of the members
-   stream past their hub's set; a large star is salted over many tasks, with a copy of the hub for each.
+   that pairs grow with members, not with their square. Members that stars connect are a family. A pair is confirmed
+   on full sets: texts of a family's members stream past the sets of its hubs, spread over many tasks.
 4. Links join components. In buckets whose members still lie in several components, further members become hubs
-   (twice as many each round) until each pair of members was compared or is connected: stars lose no link.
+   (eight times as many each round) until each pair of members was compared or is connected: stars lose no link.
 
 Texts: A-Z lower-cased, words of characters other than blank and U+0009-U+000D. Null or wordless texts have an empty
 set and link with nothing. Rows that share an id are one node, repeated rows repeat; a null id is an id of its own
@@ -31,7 +31,9 @@ from quarryline.llm.common import id_in, id_out, materialize, split_hot_join
 from quarryline.llm.components import components
 
 WIDTH, THRESHOLD = 5, 85
-BINS, ROWS = 192, 6
+BINS, ROWS = 384, 8
+#: Hubs whose sets a task holds at once.
+HUBS = 64
 BLOCK = 1 << 20
 
 _U = np.uint64
@@ -150,34 +152,48 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(threshold: int) -> object:
-    """Rows of a star, its hub first: the links that hold on full sets."""
+    """Rows of one part of a family, its hubs first: the links that hold on full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, own = None, np.empty(0, np.uint64)
+        now, sets = None, {}
         for b in batches:
-            h, c, ok = b.column(0).to_pylist(), b.column(2).to_pylist(), []
-            for i, text in enumerate(b.column(3)):
-                s = shingle_set(text.as_py())
-                if c[i] is None:
-                    hub, own = h[i], s
+            keys = list(zip(*(b.column(i).to_pylist() for i in range(3))))
+            ids, a, c = b.column(3).to_pylist(), [], []
+            for i, text in enumerate(b.column(5)):
+                if keys[i] != now:
+                    now, sets = keys[i], {}
+                s, hubs = shingle_set(text.as_py()), b.column(4)[i]
+                if not hubs.is_valid:
+                    sets[ids[i]] = s
                     continue
-                assert hub == h[i]
-                at = np.searchsorted(own, s)
-                common = int((own[np.minimum(at, len(own) - 1)] == s).sum()) if len(own) else 0
-                if 100 * common >= threshold * (len(s) + len(own) - common):
-                    ok.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([h[i] for i in ok], pa.int64()), pa.array([c[i] for i in ok], pa.int64())], ["a", "b"])
+                for h in hubs.values.to_numpy().tolist():
+                    own = sets[h]
+                    at = np.searchsorted(own, s)
+                    common = int((own[np.minimum(at, len(own) - 1)] == s).sum()) if len(own) else 0
+                    if 100 * common >= threshold * (len(s) + len(own) - common):
+                        a.append(h)
+                        c.append(ids[i])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
 
     return run
 
 
 def links(docs: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (h, c) whose sets are similar enough. docs: (c, text)."""
-    salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    p = pairs.withColumn("salt", F.pmod(F.xxhash64("c"), F.lit(salts)).cast("int"))
-    members = p.join(docs, "c").select("h", "salt", "c", "text")
-    hubs = p.select("h", "salt").distinct().join(docs.withColumnRenamed("c", "h"), "h").select("h", "salt", F.lit(None).cast("long").alias("c"), "text")
-    both = members.unionByName(hubs).repartition("h", "salt").sortWithinPartitions("h", "salt", F.asc_nulls_first("c"))
+    """The pairs (h, c, family) whose sets are similar enough. docs: (c, text).
+
+    A family's hubs are dealt into parts of about ``HUBS`` and its members into parts by hash: a member's text
+    travels once per part of hubs, a hub's once per part of members, not once per pair.
+    """
+    most = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = pairs.groupBy("family").agg(F.approx_count_distinct("h").alias("hubs"), F.count(F.lit(1)).alias("n"))
+    size = materialize(size.select("family", "n", F.ceil(F.col("hubs") / HUBS).alias("chunks"), F.least(F.ceil(F.col("n") / 512), F.lit(most)).alias("salts")), "families")
+    p = split_hot_join(pairs, size, ["family"], "n")
+    p = p.select("family", F.pmod(F.xxhash64("h"), "chunks").alias("chunk"), F.pmod(F.xxhash64("c"), "salts").alias("salt"), "h", "c")
+    key = ["family", "chunk", "salt"]
+    p = materialize(p, "parts")
+    members = p.groupBy(*key, "c").agg(F.collect_list("h").alias("hubs")).join(docs, "c").select(*key, F.col("c").alias("id"), "hubs", "text")
+    hubs = p.select(*key, F.col("h").alias("c")).distinct().join(docs, "c").select(*key, F.col("c").alias("id"), F.lit(None).cast("array<long>").alias("hubs"), "text")
+    both = members.unionByName(hubs).repartition(*key).sortWithinPartitions(*key, F.col("hubs").isNotNull())
     return both.mapInArrow(_confirm(threshold), "a long, b long")
 
 
@@ -195,26 +211,30 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = materialize(_with_sizes(buckets, sizes), "members")
     degree = members.groupBy("c").agg(F.sum("size").alias("degree"))
     members = materialize(members.join(degree, "c").select("b", "c", "n", "degree"), "members")
+    top = members.groupBy("b").agg(F.max(F.struct("degree", F.bitwise_not("c").alias("not_c"))).alias("x"), F.count(F.lit(1)).alias("size")).select("b", "size", F.bitwise_not("x.not_c").alias("hub"))
+    star = split_hot_join(members, materialize(top, "hubs"), ["b"], "size").filter("c <> hub").select(F.col("c").alias("a"), F.col("hub").alias("b")).distinct()
+    family = materialize(components(star), "families").withColumnRenamed("node", "c").withColumnRenamed("component", "family")
+    members = materialize(members.join(family, "c", "left").withColumn("family", F.coalesce("family", "c")), "members")
     texts = materialize(source.withColumnRenamed("k", "c").join(members.select("c").distinct(), "c", "left_semi"), "candidate-texts")
     found, tested, hubs, parts = None, None, 1, None
     while True:
         pairs, members = _stars(members, hubs, threshold)
         if tested is not None:
-            pairs = pairs.join(tested, ["h", "c"], "left_anti")
+            pairs = pairs.join(tested, ["h", "c"], "left_anti")  # pairs of one bucket that another one had before
         pairs = materialize(pairs, "pairs")
         if not pairs.take(1) and not members.take(1):
             break
         if not pairs.take(1):
-            hubs *= 2
+            hubs *= 8
             continue
         new = materialize(links(texts, pairs, threshold), "links")
         found = new if found is None else found.unionByName(new)
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        tested = pairs.select("h", "c") if tested is None else tested.unionByName(pairs.select("h", "c"))
         parts = materialize(components(found), "components")
         members = materialize(_unsettled(members, parts), "members")
         if not members.take(1):
             break
-        hubs *= 2
+        hubs *= 8
     # Rows whose ids were met in several classes are one node, which the classes' ids share already.
     out = of if parts is None else of.join(parts.withColumnRenamed("node", "c"), "c", "left")
     comp = F.col("c") if parts is None else F.coalesce("component", "c")
@@ -237,14 +257,14 @@ def _stars(members: DataFrame, hubs: int, threshold: int) -> tuple[DataFrame, Da
     heads = top.groupBy("b").agg(F.collect_list(F.struct("c", "n", "degree", *extra)).alias("heads"))
     sized = materialize(members.groupBy("b").agg(F.count(F.lit(1)).alias("size")).join(heads, "b"), "heads")
     j = split_hot_join(members, sized, ["b"], "size")
-    pairs = j.select("c", "n", "degree", *extra, F.explode("heads").alias("x"))
+    pairs = j.select("c", "n", "degree", "family", *extra, F.explode("heads").alias("x"))
     # Degree, then id, orders all members everywhere: a pair met in several buckets has one hub.
     pairs = pairs.filter("x.degree > degree or (x.degree = degree and x.c < c)")
     pairs = pairs.filter(100 * F.least("n", "x.n") >= threshold * F.greatest("n", "x.n"))
     if extra:
         pairs = pairs.filter("x.component <> component")
     left = j.filter(~F.exists("heads", lambda x: x["c"] == F.col("c"))).select(*members.columns)
-    return pairs.select(F.col("x.c").alias("h"), "c").distinct(), left
+    return pairs.select(F.col("x.c").alias("h"), "c", "family").distinct(), left
 
 
 def _unsettled(members: DataFrame, parts: DataFrame) -> DataFrame:

@@ -8,9 +8,7 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,21 +71,11 @@ def id_out(name: str) -> Column:
     return F.nullif(F.col(name), F.lit(NULL_ID))
 
 
-def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k, t, text): null id and null text replaced, and a second key so that rows that share an id but not a text stay apart."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return df.select(id_in(id_col).alias("k"), F.xxhash64(text).alias("t"), text.alias("text"))
-
-
-def per_batch(fn: Callable[..., dict], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow function from one that maps a batch to columns."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_pydict(fn(b), schema=schema)
-
-    return run
+def free_name(name: str, taken: list[str]) -> str:
+    """A column name that a table doesn't have yet."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = "_" + name
+    return name
 
 
 def split_hot_join(left: DataFrame, right: DataFrame, key: list[str], weight: str, share: int = 1024) -> DataFrame:

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarryline.llm.bpe import Codec, Lexicon, codec
 from quarryline.llm.common import new_dir, posix
@@ -77,7 +78,7 @@ def encode(df: DataFrame, tokenizer: str, lexicon: str | None, text_col: str = "
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<i4")))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], [*names, out_col])
 
-    return df.mapInArrow(run, df.schema.add(out_col, "array<int>"))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -90,7 +91,7 @@ def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "
             texts = [code.decode(x.values.to_pylist() if x.is_valid else []) for x in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*names, out_col])
 
-    return df.mapInArrow(run, df.schema.add(out_col, "string"))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())]))
 
 
 def digests(df: DataFrame, tokenizer: str, lexicon: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import NULL_ID, id_in, id_out, materialize
+from quarryline.llm.common import NULL_ID, free_name, id_in, id_out, materialize
 
 LEAST_CHARS = 10
 STRIP = " \t\n\x0b\x0c\r"
@@ -187,17 +187,17 @@ def digests(df: DataFrame) -> DataFrame:
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_CHARS) -> DataFrame:
     """``df`` with the lines dropped from its texts; a text that lost nothing stays as it was, null included."""
     others = [c for c in df.columns if c not in (id_col, text_col)]
-    both = joined(df, id_col, text_col, least, [text_col, *others])
+    both, key = joined(df, id_col, text_col, least, [text_col, *others]), free_name("k", df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names = b.schema.names
             cols = [t.as_py() if not keep.is_valid else apply_bitmap(t.as_py(), keep.as_py())[0] for t, keep in zip(b.column(names.index(f"x_{text_col}")), b.column(names.index("keep")))]
-            yield pa.RecordBatch.from_arrays([b.column(names.index("k")), pa.array(cols, pa.string()), *(b.column(names.index(f"x_{c}")) for c in others)], ["k", text_col, *others])
+            yield pa.RecordBatch.from_arrays([b.column(names.index("k")), pa.array(cols, pa.string()), *(b.column(names.index(f"x_{c}")) for c in others)], [key, text_col, *others])
 
     kinds = dict(df.dtypes)
-    out = both.mapInArrow(run, ", ".join(["k long", f"`{text_col}` string", *(f"`{c}` {kinds[c]}" for c in others)]))
-    return out.select(*(id_out("k").alias(id_col) if c == id_col else F.col(f"`{c}`") for c in df.columns))
+    out = both.mapInArrow(run, ", ".join([f"{key} long", f"`{text_col}` string", *(f"`{c}` {kinds[c]}" for c in others)]))
+    return out.select(*(id_out(key).alias(id_col) if c == id_col else F.col(f"`{c}`") for c in df.columns))
 
 
 __all__ = ["NULL_ID", "apply_bitmap", "bitmaps", "dedup", "digests", "dropped_lines"]

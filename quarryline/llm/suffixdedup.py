@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import id_in, id_out, materialize
+from quarryline.llm.common import free_name, id_in, id_out, materialize
 from quarryline.llm.minhash import mix, powers, prefix_hash
 from quarryline.llm.suffixarray import suffix_array
 
@@ -336,7 +336,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with repeated bytes removed from its texts; characters cut in part go as well. Untouched texts stay, null included."""
     _, spans = repeated(df, id_col, text_col)
-    others = [c for c in df.columns if c not in (id_col, text_col)]
+    others, key = [c for c in df.columns if c not in (id_col, text_col)], free_name("k", df.columns)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = df.select(id_in(id_col).alias("k"), F.xxhash64(text).alias("t"), F.col(text_col).cast("string").alias("x"), *[F.col(f"`{c}`").alias(f"x_{c}") for c in others])
     kinds = dict(df.dtypes)
@@ -344,8 +344,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept = [b.column(1)[i].as_py() if not b.column(2)[i].is_valid else _apply(b, i, 1, 2)[1].decode("utf-8", "ignore") for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string()), *b.columns[3:]], ["k", text_col, *others])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string()), *b.columns[3:]], [key, text_col, *others])
 
     both = source.join(spans.hint("shuffle_hash"), ["k", "t"], "left").select("k", "x", "spans", *[f"`x_{c}`" for c in others])
-    out = both.mapInArrow(run, ", ".join(["k long", f"`{text_col}` string", *(f"`{c}` {kinds[c]}" for c in others)]))
-    return out.select(*(id_out("k").alias(id_col) if c == id_col else F.col(f"`{c}`") for c in df.columns))
+    out = both.mapInArrow(run, ", ".join([f"{key} long", f"`{text_col}` string", *(f"`{c}` {kinds[c]}" for c in others)]))
+    return out.select(*(id_out(key).alias(id_col) if c == id_col else F.col(f"`{c}`") for c in df.columns))

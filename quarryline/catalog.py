@@ -60,7 +60,7 @@ ROLES = f"""list_sort(list_distinct(list_filter([
 ROLED = f"v_roled AS (SELECT *, {ROLES} AS roles FROM (SELECT *, lower(path) AS p, lower({NAME}) AS name FROM v_files))"
 
 
-# --- scans and paths -------------------------------------------------------------------------------
+# Scans and paths
 
 
 @query(f"WITH {FILES} SELECT {LANG} AS language, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM v_files GROUP BY 1")
@@ -109,7 +109,7 @@ TEST = f"(regexp_matches(lower(path), '(^|/)(__tests__|tests?|spec)(/|$)') OR re
 
 
 @query(f"""WITH {FILES} SELECT file_id, {TEST} AS is_test, regexp_matches(path, '\\.mdx?$') AS is_doc, regexp_matches(path, '(^|/)app/api/.+/route\\.[cm]?[jt]sx?$') AS is_route,
- regexp_matches({NAME}, '(^|[._-])handler([._-]|$)') AS is_handler, regexp_matches(path, '\\.([cm]?[jt]sx?|py|go|rs|java|rb|php|cs|cpp|c|h|hpp|swift|kt|scala|sh|sql)$') AS is_code FROM v_files""")
+ regexp_matches({NAME}, '(^|[._-])handler([._-]|$)') AS is_handler, regexp_matches(path, '\\.(swift|scala|sql|sh|kt|hpp|h|cpp|cs|c|php|rb|java|rs|go|py|[cm]?[jt]sx?)$') AS is_code FROM v_files""")
 def path_predicates(spark: SparkSession, sf: str) -> DataFrame:
     p = F.col("path")
     return views.files(spark, sf).select("file_id", paths.is_test(p).alias("is_test"), paths.is_markdown(p).alias("is_doc"), paths.is_route(p).alias("is_route"), paths.is_handler(p).alias("is_handler"), paths.is_code(p).alias("is_code"))
@@ -134,7 +134,7 @@ def locality_scores(spark: SparkSession, sf: str) -> DataFrame:
     return views.files(spark, sf).select("file_id", paths.locality(F.lit("src/src1/x.ts"), F.col("path")).cast("int").alias("locality"))
 
 
-# --- change detection, store, health ---------------------------------------------------------------
+# Change detection, store, health
 
 OLD = "v_old AS (SELECT path, hash, CAST(file_id * 1000 + 0.4 AS DOUBLE) AS mtime_ms, size, file_id FROM v_files WHERE file_id % 10 <> 3)"
 NEW = "v_new AS (SELECT path, CASE WHEN file_id % 17 = 0 THEN sha256(text || 'x') ELSE hash END AS hash, CAST(file_id * 1000 + CASE WHEN file_id % 7 = 0 THEN 5 ELSE 0 END AS DOUBLE) AS mtime_ms, size, file_id FROM v_files WHERE file_id % 13 <> 5)"
@@ -201,7 +201,7 @@ def meta_latest(spark: SparkSession, sf: str) -> DataFrame:
     return store.latest(o, ["key"], "version")
 
 
-# --- chunks, symbols, references -------------------------------------------------------------------
+# Chunks, symbols, references
 
 
 def _chunk_sql(size: int, step: int) -> str:
@@ -264,7 +264,7 @@ def duplicate_symbols(spark: SparkSession, sf: str) -> DataFrame:
     return symbols.duplicates(li).agg(F.count(F.lit(1)).alias("groups"))
 
 
-# --- graph -----------------------------------------------------------------------------------------
+# Graph
 
 DEGREE = "v_degree AS (SELECT path, coalesce(i, 0) AS inbound, coalesce(o, 0) AS outbound FROM v_paths LEFT JOIN (SELECT dst AS path, count(*) AS i FROM v_edges GROUP BY 1) USING (path) LEFT JOIN (SELECT src AS path, count(*) AS o FROM v_edges GROUP BY 1) USING (path))"
 
@@ -332,7 +332,7 @@ def graph_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return graph.neighbours(e.select(F.explode(F.array("src", "dst")).alias("target")), e)
 
 
-# --- context ---------------------------------------------------------------------------------------
+# Context
 
 
 @query(f"""WITH {FILES}, t AS (SELECT * FROM v_files WHERE {TEST}), x AS (SELECT t.path AS target, f.path FROM t JOIN v_files f ON regexp_replace(f.path, '/[^/]*$', '') = regexp_replace(t.path, '/[^/]*$', '')
@@ -365,7 +365,7 @@ def read_first(spark: SparkSession, sf: str) -> DataFrame:
     return context.read_first(context.related(t, f, e), t).select("target", "place", "path", F.array_join("reasons", ",").alias("reasons"))
 
 
-# --- usage log -------------------------------------------------------------------------------------
+# Usage log
 
 USAGE = """v_u AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS repo, epoch_us(ts) // 1000 AS ms, strftime(ts, '%Y-%m-%d') AS day, value, k, event_type AS t, user_id,
  CASE WHEN event_type IN ('view', 'error') THEN 'search' WHEN event_type = 'click' THEN 'context' WHEN event_type = 'signup' THEN 'index' ELSE 'status' END AS command,
@@ -448,7 +448,7 @@ def usage_confidence(spark: SparkSession, sf: str) -> DataFrame:
     return views.usage(spark, sf).filter("top_hit_confidence is not null").groupBy("top_hit_confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
-# --- index and search ------------------------------------------------------------------------------
+# Index and search
 
 TOKENS = "v_tok AS (SELECT doc_id, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS toks FROM documents)"
 QTOK = "v_q AS (SELECT CAST(item_id AS VARCHAR) AS query_id, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')[:8] AS toks FROM benchmark)"
@@ -565,7 +565,7 @@ def search_ranked(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("query_id", "place", "path", text.round_up(F.col("score")).alias("score"), "source")
 
 
-# --- evaluation ------------------------------------------------------------------------------------
+# Evaluation
 
 CASES = f"""{BM25}, cs AS (SELECT CAST(item_id AS VARCHAR) AS case_id, list_sort(list(doc_id)) AS expected, [doc_id % 7 FOR doc_id IN list(doc_id)] AS excluded FROM benchmark JOIN documents ON contains(documents.text, substr(benchmark.text, 1, 60)) GROUP BY 1),
  tp AS (SELECT query_id AS case_id, list(doc ORDER BY rank) AS top FROM r WHERE rank <= 5 GROUP BY 1),

@@ -21,9 +21,15 @@ SKIPPED_DIRS = (
 ).split()
 CODE = r"\.(?:[cm]?[jt]sx?|swift|scala|sql|sh|kt|hpp|h|cpp|cs|c|php|rb|java|rs|go|py)$"
 DOC_INTENTS = ["agent_instructions", "decision_record", "documentation", "overview"]
+COMPOSE = r"^docker-compose([-.].*)?[.]ya?ml$"
 NOISE_ROLES = ["large_json", "minified", "build_output", "generated", "lockfile"]
 
 
+def _word(word: str) -> str:
+    """A word between dots, dashes or underscores."""
+    return f"(?:^|[-_.]){word}(?:[-_.]|$)"
+
+
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
@@ -43,7 +49,7 @@ def bare_stem(path: Column) -> Column:
 
 
 def test_stem(path: Column) -> Column:
-    return F.regexp_replace(stem(path), r"(?i)(?:[._-](?:test|spec)|(?:test|spec)[._-])$", "")
+    return F.regexp_replace(stem(path), r"(?i)[-_.](test|spec)$|(test|spec)[-_.]$", "")
 
 
 def extension(path: Column) -> Column:
@@ -110,7 +116,7 @@ def is_markdown(path: Column) -> Column:
 
 def is_test(path: Column) -> Column:
     p = F.lower(path)
-    return p.rlike(r"(?:^|/)(?:spec|tests?|__tests__)(?:/|$)") | basename(p).rlike(r"(?:^|[._-])(?:spec|test)(?:[._-]|$)")
+    return p.rlike(r"(?:^|/)(?:spec|tests?|__tests__)(?:/|$)") | basename(p).rlike(_word("(?:spec|test)"))
 
 
 def is_lockfile(path: Column) -> Column:
@@ -123,7 +129,7 @@ def is_route(path: Column) -> Column:
 
 
 def is_handler(path: Column) -> Column:
-    return F.lower(basename(path)).rlike(r"(?:^|[._-])handler(?:[._-]|$)")
+    return F.lower(basename(path)).rlike(_word("handler"))
 
 
 def roles(path: Column, size: Column) -> Column:
@@ -137,7 +143,7 @@ def roles(path: Column, size: Column) -> Column:
         *one(b.isin("claude.md", "agents.md", "program.md"), "agent_instructions"),
         *one(p == ".claude/settings.local.json", "local_agent_settings"),
         *one(p.rlike("(?:^|/)src/"), "implementation"),
-        *one(F.array_contains(parts, "providers") | b.rlike(r"(?:^|[._-])provider(?:[._-]|$)"), "provider"),
+        *one(F.array_contains(parts, "providers") | b.rlike(_word("provider")), "provider"),
         *one(b.isin("index.js", "index.ts", "main.py", "train.py"), "implementation", "implementation/main"),
         *one(b.isin("setup.py", "prepare.py"), "setup/utility"),
         *one(p.rlike("(?:^|/)scripts/"), "tooling"),
@@ -149,7 +155,7 @@ def roles(path: Column, size: Column) -> Column:
         *one(b.rlike(r"\.(?:env|ini|toml|ya?ml|json)$") & ~lock, "configuration"),
         *one(lock, "lockfile"),
         *one(F.arrays_overlap(parts, F.array(*map(F.lit, ["vendor", "coverage", ".next", "build", "dist"]))), "build_output"),
-        *one(F.exists(parts, lambda x: F.contains(x, F.lit("generated"))) | b.rlike(r"(?:^|[._-])generated(?:[._-]|$)"), "generated"),
+        *one(F.exists(parts, lambda x: F.contains(x, F.lit("generated"))) | b.rlike(_word("generated")), "generated"),
         *one(b.rlike(r"\.min\.[cm]?js$"), "minified"),
         *one(b.rlike(r"\.json$") & (F.coalesce(size, F.lit(0)) >= LARGE_JSON), "large_json"),
     ]
@@ -166,9 +172,9 @@ def role_penalty(role_list: Column, intents: Column, path_like: Column, normaliz
     has = lambda r: F.array_contains(role_list, r)
     wants = lambda r: F.array_contains(intents, r)
     said = F.concat_ws(" ", normalized, F.array_join(terms, " "))
-    lock = said.rlike(r"\blockfile\b|\b\S+\.lock\b|\b(?:npm-shrinkwrap|package-lock)\.json\b|\bpnpm-lock\.ya?ml\b")
+    lock = said.rlike(r"\b(?:lockfile|\S+[.]lock|npm-shrinkwrap[.]json|package-lock[.]json|pnpm-lock[.]ya?ml)\b")
     generated = path_like & said.rlike(r"\b(?:__generated__|generated)\b")
-    built = path_like & said.rlike(r"(?:^|[/\\])(?:vendor|build|dist)(?:[/\\]|$)|\.min\.[cm]?js\b")
+    built = path_like & said.rlike(r"(?:^|[\\/])(?:vendor|build|dist)(?:$|[\\/])|[.]min[.][mc]?js\b")
     json = said.rlike(r"\blarge json\b|\.json\b")
     off = lambda cond, points: F.when(cond, points).otherwise(0)
     return (
@@ -188,7 +194,7 @@ def is_noisy(path: Column, size: Column) -> Column:
 
 def is_config(path: Column, size: Column) -> Column:
     b = F.lower(basename(path))
-    return F.array_contains(roles(path, size), "configuration") | b.rlike(r"(?:^|[._-])config(?:[._-]|$)") | b.rlike(r"\.config\.[cm]?[jt]sx?$")
+    return F.array_contains(roles(path, size), "configuration") | b.rlike(_word("config")) | b.rlike(r"\.config\.[cm]?[jt]sx?$")
 
 
 def module(path: Column) -> Column:

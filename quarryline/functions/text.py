@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Where a word in mixed case falls apart: before a capital behind a small letter, and before the last of several capitals.
+CASE_BOUNDARY = r"(?<=[a-z\d])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 NOT_ALNUM = r"[^\p{L}\p{N}]"
 
 
@@ -69,8 +71,7 @@ def occurrences(text: Column, needle: Column) -> Column:
 
 
 def camel_split(text: Column) -> Column:
-    a = F.regexp_replace(text, r"([a-z0-9])([A-Z])", "$1 $2")
-    return F.regexp_replace(a, r"([A-Z]+)([A-Z][a-z])", "$1 $2")
+    return F.regexp_replace(text, CASE_BOUNDARY, " ")
 
 
 def squeeze(text: Column, most: int = 700) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarryline.functions.text import lines_of
 
 SIZE, OVERLAP = 80, 10
-STRUCTURED = {"typescript", "javascript", "tsx", "jsx", "python", "py"}
+STRUCTURED = set("py python jsx tsx javascript typescript".split())
 
 
 def fixed(df: DataFrame, text: Column, size: int = SIZE, overlap: int = OVERLAP, kind: str = "text") -> DataFrame:
@@ -49,7 +49,7 @@ def _windows(lines: list[str], start: int, kind: str = "text") -> Iterator[tuple
         at += SIZE - OVERLAP
 
 
-_FENCE = re.compile(r"\s{0,3}(`{3,}|~{3,})")
+_FENCE = re.compile(r"\s{0,3}(~{3,}|`{3,})")
 
 
 def markdown(lines: list[str]) -> Iterator[tuple[int, int, str, str]]:
@@ -69,11 +69,14 @@ def markdown(lines: list[str]) -> Iterator[tuple[int, int, str, str]]:
 
 
 _NAME = r"[A-Za-z_$][\w$]*"
-_JS_CLASS = re.compile(rf"\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class(?:\s+{_NAME})?(?:<.*>)?\b")
-_JS_FUNCTION = re.compile(rf"\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function(?:\s+{_NAME})?(?:<.*>)?\s*\(")
-_JS_DEFAULT = re.compile(rf"\s*export\s+default\s+(?:async\s*)?(?:\([^)]*\)|{_NAME})\s*=>")
-_JS_CONST = re.compile(rf"\s*(?:export\s+)?const\s+{_NAME}")
-_ARROW = re.compile(rf"(?:async\s*)?(?:<.*>\s*)?(?:\([^)]*\)|{_NAME})\s*=>")
+_OPEN = r"\s*(?:export\s+)?"
+_GENERIC = rf"(?:\s+{_NAME})?(?:<.*>)?"
+_ARGS = rf"(?:{_NAME}|\([^)]*\))\s*=>"
+_JS_CLASS = re.compile(_OPEN + r"(?:default\s+)?" + r"(?:abstract\s+)?" + "class" + _GENERIC + r"\b")
+_JS_FUNCTION = re.compile(_OPEN + r"(?:default\s+)?" + r"(?:async\s+)?" + "function" + _GENERIC + r"\s*\(")
+_JS_DEFAULT = re.compile(r"\s*export\s+default\s+" + r"(?:async\s*)?" + _ARGS)
+_JS_CONST = re.compile(_OPEN + r"const\s+" + _NAME)
+_ARROW = re.compile(r"(?:async\s*)?" + r"(?:<.*>\s*)?" + _ARGS)
 
 
 def declares(line: str, python: bool) -> str | None:

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from quarryline.functions.paths import COMPOSE
+
 BACKED = {"near_config", "related_doc", "test_of", "sibling_test", "reverse_test", "reverse_import"}
 NOISE = set("web tests test route lib src api app".split())
 
@@ -46,7 +48,7 @@ def plan(search: list[str], context: list[tuple[str, list[tuple[str, str | None]
     def paired(p: str) -> bool:
         return not backed(p) and any(q != p and _test(q) != _test(p) and _stem(q) == _stem(p) and not backed(q) for q in later)
 
-    compose = lambda p: bool(re.match(r"docker-compose(?:[.-].*)?\.ya?ml$", p.rsplit("/", 1)[-1]))
+    compose = lambda p: bool(re.match(COMPOSE, p.rsplit("/", 1)[-1]))
     config = [p for p, _ in context if compose(p) and "near_config" in why[p] and p not in shown]
     tests = [c[0] for c in context if test_for(c, shown) and c[0] not in shown]
     crowded = any(map(_doc, later)) or any({"related_doc", "near_config"} & w for w in why.values())

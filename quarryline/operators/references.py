@@ -12,10 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-_Q = r"[\"']([^\"']+)[\"']"
-_JS = [re.compile(rx) for rx in (rf"\b(?:export|import)\s+(?:type\s+)?[\s\S]{{0,500}}?\bfrom\s*{_Q}", rf"(?:^|\n)\s*import\s*{_Q}", rf"\brequire\(\s*{_Q}\s*\)", rf"\bimport\(\s*{_Q}\s*\)")]
-_PY = re.compile(r"(?:^|\n)\s*from\s+(\.+)([A-Za-z_][\w.]*)?\s+import\s+([^\n#]+)")
-_C = re.compile(r'(?:^|\n)\s*#\s*include\s*"([^"]+)"')
+_QUOTE = "['\"]"
+_Q = _QUOTE + r"([^'\"]+)" + _QUOTE
+_HEAD = r"(?:^|\n)\s*"
+_FROM = r"\b(?:export|import)\s+" + "(?:type" + r"\s+)?(?:.|\n){0,500}?\bfrom\s*" + _Q
+_CALL = r"\b{0}\(\s*" + _Q + r"\s*\)"
+_JS = [re.compile(rx) for rx in (_FROM, _HEAD + r"import\s*" + _Q, _CALL.replace("{0}", "require"), _CALL.replace("{0}", "import"))]
+_PY = re.compile(_HEAD + r"from\s+(\.+)" + r"([A-Za-z_][.\w]*)?" + r"\s+import\s+" + r"([^#\n]+)")
+_C = re.compile(_HEAD + r"#\s*include\s*" + r'"([^"]+)"')
 IMPORTED = "ts tsx js jsx mjs cjs json yaml yml md py".split()
 INCLUDED = "h hh hpp hxx c cc cpp cxx".split()
 

@@ -7,45 +7,64 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_N = r"[A-Za-z_$][\w$]*"
-_I = r"[A-Za-z_]\w*"
-_JS = r"^\s*(?:export\s+)?"
-_VIS = r"(?:protected|private|public)"
+_N = r"([$_A-Za-z][$\w]*)"
+_I = r"([A-Za-z_]\w*)"
+_W = r"\s+"
+
+
+def _maybe(*words: str) -> str:
+    """Words that may come first, each with blanks behind it."""
+    return "".join(f"(?:{w}{_W})?" for w in words)
+
+
+def _any(words: str, least: str = "*") -> str:
+    """Any number of the words, each with blanks behind it."""
+    return f"(?:(?:{'|'.join(words.split())}){_W}){least}"
+
+
+_AT = r"^\s*"
+_SEEN = "protected private public"
+_PUB = _AT + _maybe(r"pub(?:\([^)]*\))?")
 #: language: (kind or None to take it from group 1, pattern, group of the name)
 PATTERNS: dict[str, list[tuple[str | None, str, int]]] = {
     "js": [
-        ("class", _JS + rf"(?:default\s+)?(?:abstract\s+)?class\s+({_N})", 1),
-        ("function", _JS + rf"(?:default\s+)?(?:async\s+)?function(?:\s+|\s*\*\s*)({_N})", 1),
-        ("function", _JS + rf"const\s+({_N})\s*=\s*(?:async\s*)?\(", 1),
-        ("interface", _JS + rf"interface\s+({_N})", 1),
-        ("type", _JS + rf"type\s+({_N})", 1),
-        ("method", rf"^\s*(?:{_VIS}\s+)?({_N})\s*\([^)]*\)\s*[:{{]", 1),
-        ("function", rf"^\s*(?:async\s+)?def\s+({_I})\s*\(", 1),
+        ("class", _AT + _maybe("export", "default", "abstract") + f"class{_W}{_N}", 1),
+        ("function", _AT + _maybe("export", "default", "async") + rf"function(?:{_W}|\s*\*\s*){_N}", 1),
+        ("function", _AT + _maybe("export") + rf"const{_W}{_N}\s*=\s*" + r"(?:async\s*)?\(", 1),
+        ("interface", _AT + _maybe("export") + f"interface{_W}{_N}", 1),
+        ("type", _AT + _maybe("export") + f"type{_W}{_N}", 1),
+        ("method", _AT + _any(_SEEN, "?") + _N + r"\s*\([^)]*\)" + r"\s*[{:]", 1),
+        ("function", _AT + _maybe("async") + rf"def{_W}{_I}\s*\(", 1),
     ],
-    "py": [("class", rf"^\s*class\s+({_N})", 1), ("function", rf"^\s*(?:async\s+)?def\s+({_I})\s*\(", 1)],
-    "markdown": [("heading", r"^\s{0,3}#{1,6}\s+(.+)", 1)],
+    "py": [("class", _AT + f"class{_W}{_N}", 1), ("function", _AT + _maybe("async") + rf"def{_W}{_I}\s*\(", 1)],
+    "markdown": [("heading", r"^\s{0,3}" + f"#{{1,6}}{_W}" + "(.+)", 1)],
     "go": [
-        ("method", rf"^\s*func\s+\([^)]*\)\s*({_I})\s*[\[(]", 1), ("function", rf"^\s*func\s+({_I})\s*[\[(]", 1),
-        ("class", rf"^\s*type\s+({_I})\s+struct\b", 1), ("interface", rf"^\s*type\s+({_I})\s+interface\b", 1), ("type", rf"^\s*type\s+({_I})\b", 1),
+        ("method", _AT + rf"func{_W}\([^)]*\)\s*{_I}\s*[(\[]", 1), ("function", _AT + rf"func{_W}{_I}\s*[(\[]", 1),
+        *((kind, _AT + f"type{_W}{_I}{rest}", 1) for kind, rest in (("class", _W + r"struct\b"), ("interface", _W + r"interface\b"), ("type", r"\b"))),
     ],
     "rs": [
-        (kind, rf"^\s*(?:pub(?:\([^)]*\))?\s+)?{more}{word}\s+({_I})", 1)
-        for kind, word, more in (("function", "fn", r'(?:(?:extern(?:\s+"[^"]*")?|const|unsafe|async)\s+)*'), ("class", "struct", ""), ("type", "enum", ""), ("interface", "trait", ""), ("type", "type", ""))
+        ("function", _PUB + _any(r'extern(?:\s*"[^"]*")? const unsafe async') + f"fn{_W}{_I}", 1),
+        *((kind, _PUB + f"{word}{_W}{_I}", 1) for word, kind in (("struct", "class"), ("enum", "type"), ("trait", "interface"), ("type", "type"))),
     ],
     "java": [
-        (None, rf"^\s*(?:(?:sealed|static|final|abstract|{_VIS[3:-1]})\s+)*(record|enum|interface|class)\s+({_I})", 2),
-        ("method", rf"^\s*{_VIS}\s+(?:(?:default|native|synchronized|abstract|final|static)\s+)*[\w<>\[\],.?]+\s+({_I})\s*\([^;{{]*\)\s*(?:throws [\w.,\s]+)?\{{?\s*$", 1),
+        (None, _AT + _any("sealed static final abstract " + _SEEN) + f"(record|enum|interface|class){_W}{_I}", 2),
+        ("method", _AT + _any(_SEEN, "") + _any("default native synchronized abstract final static") + rf"[\w.,?<>\[\]]+{_W}{_I}\s*\([^;{{]*\)\s*(?:throws [\s\w,.]+)?\{{?\s*$", 1),
     ],
     "kt": [
-        ("function", rf"^\s*(?:(?:operator|tailrec|abstract|final|inline|suspend|override|open|internal|{_VIS[3:-1]})\s+)*fun\s+(?:<[^>]*>\s*)?({_I})\s*[<(]", 1),
-        (None, rf"^\s*(?:(?:value|inner|annotation|enum|data|final|abstract|sealed|open|internal|{_VIS[3:-1]})\s+)*(object|interface|class)\s+({_I})", 2),
+        ("function", _AT + _any("operator tailrec abstract final inline suspend override open internal " + _SEEN) + rf"fun{_W}(?:<[^>]*>\s*)?{_I}\s*[(<]", 1),
+        (None, _AT + _any("value inner annotation enum data final abstract sealed open internal " + _SEEN) + f"(object|interface|class){_W}{_I}", 2),
+    ],
+    "rb": [
+        ("method", _AT + rf"def{_W}(?:self\.)?([A-Za-z_]\w*[=?!]?)", 1), ("class", _AT + rf"class{_W}([A-Za-z_][:\w]*)", 1), ("module", _AT + rf"module{_W}([A-Za-z_][:\w]*)", 1),
     ],
-    "rb": [("method", rf"^\s*def\s+(?:self\.)?({_I}[!?=]?)", 1), ("class", r"^\s*class\s+([A-Za-z_][\w:]*)", 1), ("module", r"^\s*module\s+([A-Za-z_][\w:]*)", 1)],
     "php": [
-        (None, rf"^\s*(?:(?:final|abstract)\s+)*(enum|trait|interface|class)\s+({_I})", 2),
-        ("method", rf"^\s*(?:(?:abstract|final|static|{_VIS[3:-1]})\s+)+function\s+&?\s*({_I})\s*\(", 1), ("function", rf"^\s*function\s+&?\s*({_I})\s*\(", 1),
+        (None, _AT + _any("final abstract") + f"(enum|trait|interface|class){_W}{_I}", 2),
+        ("method", _AT + _any("abstract final static " + _SEEN, "+") + rf"function{_W}&?\s*{_I}\s*\(", 1), ("function", _AT + rf"function{_W}&?\s*{_I}\s*\(", 1),
+    ],
+    "c": [
+        (None, _AT + _maybe("typedef") + rf"(struct|union|enum|class){_W}{_I}\b[^;]*\{{", 2),
+        ("c", _AT + rf"([A-Za-z_][~:,<>&*\w\s]*?[>:&*\s]){_I}\s*\(", 2),
     ],
-    "c": [(None, rf"^\s*(?:typedef\s+)?(struct|union|enum|class)\s+({_I})\b[^;]*\{{", 2), ("c", rf"^\s*({_I[:-3]}[~:,<>&*\w\s]*?[>:&*\s])({_I})\s*\(", 2)],
 }
 TABLE = {"typescript": "js", "javascript": "js", "python": "py", "cpp": "c"}
 _AGGREGATES = {"enum": "type", "trait": "interface", "interface": "interface", "module": "module"}

@@ -41,7 +41,7 @@ def path_matches(plans: DataFrame, files: DataFrame, limit: int) -> DataFrame:
 
 def basename_terms(plans: DataFrame, files: DataFrame) -> DataFrame:
     """C2: files named as a path term, an equi-join on the stem."""
-    q = plans.select("query_id", F.explode("path_terms").alias("term")).filter(F.col("term").rlike(r"^[\p{L}\p{N}_-]{4,}$")).select("query_id", F.lower("term").alias("stem")).distinct()
+    q = plans.select("query_id", F.explode("path_terms").alias("term")).filter(F.col("term").rlike(r"^[-_\p{N}\p{L}]{4,}$")).select("query_id", F.lower("term").alias("stem")).distinct()
     hit = files.withColumn("stem", paths.bare_stem(F.col("path"))).join(q, "stem")
     return _rows(_ranked(hit, [F.length("path"), "path"]), "basename_term", 1, 42, rank=F.col("rank"))
 

@@ -8,6 +8,7 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
@@ -25,4 +26,6 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, n)
                     z.write(full, os.path.join("quarryline", os.path.relpath(full, here)))
     spark.sparkContext.addPyFile(path)
+    if not spark.sparkContext.getConf().contains(BATCH):
+        spark.conf.set(BATCH, "2000")  # whole texts are rows here: the default of 10,000 of them at once is a lot
     _shipped.add(app)

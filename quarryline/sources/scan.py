@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,33 +14,59 @@ from quarryline.functions import paths
 from quarryline.sources.ignore import ignored_by
 
 
+def tree(root: str, prefix: str = "") -> Iterator[tuple[str, int, float]]:
+    """(path, size, time in ms) of all files below ``root``, without links; skipped folders are not entered."""
+    base = root.removeprefix("file://").rstrip("/")
+    for folder, dirs, names in os.walk(base):
+        dirs[:] = sorted(d for d in dirs if not os.path.islink(os.path.join(folder, d)))
+        for d in [d for d in dirs if d in paths.SKIPPED_DIRS]:
+            dirs.remove(d)
+            yield os.path.relpath(os.path.join(folder, d), base) + "/", 0, 0.0
+        for n in sorted(names):
+            full = os.path.join(folder, n)
+            path = os.path.relpath(full, base)
+            if path.startswith(prefix) and not os.path.islink(full):
+                s = os.stat(full)
+                yield path, s.st_size, s.st_mtime_ns / 1e6
+
+
 def scan(spark: SparkSession, root: str, prefix: str = "", git: list[str] | None = None, own: list[str] | None = None, known: DataFrame | None = None) -> DataFrame:
-    """(path, size, mtime_ms, language, skip_reason, reused, hash, text) of all files below ``root``.
+    """(path, size, mtime_ms, language, skip_reason, reused, hash, text) of all files below ``root``, a mounted folder.
 
-    Files that ``known`` (path, size, mtime_ms, hash) has with equal size and rounded time are not read: their hash is
-    taken over and their text is null. Contents are decoded for files that stay only.
+    Names, sizes and times come from one listing (Spark's own leaves out names like ``__init__.py``); the tasks read the
+    files that stay. Files that ``known`` (path, size, mtime_ms, hash) has with equal size and rounded time are not
+    read: their hash is taken over and their text is null. Skipped folders are rows of their own.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").removeprefix("file://")
-    path = F.substring_index(F.regexp_replace("path", "^file:/+", "/"), base + "/", -1)
-    rows = files.select(path.alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1000).alias("mtime_ms"), "content")
-    rows = rows.filter(F.startswith("path", F.lit(paths.normalize_prefix(prefix))))
+    base = root.removeprefix("file://").rstrip("/")
+    listed = spark.createDataFrame(list(tree(root, paths.normalize_prefix(prefix))), "path string, size long, mtime_ms double")
     if known is not None:
         k = known.select("path", F.col("size").alias("k_size"), F.col("mtime_ms").alias("k_mtime"), F.col("hash").alias("k_hash"))
-        rows = rows.join(k, "path", "left")
         reused = F.coalesce((F.col("size") == F.col("k_size")) & (F.round("mtime_ms") == F.round("k_mtime")), F.lit(False))
+        listed = listed.join(k, "path", "left").withColumn("reused", reused).drop("k_size", "k_mtime")
     else:
-        rows, reused = rows.withColumn("k_hash", F.lit(None).cast("string")), F.lit(False)
-    rows = rows.withColumn("reused", reused)
-    binary = F.when(F.col("reused"), False).otherwise(F.instr(F.decode("content", "ISO-8859-1"), "\0") > 0)
-    reason = paths.skip_reason(F.col("path"), F.col("size"), binary, ignored_by(F.col("path"), git or [], own or []))
-    rows = rows.withColumn("skip_reason", reason)
+        listed = listed.withColumn("k_hash", F.lit(None).cast("string")).withColumn("reused", F.lit(False))
+    p = F.col("path")
+    reason = F.when(p.endswith("/"), "ignored directory").otherwise(paths.skip_reason(p, F.col("size"), None, ignored_by(p, git or [], own or [])))
+    listed = listed.withColumn("skip_reason", reason)
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            data = []
+            for path, skip, old in f[["path", "skip_reason", "reused"]].itertuples(index=False):
+                body = None
+                if skip is None and not old:
+                    with open(os.path.join(base, path), "rb") as h:
+                        body = h.read()
+                data.append(body)
+            yield f.assign(
+                skip_reason=[s if s is not None or b is None or b"\0" not in b else "binary content" for s, b in zip(f["skip_reason"], data)],
+                hash=[None if b is None else hashlib.sha256(b).hexdigest() for b in data], text=[None if b is None or b"\0" in b else b.decode("utf-8", "replace") for b in data],
+            )
+
+    rows = listed.mapInPandas(read, "path string, size long, mtime_ms double, k_hash string, reused boolean, skip_reason string, hash string, text string")
     kept = F.col("skip_reason").isNull()
-    return rows.select(
-        "path", "size", "mtime_ms", F.when(kept, paths.language(F.col("path"))).alias("language"), "skip_reason", "reused",
-        F.when(kept, F.when(F.col("reused"), F.col("k_hash")).otherwise(F.sha2("content", 256))).alias("hash"),
-        F.when(kept & ~F.col("reused"), F.decode("content", "UTF-8")).alias("text"),
-    )
+    hash_ = F.when(kept, F.when(F.col("reused"), F.col("k_hash")).otherwise(F.col("hash")))
+    return rows.select("path", "size", "mtime_ms", F.when(kept, paths.language(p)).alias("language"), "skip_reason", "reused", hash_.alias("hash"), "text")
 
 
 def skip_histogram(scanned: DataFrame) -> DataFrame:

@@ -22,8 +22,8 @@ def daily(e: DataFrame) -> DataFrame:
 
 def followed(searches: DataFrame, contexts: DataFrame, window: str = "15 minutes") -> DataFrame:
     """Searches and later context calls of the same repo within the window (both sides with watermarks)."""
-    s = searches.filter("command = 'search'").select(F.col("repo").alias("s_repo"), F.col("at").alias("s_at"), "query").withWatermark("s_at", window)
-    c = contexts.filter("command = 'context'").select(F.col("repo").alias("c_repo"), F.col("at").alias("c_at"), "resolved_path").withWatermark("c_at", window)
+    s = searches.filter("command = 'search'").select(F.col("repo").alias("s_repo"), F.col("at").alias("s_at"), "query")
+    c = contexts.filter("command = 'context'").select(F.col("repo").alias("c_repo"), F.col("at").alias("c_at"), "resolved_path")
     return s.join(c, F.expr(f"s_repo = c_repo and c_at >= s_at and c_at <= s_at + interval {window}"))
 
 

@@ -92,3 +92,27 @@ def _shipping(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: _shipping(f) for name, f in list(globals().items()) if name.startswith("op") and callable(f)}
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_BASE32 = _UPPER + "234567"
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+SQL = {
+    "op2_warc": f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages), r AS (SELECT h, max(page_id) AS ref FROM p GROUP BY 1)
+ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('{_BASE32}', CAST(((CAST('0x' || substr(x, CAST(i // 4 * 5 + 1 AS INTEGER), 5) AS BIGINT) >> (15 - i % 4 * 5)) & 31) + 1 AS INTEGER), 1)), '') AS payload_digest,
+ CASE WHEN ref = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN ref <> page_id THEN ref END AS refers_to FROM p JOIN r ON p.h = r.h""",
+    "op5_embeddings": """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+ c AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT c.x, l.y FROM c JOIN l ON c.y = l.x),
+ m AS (SELECT x, min(y) AS component_id FROM c GROUP BY 1), n AS (SELECT x, count(*) AS n FROM l GROUP BY 1)
+ SELECT m.x AS vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, m.x = component_id AS kept FROM m LEFT JOIN n ON m.x = n.x""",
+    "op10_line_dedup": f"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
+ k AS (SELECT *, translate(trim(line, {_SPACE}), '{_UPPER}', '{_LOWER}') AS key FROM l), f AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY 1 HAVING count(DISTINCT doc_id) > 1)
+ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (first <> doc_id) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (first IS NULL OR first = doc_id), '')) AS kept_sha256
+ FROM k LEFT JOIN f ON k.key = f.key GROUP BY 1""",
+}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

@@ -162,7 +162,7 @@ def joined(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     """(k, text, keep, extras) of every row."""
     maps = materialize(bitmaps(df, id_col, text_col, least), "line-bitmaps")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    source = df.select(id_in(id_col).alias("k"), F.xxhash64(text).alias("t"), text.alias("text"), *[F.col(c).alias(f"x_{c}") for c in extra or []])
+    source = df.select(id_in(id_col).alias("k"), F.xxhash64(text).alias("t"), text.alias("text"), F.col(text_col).isNull().alias("absent"), *[F.col(f"`{c}`").alias(f"x_{c}") for c in extra or []])
     return source.join(maps.select("k", "t", "keep").hint("shuffle_hash"), ["k", "t"], "left").drop("t")
 
 
@@ -187,12 +187,13 @@ def digests(df: DataFrame) -> DataFrame:
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_CHARS) -> DataFrame:
     """``df`` with the lines dropped from its texts; a text that lost nothing stays as it was, null included."""
     others = [c for c in df.columns if c not in (id_col, text_col)]
-    both, key = joined(df, id_col, text_col, least, [text_col, *others]), free_name("k", df.columns)
+    both, key = joined(df, id_col, text_col, least, others), free_name("k", df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names = b.schema.names
-            cols = [t.as_py() if not keep.is_valid else apply_bitmap(t.as_py(), keep.as_py())[0] for t, keep in zip(b.column(names.index(f"x_{text_col}")), b.column(names.index("keep")))]
+            at = [b.column(names.index(n)) for n in ("text", "keep", "absent")]
+            cols = [None if absent.as_py() else t.as_py() if not keep.is_valid else apply_bitmap(t.as_py(), keep.as_py())[0] for t, keep, absent in zip(*at)]
             yield pa.RecordBatch.from_arrays([b.column(names.index("k")), pa.array(cols, pa.string()), *(b.column(names.index(f"x_{c}")) for c in others)], [key, text_col, *others])
 
     kinds = dict(df.dtypes)

@@ -737,3 +737,52 @@ def read_cost(spark: SparkSession, sf: str) -> DataFrame:
 def occurrence_counts(spark: SparkSession, sf: str) -> DataFrame:
     n = text.occurrences(F.col("text"), F.lit("the"))
     return views.table(spark, sf, "documents").select(n.alias("n")).agg(F.count_if(F.col("n") > 0).alias("with_hit"), F.sum("n").alias("hits"))
+
+
+# More of ranking, chunking and references
+
+
+@query(f"""WITH {BM25}, t AS (SELECT query_id, max(bm25) FILTER (rank = 1) AS a, max(bm25) FILTER (rank = 2) AS b FROM r WHERE rank <= 2 GROUP BY 1)
+ SELECT query_id, CASE WHEN b IS NULL THEN 'single' WHEN (a - b) / a >= 0.1 THEN 'high' ELSE 'low' END AS level, floor(coalesce((a - b) / a, 1) * 1000 + 0.5) / 1000 AS margin FROM t""")
+def hit_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    index, lengths = _index(spark, sf)
+    words = _query_words(spark, sf).select("query_id", F.explode("words").alias("term"))
+    best = postings.top(postings.bm25(index, lengths, words), 2).select("query_id", F.col("rank").alias("place"), F.col("bm25").alias("score"))
+    return search.confidence(best).select("query_id", "level", text.round_up(F.col("margin")).alias("margin"))
+
+
+@query("""WITH c AS (SELECT l_suppkey AS query_id, 'p' || (l_partkey % 40) AS path, l_quantity - 25 AS score, l_orderkey * 10 + l_linenumber AS source_seq FROM lineitem),
+ d AS (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY score DESC, source_seq) AS best FROM c),
+ v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS place FROM d WHERE best = 1 AND score > 0)
+ SELECT d.query_id, d.source_seq, CASE WHEN v.place <= 5 THEN 'selected' WHEN d.score <= 0 THEN 'non_positive_score' WHEN d.best > 1 THEN 'deduped_lower_score' ELSE 'outside_limit' END AS decision
+ FROM d LEFT JOIN v ON d.query_id = v.query_id AND d.source_seq = v.source_seq""")
+def candidate_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    li = views.table(spark, sf, "lineitem")
+    c = li.select(F.col("l_suppkey").alias("query_id"), F.concat(F.lit("p"), F.col("l_partkey") % 40).alias("path"), (F.col("l_quantity") - 25).alias("score"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("source_seq"), F.lit(1).alias("start_line"))
+    return search.decisions(c, 5).select("query_id", "source_seq", "decision")
+
+
+@query("""WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: '# ' || x) AS lines FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, lines, unnest(range(0, len(lines), 9)) AS a FROM l)
+ SELECT doc_id, CAST(a // 9 AS INTEGER) AS ordinal, CAST(a + 1 AS INTEGER) AS start_line, CAST(least(a + 9, len(lines)) AS INTEGER) AS end_line, sha256(array_to_string(lines[a + 1 : a + 9], chr(10))) AS hash FROM w""")
+def markdown_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line a heading: a section is nine lines."""
+    d = views.table(spark, sf, "documents").filter("text is not null")
+    md = d.select("doc_id", F.concat(F.lit("# "), F.regexp_replace("text", "\n", "\n# ")).alias("text"), F.lit("markdown").alias("language"))
+    return chunk.chunk(md, ["doc_id"]).select("doc_id", "ordinal", "start_line", "end_line", F.sha2("chunk", 256).alias("hash"))
+
+
+@query("SELECT CASE WHEN p_partkey % 2 = 0 THEN 'apps/web/m_' ELSE 'src/m_' END || p_partkey || '.ts' AS path, '@/p' || p_partkey AS specifier, CASE WHEN p_partkey % 2 = 0 THEN 'apps/web/app/p' ELSE 'src/p' END || p_partkey AS target FROM part")
+def alias_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    """Aliases of the nearest configuration: the web application has its own."""
+    rules = references.alias_rules("tsconfig.json", '{"compilerOptions": {"paths": {"@/*": ["src/*"]}}}') + references.alias_rules("apps/web/tsconfig.json", '{"compilerOptions": {"paths": {"@/*": ["app/*"]}}}')
+    p, k = views.table(spark, sf, "part"), F.col("p_partkey")
+    f = p.select(F.concat(F.when(k % 2 == 0, "apps/web/m_").otherwise("src/m_"), k, F.lit(".ts")).alias("path"), F.lit("typescript").alias("language"), F.concat(F.lit("import x from '@/p"), k, F.lit("'")).alias("text"))
+    return references.extract(f, rules).select("path", "specifier", F.col("candidates")[0].alias("target"))
+
+
+@query("""SELECT l_suppkey AS query_id, CAST(count(*) AS BIGINT) AS paths, CAST(sum(n) AS BIGINT) AS reasons FROM (SELECT l_suppkey, l_partkey, count(DISTINCT l_returnflag) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1""")
+def merged_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours merged by path, their reasons without repeats; the budget is off."""
+    li = views.table(spark, sf, "lineitem")
+    rel = li.groupBy(F.col("l_suppkey").cast("string").alias("target"), F.concat(F.lit("p"), "l_partkey").alias("path")).agg(F.array_sort(F.collect_set("l_returnflag")).alias("reasons"))
+    return rel.groupBy(F.col("target").cast("long").alias("query_id")).agg(F.count(F.lit(1)).alias("paths"), F.sum(F.size("reasons")).alias("reasons"))

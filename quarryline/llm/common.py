@@ -87,9 +87,11 @@ def split_hot_join(left: DataFrame, right: DataFrame, key: list[str], weight: st
     total = right.agg(F.sum(weight)).first()[0] or 0
     limit = max(total // share, 1000)
     hot = right.filter(F.col(weight) > limit)
-    if total <= 1000 or not hot.take(1):
+    if total <= 1000:
         return left.join(right, key, "left")
+    if not hot.take(1):
+        return left.join(right.hint("merge"), key, "left")
     tagged = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
     cols = [c for c in right.columns if c not in key]
-    rest = tagged.filter(F.col("_hot").isNull()).drop("_hot", *cols).join(right.filter(F.col(weight) <= limit), key, "left")
+    rest = tagged.filter(F.col("_hot").isNull()).drop("_hot", *cols).join(right.filter(F.col(weight) <= limit).hint("merge"), key, "left")
     return tagged.filter(F.col("_hot")).drop("_hot").unionByName(rest)

@@ -31,7 +31,7 @@ from quarryline.llm.common import id_in, id_out, materialize, split_hot_join
 from quarryline.llm.components import components
 
 WIDTH, THRESHOLD = 5, 85
-BINS, ROWS = 384, 8
+BINS, ROWS = 252, 7
 #: Hubs whose sets a task holds at once.
 HUBS = 64
 BLOCK = 1 << 20
@@ -205,17 +205,19 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = materialize(sigs.filter("n > 0").groupBy(*key).agg(F.min("k").alias("c"), F.count(F.lit(1)).alias("copies")), "classes")
     of = materialize(split_hot_join(sigs.select("k", *key), classes, key, "copies").select("k", "n", F.coalesce("c", "k").alias("c")), "class-of")
     # A class goes on as the row of its smallest id; two rows with that id and one set give equal bucket rows.
-    reps = sigs.filter("size(bands) > 0").join(classes.withColumnRenamed("c", "k"), [*key, "k"]).select("k", "n", "bands")
-    buckets = reps.select(F.col("k").alias("c"), "n", F.explode("bands").alias("b")).distinct()
+    # Merge joins where a side grows with the corpus: small corpora then take the same plan as large ones.
+    reps = sigs.filter("size(bands) > 0").join(classes.withColumnRenamed("c", "k").hint("merge"), [*key, "k"]).select(F.col("k").alias("c"), "n", "bands").dropDuplicates(["c", "n"])
+    reps = materialize(reps, "representatives")
+    buckets = reps.select("c", F.explode("bands").alias("b"))
     sizes = materialize(buckets.groupBy("b").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "bucket-sizes")
     members = materialize(_with_sizes(buckets, sizes), "members")
-    degree = members.groupBy("c").agg(F.sum("size").alias("degree"))
+    degree = members.groupBy("c").agg(F.sum("size").alias("degree")).join(reps.select("c", "n"), "c")
     members = materialize(members.join(degree, "c").select("b", "c", "n", "degree"), "members")
     top = members.groupBy("b").agg(F.max(F.struct("degree", F.bitwise_not("c").alias("not_c"))).alias("x"), F.count(F.lit(1)).alias("size")).select("b", "size", F.bitwise_not("x.not_c").alias("hub"))
     star = split_hot_join(members, materialize(top, "hubs"), ["b"], "size").filter("c <> hub").select(F.col("c").alias("a"), F.col("hub").alias("b")).distinct()
     family = materialize(components(star), "families").withColumnRenamed("node", "c").withColumnRenamed("component", "family")
     members = materialize(members.join(family, "c", "left").withColumn("family", F.coalesce("family", "c")), "members")
-    texts = materialize(source.withColumnRenamed("k", "c").join(members.select("c").distinct(), "c", "left_semi"), "candidate-texts")
+    texts = materialize(source.withColumnRenamed("k", "c").join(members.select("c").distinct().hint("merge"), "c", "left_semi"), "candidate-texts")
     found, tested, hubs, parts = None, None, 1, None
     while True:
         pairs, members = _stars(members, hubs, threshold)

@@ -1,7 +1,7 @@
 """Encoding and decoding of whole texts with a lexicon of the corpus's frequent pieces.
 
 ``build_lexicon`` counts pieces over all documents (partial counts per task, so one hot piece is one row per
-task), keeps the ``size`` most frequent ones and compiles them with their ids into a minimal acyclic transducer
+task), keeps those that are at least one in ``size`` of all and compiles them with their ids into a minimal acyclic transducer
 in the shared folder, which the tasks map into memory. The size bounds memory alone: a piece that the lexicon
 lacks is merged exactly, with the same ids.
 
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarryline.llm.bpe import Codec, Lexicon, codec
-from quarryline.llm.common import new_dir, posix
+from quarryline.llm.common import drop_written, materialize, new_dir, posix
 
-LEXICON_PIECES = 1 << 15
+LEXICON_PIECES = 1 << 17
 #: A task hands on its counts when it holds so many different pieces.
 COUNTED_AT_ONCE = 500_000
 
@@ -38,9 +38,9 @@ def build_lexicon(df: DataFrame, tokenizer: str, text_col: str = "text", size: i
         code, found = codec(tokenizer), Counter()
 
         def give() -> Iterator[pa.RecordBatch]:
-            # A piece that a task saw once is no candidate by itself, but may add up: all go on, in one row each.
-            keys = list(found)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([found[k] for k in keys], pa.int64())], ["piece", "n"])
+            # All pieces go on, also those a task saw once: they may add up. The null piece counts all of them.
+            keys = [*found, None]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([*found.values(), found.total()], pa.int64())], ["piece", "n"])
             found.clear()
 
         for b in batches:
@@ -52,14 +52,17 @@ def build_lexicon(df: DataFrame, tokenizer: str, text_col: str = "text", size: i
         if found:
             yield from give()
 
-    top = (
-        df.select(F.col(text_col).cast("string").alias("text"))
-        .mapInArrow(count, "piece string, n long")
-        .groupBy("piece").agg(F.sum("n").alias("n"))
-        .filter("n > 1 and length(piece) <= 64").orderBy(F.desc("n"), "piece").limit(size)
+    counted = (
+        df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "piece string, n long")
+        .groupBy("piece").agg(F.sum("n").alias("n")).filter("piece is null or (n >= 4 and length(piece) <= 64)")
     )
+    counted = materialize(counted, "pieces")
+    total = counted.filter("piece is null").agg(F.max("n")).first()[0] or 0
+    # Fewer than ``size`` pieces can each be a ``size``-th of all: no sort, and a bound on what the driver takes.
+    top = counted.filter("piece is not null").filter(F.col("n") * size >= total)
     plain = Codec(tokenizer)
     words = [(r.piece.encode(), np.frombuffer(plain.merge(r.piece), "<u4").tolist()) for r in top.collect()]  # at most ``size`` rows
+    drop_written(counted)
     folder = posix(new_dir(spark, "lexicon"))
     os.makedirs(folder, exist_ok=True)
     Lexicon.build(f"{folder}/lexicon.bin", words)

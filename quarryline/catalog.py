@@ -279,7 +279,7 @@ def top_degree(spark: SparkSession, sf: str) -> DataFrame:
     return graph.top_degree(graph.degrees(views.repo_files(spark, sf), views.repo_edges(spark, sf))).select("path", "total")
 
 
-CYC = "v_cyc AS (SELECT DISTINCT 'n' || (o_custkey % 150) AS src, 'n' || ((o_orderkey // 97) % 150) AS dst FROM orders WHERE o_orderkey % 97 = 0)"
+CYC = "v_cyc AS (SELECT DISTINCT 'n' || n AS src, 'n' || CASE WHEN o_orderkey % 2 = 0 AND n % 7 = 3 THEN n - n % 10 WHEN n % 10 = 9 THEN n ELSE n + 1 END AS dst FROM (SELECT o_orderkey, o_custkey % 400 AS n FROM orders))"
 
 
 @query(f"WITH {CYC} SELECT path, CAST(i AS BIGINT) AS inbound, CAST(o AS BIGINT) AS outbound FROM (SELECT dst AS path, count(*) AS i FROM v_cyc GROUP BY 1) JOIN (SELECT src AS path, count(*) AS o FROM v_cyc GROUP BY 1) USING (path)")
@@ -682,11 +682,11 @@ def miss_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return evalkit.explain_misses(t).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {FILES}, k AS (SELECT CAST(item_id AS VARCHAR) AS query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: length(x) > 5)[:4])) AS term FROM benchmark WHERE item_id % 5 = 0)
+@query(f"""WITH {FILES}, k AS (SELECT CAST(item_id AS VARCHAR) AS query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: length(x) > 5)[:4])) AS term FROM benchmark)
  SELECT query_id, path, CAST(sum(4 * ((length(lower(path)) - length(replace(lower(path), term, ''))) // length(term)) + (length(lower(text)) - length(replace(lower(text), term, ''))) // length(term)) AS BIGINT) AS score
  FROM v_files JOIN k ON contains(lower(path), term) OR contains(lower(text), term) GROUP BY 1, 2""")
 def lexical_baseline(spark: SparkSession, sf: str) -> DataFrame:
-    b = views.table(spark, sf, "benchmark").filter("item_id % 5 = 0")
+    b = views.table(spark, sf, "benchmark")
     words = F.filter(F.split(F.lower("text"), "[^a-z0-9_]+"), lambda t: F.length(t) > 5)
     q = b.select(F.col("item_id").cast("string").alias("query_id"), F.array_distinct(F.slice(words, 1, 4)).alias("terms"))
     return evalkit.lexical_scores(q, views.files(spark, sf, True))

@@ -56,8 +56,11 @@ def repo_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cyclic_edges(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").filter("o_orderkey % 97 = 0")
-    return o.select(F.concat(F.lit("n"), F.col("o_custkey") % 150).alias("src"), F.concat(F.lit("n"), (F.col("o_orderkey") / 97).cast("long") % 150).alias("dst"), F.lit("imports").alias("kind")).distinct()
+    """A graph of 400 nodes in chains of ten, some of which lead back to their chain's start."""
+    n, o = F.col("o_custkey") % 400, F.col("o_orderkey")
+    to = F.when((o % 2 == 0) & (n % 7 == 3), n - n % 10).when(n % 10 == 9, n).otherwise(n + 1)
+    e = table(spark, sf, "orders").select(F.concat(F.lit("n"), n).alias("src"), F.concat(F.lit("n"), to).alias("dst"))
+    return e.distinct().withColumn("kind", F.lit("imports"))
 
 
 def usage(spark: SparkSession, sf: str) -> DataFrame:

@@ -21,7 +21,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 #: Pieces that a process remembers at most; then it starts afresh. Bounds memory, changes no result.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 250_000
 #: White space other than the blank and the line feed, and the separators that str.split() cuts at but a tokenizer does not.
 _RARE = "\t\x0b\x0c\r\x01\x1c\x1d\x1e\x1f\x85\xa0                　"
 _UNSURE = regex.compile(r"[\p{Cn}]")

@@ -27,7 +27,7 @@ from quarryline.llm.common import drop_written, materialize, new_dir, posix
 
 LEXICON_PIECES = 1 << 17
 #: A task hands on its counts when it holds so many different pieces.
-COUNTED_AT_ONCE = 500_000
+COUNTED_AT_ONCE = 200_000
 
 
 def build_lexicon(df: DataFrame, tokenizer: str, text_col: str = "text", size: int = LEXICON_PIECES) -> str:

@@ -116,9 +116,18 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield _batch(RUN_NAMES, z + np.int32(1), spread, t[row2], k[row2], t[row2], st2.astype(np.int32), n2.astype(np.int32), z)
 
 
+def _copies(last: tuple[int, ...] | None, cols: list[np.ndarray]) -> np.ndarray:
+    """Which sorted rows equal the one before them; ``last`` came before the first."""
+    same = np.ones(len(cols[0]), bool)
+    same[0] = last == tuple(int(x[0]) for x in cols)
+    for x in cols:
+        same[1:] &= x[1:] == x[:-1]
+    return same
+
+
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted runs: kind 1, windows that are repeats; kinds 2 and 3, first runs of an anchor that has several, few or many."""
-    last: tuple[int, int] | None = None
+    last: tuple[int, ...] | None = None
     held: list[np.ndarray] | None = None  # first runs of the anchor that is open
     hot: int | None = None  # the open anchor, if it has many runs already
 
@@ -140,8 +149,11 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         c = [x.to_numpy() for x in b.columns]
         a, s = c[1], c[2]
-        first = np.concatenate(([last != (int(a[0]), int(s[0]))], (a[1:] != a[:-1]) | (s[1:] != s[:-1])))
-        last = (int(a[-1]), int(s[-1]))
+        first = np.concatenate(([last is None or last[:2] != (int(a[0]), int(s[0]))], (a[1:] != a[:-1]) | (s[1:] != s[:-1])))
+        # A run met again at its own place is a row repeated in full, from another batch: no repeat. (Kind 1 rows may differ in n.)
+        copy = _copies(last, c[1:6]) & (c[0] == 0)
+        last = tuple(int(x[-1]) for x in c[1:6])
+        first, c = first[~copy], [x[~copy] for x in c]
         again = (c[0] == 1) | ~first
         if again.any():
             yield out(1, [x[again] for x in c])
@@ -247,7 +259,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted by anchor and hash: repeats among windows' hashes, and by suffix arrays among runs."""
     held: list[tuple] = []  # anchor, k, t, st, o, data
     size = 0
-    last: tuple[int, int] | None = None
+    last: tuple[int, ...] | None = None
 
     def finish(groups: list[tuple]) -> Iterator[pa.RecordBatch]:
         groups.sort(key=lambda g: g[1:4])
@@ -265,14 +277,18 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         three = np.flatnonzero(path == 3)
         if len(three):
             x, y = a[three], h[three]
-            first = np.concatenate(([last != (int(x[0]), int(y[0]))], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
-            last = (int(x[-1]), int(y[-1]))
-            q = three[~first]
+            first = np.concatenate(([last is None or last[:2] != (int(x[0]), int(y[0]))], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+            place = [x, y, *(b.column(i).to_numpy()[three] for i in (3, 4, 5))]
+            copy = _copies(last, place)  # the same window, of a row repeated in full
+            last = tuple(int(v[-1]) for v in place)
+            q = three[~first & ~copy]
             if len(q):
                 yield _batch(SPAN_NAMES, *(b.column(i).to_numpy()[q] for i in (3, 4, 5, 6)))
         two = np.flatnonzero(path == 2)
         cols = [b.column(i).to_numpy() for i in (3, 4, 5, 7)]
         for i in two.tolist():
+            if held and held[-1][:4] == (a[i], *(c[i] for c in cols[:3])):
+                continue  # the same run, of a row repeated in full
             if size > SYMBOLS and held[-1][0] != a[i]:
                 yield from finish(held)
                 held, size = [], 0

@@ -204,6 +204,33 @@ def test_suffix_dedup_blocks_and_hot_anchors(monkeypatch):
     assert out == brute.suffix(ROWS)
 
 
+def test_suffix_dedup_of_repeated_rows(spark, monkeypatch):
+    """Rows repeated in full, in other partitions or batches, are one document; each gets its result."""
+    cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    rows = [*ROWS, (None, "y" + ROWS[0][1])]
+    single = rows_of(suffixdedup.digests(frame(spark, rows)), *cols)
+    want = brute.suffix([(k if k is not None else -(10**9), t) for k, t in rows])
+    assert single == [(None, *want[0][1:]), *want[1:]]
+    again = frame(spark, rows).union(frame(spark, rows[::-1])).union(frame(spark, [r for r in rows for _ in range(2)]))
+    assert rows_of(suffixdedup.digests(again), *cols) == [r for r in single for _ in range(4)]
+    alone = frame(spark, [ROWS[0]]).union(frame(spark, [ROWS[0]]))
+    assert [r.text for r in suffixdedup.dedup(alone).collect()] == [ROWS[0][1]] * 2
+    # Anchors with many runs, whose windows travel as hashes.
+    monkeypatch.setattr(suffixdedup, "GROUP", 1)
+    docs = pa.RecordBatch.from_pydict({"k": [k for k, _ in ROWS], "t": [0] * len(ROWS), "text": [t or "" for _, t in ROWS]})
+    order = lambda b, by: pa.Table.from_batches(list(b)).sort_by([(c, "ascending") for c in by]).combine_chunks().to_batches(max_chunksize=37)
+    found = []
+    for copies in (1, 3):
+        marks = pa.Table.from_batches(list(suffixdedup._repeats(iter(order(suffixdedup._anchors(iter([docs] * copies)), ["a", "s", "k", "t", "st"]))))).to_pylist()
+        want = [[{c: m[c] for c in ("kind", "a", "st", "n", "o")} for m in marks if m["k"] == k and m["kind"] > 1] for k, _ in ROWS]
+        kind = pa.list_(pa.struct([("kind", pa.int32()), ("a", pa.int64()), ("st", pa.int32()), ("n", pa.int32()), ("o", pa.int32())]))
+        asked = pa.RecordBatch.from_arrays([*docs.columns, pa.array(want, kind)], ["k", "t", "text", "want"])
+        spans = [s for b in suffixdedup._settle(iter(order(suffixdedup._cut(iter([asked] * copies)), ["a", "h", "k", "t", "st"]))) for s in b.to_pylist()]
+        mine = [m for m in marks if m["kind"] == 1] + spans
+        found.append({(m["k"], x) for m in mine for x in range(m["st"], m["st"] + m["n"])})
+    assert found[0] == found[1]
+
+
 def test_line_dedup(spark):
     cols = ("doc_id", "n_lines", "n_dropped", "kept_sha256")
     assert rows_of(linededup.digests(frame(spark, ROWS)), *cols) == brute.lines(ROWS)

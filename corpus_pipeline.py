@@ -23,16 +23,17 @@ def _counted(df: DataFrame) -> DataFrame:
     return df.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
-def _keep(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """The rows whose id ``verdict`` (doc_id, kept) keeps; rows that share an id share a fate. A null id is an id of its own."""
-    kept = verdict.filter("kept").select(id_in("doc_id").alias("_k")).distinct()
-    return docs.withColumn("_k", id_in("doc_id")).join(kept, "_k", "left_semi").select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with _k and _t, the id (a null id is an id of its own) and a hash of the text: together they name a document."""
+    return docs.withColumn("_k", id_in("doc_id")).withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the weak-supervision verdict reject go."""
     ship(spark)
-    return _keep(docs, quality.judge(docs))
+    keyed = _keyed(docs)
+    kept = quality.judge(keyed, others=["_k", "_t"]).filter("kept").select("_k", "_t").distinct()
+    return keyed.join(kept, ["_k", "_t"], "left_semi").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +43,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, that of the smallest id; rows repeated in full are one document."""
     ship(spark)
-    # Rows that repeat in full would all stay, as one node.
-    return _keep(docs, minhash.near_components(docs)).dropDuplicates(["doc_id"])
+    keyed = _keyed(docs)
+    names = materialize(keyed.select("_k", "_t").distinct(), "names")
+    if names.groupBy("_k").count().filter("count > 1").take(1):
+        # Rows of one id and different texts are nodes of their own: numbers in the order of (id, hash) stand for them.
+        numbers = materialize(names.orderBy("_k", "_t").withColumn("_n", F.monotonically_increasing_id()), "numbers")
+        keyed, node = materialize(keyed.join(numbers, ["_k", "_t"]), "numbered"), "_n"
+    else:
+        node = "_k"
+    # A null id is the smallest, as a null node is.
+    kept = minhash.near_components(keyed, "doc_id" if node == "_k" else node).filter("kept").select(id_in("doc_id").alias(node)).distinct()
+    rows = keyed.join(kept, node, "left_semi")
+    # Of rows repeated in full one stays, whatever the order they come in.
+    others = [c for c in COLUMNS if c != "text"]
+    one = rows.groupBy("_k", "_t").agg(F.min(F.struct(*others, "text")).alias("one"))
+    return one.select(*[F.col(f"one.{c}") for c in COLUMNS])
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

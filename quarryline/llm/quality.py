@@ -26,11 +26,12 @@ START_GOOD, START_ON_GOOD, START_ON_BAD = 0.85, 0.98, 0.4
 RULES = ["length", "word_length", "symbols", "dup_lines", "repeats", "distinct", "stops", "capitals"]
 
 
-def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the measures of each text, row by row, without a shuffle."""
+def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", others: list[str] | None = None) -> DataFrame:
+    """doc_id, the columns ``others`` and the measures of each text, row by row, without a shuffle."""
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     words = F.filter(F.split("text", WS + "+"), lambda w: w != "")
-    a = df.select(F.col(id_col).cast("long").alias("doc_id"), t.alias("text")).withColumn("words", words)
+    others = others or []
+    a = df.select(F.col(id_col).cast("long").alias("doc_id"), t.alias("text"), *others).withColumn("words", words)
     a = a.withColumn("n_words", F.size("words").cast("long"))
     # Hashes of all windows of three words, with their places; sorting brings equal ones together.
     h = F.transform("words", lambda w: F.xxhash64(w))
@@ -55,7 +56,7 @@ def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
         F.size("lines").alias("n_lines"), upper.alias("n_upper"), letters.alias("n_letters"),
         F.size(F.array_distinct("h")).alias("n_distinct"),
-        F.size(F.filter("words", lambda w: (F.length(w) <= 3) & (F.lower(w) != F.upper(w)))).alias("n_short"),
+        F.size(F.filter("words", lambda w: (F.length(w) <= 3) & (F.lower(w) != F.upper(w)))).alias("n_short"), *others,
     )
 
 
@@ -115,12 +116,12 @@ def posterior(x: list[float]) -> Column:
     return good / (good + bad)
 
 
-def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: the measures, base_failed, the votes, p_quality and kept.
+def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", others: list[str] | None = None) -> DataFrame:
+    """One row per document: the measures, the columns ``others``, base_failed, the votes, p_quality and kept.
 
     Measures and votes (some 60 bytes a document) are written once, so that texts are read in one pass.
     """
-    v = materialize(votes(measured(df, id_col, text_col)), "measures")
+    v = materialize(votes(measured(df, id_col, text_col, others)), "measures")
     x = estimate(v)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return v.withColumn("base_failed", failed).withColumn("p_quality", posterior(x)).withColumn("kept", ~failed & (F.col("p_quality") >= KEEP))

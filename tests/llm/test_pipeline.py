@@ -1,5 +1,7 @@
 """The pipeline's stages against brute force, each on its own input."""
 
+import random
+
 import corpus_pipeline as C
 from tests.llm import brute
 from tests.llm.test_operators import ROWS
@@ -33,3 +35,23 @@ def test_stages(spark, tmp_path):
             assert all(brute.sha(t or "") == want[k] for k, t in new if (t or "").isascii())
         now = new
     assert C.run(spark, sf).count() == len(out)
+
+
+def test_null_and_shared_ids(spark):
+    """Rows without an id, or with one id and different texts, are documents of their own."""
+    r = random.Random(8)
+    prose = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7))) + r.choice(["", " of the", " it"]) for _ in range(120)) + "."
+    good, junk = [prose() for _ in range(8)], "spam " * 300
+    near = good[6] + " more"
+    rows = [(None, good[0]), (None, good[1]), (None, junk), (None, good[0]), (5, good[2]), (5, good[3]), (5, junk), (6, good[4]), (7, good[4]), (8, good[5]), (9, good[6]), (9, good[7]), (9, near), (10, None)]
+    docs = spark.createDataFrame([(k, t, "en", s, len(t or "")) for k, t in rows for s in "ab"], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    key = lambda x: (x[0] is not None, x[0] or 0, x[1] or "")
+    pairs = lambda df: sorted(((x.doc_id, x.text) for x in df.collect()), key=key)
+    assert pairs(C.quality_rules(spark, docs, "")) == sorted(((k, t) for k, t in rows if t not in (junk, None) for _ in "ab"), key=key)
+    out = pairs(C.near_dedup(spark, docs, ""))
+    assert len(out) == len(set(out))
+    assert {t for _, t in out} - {good[6], near} == {t for _, t in rows} - {good[6], near}
+    assert len({(9, good[6]), (9, near)} & set(out)) == 1
+    assert (6, good[4]) in out and (7, good[4]) not in out and sum(t == junk for _, t in out) == 1
+    alone = docs.filter("doc_id in (6, 7, 8)")
+    assert pairs(C.near_dedup(spark, alone, "")) == [(6, good[4]), (8, good[5])]

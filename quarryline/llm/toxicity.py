@@ -20,6 +20,7 @@ gives no rows; other columns are not read.
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -35,6 +36,8 @@ LABELLED = 20_000
 LEXICON = 4096
 LEAST_LLR = 28.0
 PREDICT_AT = 0.3
+#: Characters decoded between looks at what all paths agree on.
+SETTLE = 64
 #: Tokens a process remembers at most.
 MEMO_TOKENS = 300_000
 
@@ -109,8 +112,13 @@ class Restorer:
         """The likeliest text; breaks are blanks."""
         costs = self.costs
         best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        last = ""
-        for ch in observed:
+        last, settled = "", []
+        for at, ch in enumerate(observed):
+            if at % SETTLE == 0 and at:
+                # What all paths begin with is decided, so that texts of any length take linear time.
+                n = len(os.path.commonprefix([text for _, text in best.values()]))
+                settled.append(next(iter(best.values()))[1][:n])
+                best = {key: (cost, text[n:]) for key, (cost, text) in best.items()}
             options: list[tuple[str, float]] = []
             if ch in _CLASS or ch.isalpha():
                 options.append((ch, 0.0))
@@ -134,7 +142,11 @@ class Restorer:
                         step[key] = new
             best = step
         _, text = min((cost + costs[0 if b == 0 else a, b, 0], text) for (a, b), (cost, text) in best.items())
-        return text
+        return "".join([*settled, text])
+
+    def spelled(self, tokens: list[str]) -> list[str]:
+        """The words that runs of single characters spell."""
+        return [w for run in spaced(tokens) for w in re.split(r"\s+", self.restore(run)) if w]
 
     def words(self, token: str) -> list[str]:
         """The words of a lower-case token, restored if it looks disguised."""
@@ -142,7 +154,7 @@ class Restorer:
         if not w:
             return []
         if not w.isalpha() and (_LEETED.search(w) or _DOTTED.search(w)) or _TRIPLE.search(w):
-            w = self.restore(w[:256]) if len(w) <= 256 else w
+            w = self.restore(w)
         if w.isalpha():
             return [w]
         return [x for x in re.split(r"[^\w]+|\d+|_+", w) if x]
@@ -170,9 +182,7 @@ def _document_words(r: Restorer, text: str | None) -> tuple[list[str], int]:
     """All words of a text, restored, and the number of tokens."""
     tokens = (text or "").lower().split()
     words = [w for t in tokens for w in r.words(t)]
-    for run in spaced(tokens):
-        words += [w for w in re.split(r"\s+", r.restore(run)) if w]
-    return words, len(tokens)
+    return words + r.spelled(tokens), len(tokens)
 
 
 class Scorer:
@@ -203,10 +213,7 @@ class Scorer:
                 else:
                     single += 1
         if single >= 3:
-            for run in spaced(tokens):
-                w = self.weight(re.split(r"\s+", self.restorer.restore(run[:512])))
-                if w > 0:
-                    hits.append(w)
+            hits += [w for w in (self.weight([x]) for x in self.restorer.spelled(tokens)) if w > 0]
         return max(hits, default=0.0), float(len(hits)), 100.0 * len(hits) / max(1, len(tokens))
 
     def score(self, text: str | None) -> float:

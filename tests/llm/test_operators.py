@@ -2,6 +2,7 @@
 
 import random
 import string
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -285,6 +286,26 @@ def test_toxicity(spark):
     assert none.agg({"score": "max"}).first()[0] < 0.3
 
 
+def test_toxicity_behind_long_runs_and_in_long_tokens():
+    """Words count wherever they stand in a letter-spaced text or a joined token, and decoding takes linear time."""
+    clean = ["house", "river", "stone", "green", "evening", "garden"] * 60
+    counts = toxicity.word_counts([*clean, "idiot", "idiot"] * 20)
+    s = toxicity.Scorer(-np.log(toxicity.model(counts)), {"idiot": 3.0}, [-3.0, 4.0, 1.0, 0.0, 0.0], 0.1)
+    plain = "".join(clean)
+    assert s.measure(" ".join(plain[:200] + "idiot"))[1] > 0
+    assert s.measure(" ".join(plain))[1] == 0
+    assert s.measure(" ".join(plain + "idiot"))[1] > 0 and s.measure(" ".join(plain + "idiot" + plain))[1] > 0
+    for joint in "._-":
+        assert s.measure(joint.join(plain + "idiot"))[1] > 0, joint
+        assert s.measure(joint.join([*clean, "1d10t"]))[1] > 0 and s.measure(joint.join(clean))[1] == 0, joint
+    words = toxicity._document_words(s.restorer, " ".join(plain + "idiot"))[0]
+    assert "".join(words).endswith("idiot")
+    for odd in ("1", "a", "*", "i.", "1!|", "a1"):
+        start = time.perf_counter()
+        s.restorer.restore(odd * (40_000 // len(odd)))
+        assert time.perf_counter() - start < 20, odd
+
+
 def test_held_out_rows_teach_nothing(spark):
     import zlib
 

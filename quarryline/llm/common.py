@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import functools
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null identifier inside a plan (it sorts first, as null does) and turns back into null at the end.
 NULL_ID = -(1 << 63)
+#: Set while a table is written: its shuffle files go as soon as it is there.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: list[str] = []
+_open: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,18 +49,59 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_dir(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    gc.collect()
-    spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of the plan just written
-    return out
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)  # a DataFrame of its own, so that the setting holds for its plan
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    if _open:
+        _open[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if "://" not in path or path.startswith("file://"):
+        shutil.rmtree(posix(path), ignore_errors=True)
+    else:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def tidy(f: Callable) -> Callable:
+    """Deletes the tables that a call of ``f`` wrote, but for those that the DataFrames it returns read.
+
+    Calls may nest: what an inner call's result reads goes to the outer call's account.
+    """
+
+    @functools.wraps(f)
+    def run(*args: object, **named: object) -> object:
+        _open.append([])
+        try:
+            out = f(*args, **named)
+        finally:
+            written = _open.pop()
+        results = [x for x in (out if isinstance(out, tuple) else (out,)) if isinstance(x, DataFrame)]
+        if results and written:
+            used = {os.path.dirname(p).rsplit("/", 1)[-1] for x in results for p in x.inputFiles()}
+            for path in written:
+                if path.rsplit("/", 1)[-1] not in used:
+                    _delete(results[0].sparkSession, path)
+                elif _open:
+                    _open[-1].append(path)
+        return out
+
+    return run
 
 
 def drop_written(df: DataFrame) -> None:
     """Delete a table that ``materialize`` wrote and nothing reads any more."""
-    for f in {os.path.dirname(posix(p)) for p in df.inputFiles()}:
+    for f in {os.path.dirname(p) for p in df.inputFiles()}:
         if "/quarryline/" in f:
-            shutil.rmtree(f, ignore_errors=True)
+            _delete(df.sparkSession, f)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:

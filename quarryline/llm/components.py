@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import materialize, split_hot_join
+from quarryline.llm.common import materialize, split_hot_join, tidy
 
 
 def _star_forest(e: DataFrame) -> bool:
@@ -34,6 +34,7 @@ def _small(e: DataFrame) -> DataFrame:
     return turned.union(least.select("a", F.col("m").alias("b")))
 
 
+@tidy
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node that isn't the smallest of its component. edges: (a, b), in any order."""
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

@@ -4,17 +4,20 @@
    ``BINS`` bins, each holding its least hash; an empty bin takes the value of a bin that a universal hash of
    (bin, attempt) picks, trying until one is filled. Bands of ``ROWS`` bins give bucket keys. At a similarity of 0.85
    a pair misses all ``BINS / ROWS`` buckets with probability below 1e-6.
-2. Documents with equal sets form a class (its smallest doc_id stands for it); only classes go on, so that
-   thousands of copies are one row. Sets of fewer than six shingles match equal sets alone at 0.85.
+2. Rows with equal sets form a class, which has a number and the text of a row of its smallest doc_id; only classes go
+   on, so that thousands of copies are one row. Sets of fewer than six shingles match equal sets alone at 0.85.
 3. Buckets turn into stars: the member with the most bucket mates is the hub and is paired with the others, so
    that pairs grow with members, not with their square. Members that stars connect are a family. A pair is confirmed
    on full sets: texts of a family's members stream past the sets of its hubs, spread over many tasks.
 4. Links join components. In buckets whose members still lie in several components, further members become hubs
-   (eight times as many each round) until each pair of members was compared or is connected: stars lose no link.
+   (eight times as many each round, ``MOST_HUBS`` at most) until each pair of members was compared or is connected:
+   stars lose no link. Pairs grow with members unless a bucket keeps falling into pieces; how many rounds it
+   takes then is the price of losing none.
 
 Texts: A-Z lower-cased, words of characters other than blank and U+0009-U+000D. Null or wordless texts have an empty
-set and link with nothing. Rows that share an id are one node, repeated rows repeat; a null id is an id of its own
-(the smallest). An empty table gives no rows; other columns are not read.
+set and link with nothing: each such row is a component of its own. Other rows that share an id are one node, whatever
+their texts: each of the texts links, and what they reach is one component. Repeated rows repeat; a null id is an id of
+its own (the smallest). An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quarryline.llm.common import id_in, id_out, materialize, split_hot_join
+from quarryline.llm.common import id_in, id_out, materialize, split_hot_join, tidy
 from quarryline.llm.components import components
 
 WIDTH, THRESHOLD = 5, 85
 BINS, ROWS = 252, 7
 #: Hubs whose sets a task holds at once.
 HUBS = 64
+#: Hubs of a bucket in a round at most: an array of so many travels with its members.
+MOST_HUBS = 512
 BLOCK = 1 << 20
 
 _U = np.uint64
@@ -135,10 +140,10 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["k", "n", "f1", "f2", "bands"]
+    names = ["k", "t", "n", "f1", "f2", "bands"]
     for b in batches:
         n, f1, f2, keys, ends = [], [], [], [], [0]
-        for text in b.column(1):
+        for text in b.column(2):
             s = shingle_set(text.as_py())
             n.append(len(s))
             f1.append(s.sum(dtype=np.uint64))
@@ -147,7 +152,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys.append(bands(signature(s)))
             ends.append(ends[-1] + (BINS // ROWS if len(s) >= 6 else 0))
         flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-        cols = [b.column(0), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64))]
+        cols = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64))]
         yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names)
 
 
@@ -197,16 +202,21 @@ def links(docs: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
     return both.mapInArrow(_confirm(threshold), "a long, b long")
 
 
+@tidy
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row."""
-    source = df.select(id_in(id_col).alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sigs = materialize(source.mapInArrow(_signatures, "k long, n long, f1 long, f2 long, bands array<long>"), "signatures")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    source = df.select(id_in(id_col).alias("k"), F.xxhash64(text).alias("t"), text.alias("text"))
+    sigs = materialize(source.mapInArrow(_signatures, "k long, t long, n long, f1 long, f2 long, bands array<long>"), "signatures")
     key = ["n", "f1", "f2"]
-    classes = materialize(sigs.filter("n > 0").groupBy(*key).agg(F.min("k").alias("c"), F.count(F.lit(1)).alias("copies")), "classes")
-    of = materialize(split_hot_join(sigs.select("k", *key), classes, key, "copies").select("k", "n", F.coalesce("c", "k").alias("c")), "class-of")
-    # A class goes on as the row of its smallest id; two rows with that id and one set give equal bucket rows.
+    classes = sigs.filter("n > 0").groupBy(*key).agg(F.min("k").alias("least"), F.min_by("t", "k").alias("t"), F.count(F.lit(1)).alias("copies"))
+    # A class is a node under a number that the written table fixes, not under an id, which other classes may share.
+    classes = materialize(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    of = materialize(split_hot_join(sigs.select("k", *key), classes.drop("t"), key, "copies").select("k", "n", "c", "least"), "class-of")
+    # A class goes on as a row of its smallest id and that row's text: equal texts have equal sets.
     # Merge joins where a side grows with the corpus: small corpora then take the same plan as large ones.
-    reps = sigs.filter("size(bands) > 0").join(classes.withColumnRenamed("c", "k").hint("merge"), [*key, "k"]).select(F.col("k").alias("c"), "n", "bands").dropDuplicates(["c", "n"])
+    named = classes.select("c", F.col("least").alias("k"), "t")
+    reps = sigs.filter("size(bands) > 0").join(named.hint("merge"), ["k", "t"]).select("c", "n", "bands").dropDuplicates(["c"])
     reps = materialize(reps, "representatives")
     buckets = reps.select("c", F.explode("bands").alias("b"))
     sizes = materialize(buckets.groupBy("b").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "bucket-sizes")
@@ -217,17 +227,22 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     star = split_hot_join(members, materialize(top, "hubs"), ["b"], "size").filter("c <> hub").select(F.col("c").alias("a"), F.col("hub").alias("b")).distinct()
     family = materialize(components(star), "families").withColumnRenamed("node", "c").withColumnRenamed("component", "family")
     members = materialize(members.join(family, "c", "left").withColumn("family", F.coalesce("family", "c")), "members")
-    texts = materialize(source.withColumnRenamed("k", "c").join(members.select("c").distinct().hint("merge"), "c", "left_semi"), "candidate-texts")
-    found, tested, hubs, parts = None, None, 1, None
+    asked = members.select("c").distinct().join(named.hint("merge"), "c")
+    texts = materialize(source.join(asked.hint("merge"), ["k", "t"]).select("c", "text"), "candidate-texts")
+    if texts.groupBy("c").count().filter("count > 1").take(1):  # rows repeated in full
+        texts = materialize(texts.dropDuplicates(["c"]), "candidate-texts")
+    found, tested, hubs = _shared_ids(of), None, 1
+    parts = None if found is None else materialize(components(found), "components")
     while True:
         pairs, members = _stars(members, hubs, threshold)
         if tested is not None:
             pairs = pairs.join(tested, ["h", "c"], "left_anti")  # pairs of one bucket that another one had before
         pairs = materialize(pairs, "pairs")
-        if not pairs.take(1) and not members.take(1):
+        any_pair = bool(pairs.take(1))
+        if not any_pair and not members.take(1):
             break
-        if not pairs.take(1):
-            hubs *= 8
+        hubs = min(8 * hubs, MOST_HUBS)
+        if not any_pair:
             continue
         new = materialize(links(texts, pairs, threshold), "links")
         found = new if found is None else found.unionByName(new)
@@ -236,11 +251,22 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         members = materialize(_unsettled(members, parts), "members")
         if not members.take(1):
             break
-        hubs *= 8
-    # Rows whose ids were met in several classes are one node, which the classes' ids share already.
-    out = of if parts is None else of.join(parts.withColumnRenamed("node", "c"), "c", "left")
-    comp = F.col("c") if parts is None else F.coalesce("component", "c")
-    return out.select(id_out("k").alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(comp, F.lit(-(1 << 63))).alias("component_id"), (F.col("k") == comp).alias("kept"))
+    comp = F.coalesce("least", "k")
+    if parts is not None:
+        # The smallest id of each component, from those of its classes.
+        every = parts.unionByName(parts.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("node", "c")
+        least = every.join(classes.select("c", "least"), "c").groupBy("component").agg(F.min("least").alias("reached"))
+        of = of.join(every.join(least, "component").select("c", "reached"), "c", "left")
+        comp = F.coalesce("reached", comp)
+    of = of.withColumn("comp", comp)
+    return of.select(id_out("k").alias("doc_id"), F.col("n").alias("n_shingles"), id_out("comp").alias("component_id"), (F.col("k") == F.col("comp")).alias("kept"))
+
+
+def _shared_ids(of: DataFrame) -> DataFrame | None:
+    """Links between the classes of ids that rows with different sets share."""
+    shared = of.filter("c is not null").groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("k", "lo")
+    edges = materialize(of.join(shared, "k").filter("c <> lo").select(F.col("lo").alias("a"), F.col("c").alias("b")).distinct(), "shared-ids")
+    return edges if edges.take(1) else None
 
 
 def _with_sizes(buckets: DataFrame, sizes: DataFrame) -> DataFrame:

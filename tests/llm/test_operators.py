@@ -140,6 +140,34 @@ def test_near_duplicates(spark):
     assert again == [(None, 2, None, True), (4, 2, None, False), (4, 2, None, False), (9, 0, 9, True)]
 
 
+def test_near_duplicates_under_shared_ids(spark):
+    """Every text of an id links, whatever other texts the id has."""
+    r = random.Random(21)
+    a, b, d = ([f"w{r.randrange(10**6)}" for _ in range(120)] for _ in range(3))
+    near = lambda w, i: " ".join([*w[:i], "changed", *w[i + 1 :]])
+    cols = ("doc_id", "n_shingles", "component_id", "kept")
+    shared = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a, 60)), (3, near(b, 60)), (7, " ".join(d))]
+    assert [x[::2] for x in rows_of(minhash.near_components(frame(spark, shared)), *cols)] == [(1, 1), (1, 1), (2, 1), (3, 1), (7, 7)]
+    # The id is shared by rows whose classes have smaller ids; one without words stays alone.
+    through = [(3, " ".join(a)), (5, " ".join(a)), (4, " ".join(b)), (5, " ".join(b)), (5, None), (6, near(b, 9)), (7, " ".join(d)), (8, near(d, 40)), (8, near(d, 40))]
+    got = rows_of(minhash.near_components(frame(spark, through)), *cols)
+    assert sorted(x[::2] for x in got if x[1]) == [(3, 3), (4, 3), (5, 3), (5, 3), (6, 3), (7, 7), (8, 7), (8, 7)] and (5, 0, 5, True) in got
+    assert [x[0] for x in got if x[3]] == [3, 5, 7]
+
+
+def test_near_duplicates_of_a_large_bucket(spark, monkeypatch):
+    """Texts that share a boilerplate meet in buckets and aren't similar: hubs in several rounds lose no link."""
+    monkeypatch.setattr(minhash, "MOST_HUBS", 4)
+    r = random.Random(4)
+    common = [f"c{i}" for i in range(150)]
+    rows = []
+    for i in range(45):
+        own = common + [f"w{r.randrange(10**6)}" for _ in range(40)]
+        rows += [(3 * i, " ".join(own)), (3 * i + 1, " ".join(["x", *own[1:]]))]
+    cols = ("doc_id", "n_shingles", "component_id", "kept")
+    assert rows_of(minhash.near_components(frame(spark, rows)), *cols) == brute.near(rows)
+
+
 def test_near_duplicates_of_a_drifting_family(spark):
     """Neighbours are similar, the ends are not: stars alone would lose links."""
     r = random.Random(11)

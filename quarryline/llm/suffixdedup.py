@@ -3,14 +3,16 @@
 1. Anchors. In each window of LENGTH bytes the least hashed K-gram (the leftmost, if tied) is its anchor; equal windows
    have equal anchors at equal places. Neighbouring windows with one anchor are a run, about 30 windows; a task
    sends a run as two hashes, of the anchor and of the whole run, with its document and position. Within a batch a
-   run that occurred earlier is settled at once and not sent as a candidate.
+   run that occurred earlier is settled at once and not sent as a candidate. A pass before finds the anchors that
+   hold a large share of all runs; theirs are spread over tasks by the hash of the run.
 2. Whole runs. Sorted by anchor, run, document and position, every run but the first of its kind is a repeat: the inside
    of a repeated passage needs no bytes. Different runs of one anchor may still share windows (where passages
    begin, end or differ): these first runs go on, with their bytes.
 3. Suffix arrays. The runs of an anchor meet in one task as sequences of 8-byte symbols aligned to the anchor; a suffix array
-   (linear grouping, ``suffixarray.py``) brings suffixes with 88 equal bytes together, and of these the windows with
-   equal 100 bytes are repeats but for the earliest. An anchor with more than ``GROUP`` different runs is
-   split instead: its windows go on as hashes, spread over all tasks by that hash.
+   (linear grouping, ``suffixarray.py``) groups suffixes with 88 equal bytes, and the windows of a group whose other
+   12 bytes are equal too are repeats but for the earliest. An anchor with more than ``GROUP`` different runs would
+   not fit a task: its windows go on one by one with their bytes, to tasks that a hash of them names, and are sorted there.
+   Either way bytes decide, not hashes.
 4. Repeats become intervals per document, and the texts meet them in one shuffle.
 
 Texts are their UTF-8 bytes, null is empty; matches don't cross texts. Order is (doc_id, position); rows that share
@@ -21,14 +23,14 @@ smallest. An empty table gives no rows; other columns are kept by ``dedup`` and
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import free_name, id_in, id_out, materialize
+from quarryline.llm.common import free_name, id_in, id_out, materialize, tidy
 from quarryline.llm.minhash import mix, powers, prefix_hash
 from quarryline.llm.suffixarray import suffix_array
 
@@ -37,6 +39,10 @@ WINDOWS = LENGTH - K + 1
 BLOCK = 1 << 20
 GROUP = 4096
 SYMBOLS = 1 << 16
+#: Runs a task looks at together, and windows.
+AT_ONCE, WINDOWS_AT_ONCE = 400_000, 50_000
+#: An anchor with more than one in so many of all runs is spread over tasks; there are fewer than this many.
+SHARE = 8192
 _U = np.uint64
 _LOW = _U((1 << 24) - 1)
 
@@ -87,34 +93,72 @@ def _batch(names: list[str], *cols: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names)
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _batches_of_runs(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """row, anchor, run, first window, windows, distance: the runs of a batch (k, t, text) in the order of documents, many at once."""
+    k, t = b.column(0).to_numpy(), b.column(1).to_numpy()
+    order = np.lexsort((t, k))
+    if len(order) > 1:  # rows repeated in full are one document
+        same = (k[order][1:] == k[order][:-1]) & (t[order][1:] == t[order][:-1])
+        order = order[np.concatenate(([True], ~same))]
+    pending, size = [], 0
+    for i in [*order.tolist(), -1]:
+        if i >= 0:
+            data = b.column(2)[i].as_py().encode()
+            if len(data) >= LENGTH:
+                r = all_runs(data)
+                pending.append((np.full(len(r[0]), i), *r))
+                size += len(r[0])
+        if pending and (i < 0 or size > AT_ONCE):
+            yield tuple(np.concatenate(c) for c in zip(*pending))
+            pending, size = [], 0
+
+
+def _first_runs(a: np.ndarray, s: np.ndarray) -> np.ndarray:
+    first = np.zeros(len(a), bool)
+    first[np.unique(s ^ (a * np.int64(0x9E3779B97F4A7C1 | 1)), return_index=True)[1]] = True
+    return first
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors with many different runs among those seen together, with their number; the null anchor counts all."""
     for b in batches:
-        k, t = b.column(0).to_numpy(), b.column(1).to_numpy()
-        order = np.lexsort((t, k))
-        if len(order) > 1:  # rows repeated in full are one document
-            same = (k[order][1:] == k[order][:-1]) & (t[order][1:] == t[order][:-1])
-            order = order[np.concatenate(([True], ~same))]
-        pending, size = [], 0
-        for i in [*order.tolist(), -1]:
-            if i >= 0:
-                data = b.column(2)[i].as_py().encode()
-                if len(data) >= LENGTH:
-                    r = all_runs(data)
-                    pending.append((np.full(len(r[0]), i), *r))
-                    size += len(r[0])
-            if pending and (i < 0 or size > 400_000):
-                row, a, s, st, n, o = (np.concatenate(c) for c in zip(*pending))
-                pending, size = [], 0
-                first = np.zeros(len(a), bool)
-                first[np.unique(s ^ (a * np.int64(0x9E3779B97F4A7C1 | 1)), return_index=True)[1]] = True
+        for _, a, s, _, _, _ in _batches_of_runs(b):
+            a = a[_first_runs(a, s)]
+            found, n = np.unique(a, return_counts=True)
+            # What is left out of an anchor's count is less than one in 16 * SHARE of all runs.
+            keep = n * 16 * SHARE >= len(a)
+            keep &= n > 1
+            yield pa.RecordBatch.from_arrays([pa.array([*found[keep].tolist(), None], pa.int64()), pa.array([*n[keep].tolist(), len(a)], pa.int64())], ["a", "n"])
+
+
+def hot_anchors(docs: DataFrame, least: int = GROUP) -> np.ndarray:
+    """The anchors that hold more than one in ``SHARE`` of all runs, in order. docs: (k, t, text)."""
+    n = docs.mapInArrow(_frequent, "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
+    n = materialize(n, "anchor-counts")
+    total = n.filter("a is null").agg(F.max("n")).first()[0] or 0
+    most = max(total * 15 // (16 * SHARE), least)
+    return np.array(sorted(r.a for r in n.filter("a is not null").filter(F.col("n") > most).collect()), np.int64)  # fewer than SHARE * 16 / 15 rows
+
+
+def _anchors(hot: np.ndarray) -> Callable:
+    """Runs: kind 0, the first of its kind in the batch; kind 4, such a one of a hot anchor; kind 1, windows that are repeats."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k, t = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for row, a, s, st, n, o in _batches_of_runs(b):
+                first = _first_runs(a, s)
                 one = np.flatnonzero(first)
-                yield _batch(RUN_NAMES, np.zeros(len(one), np.int32), a[one], s[one], k[row[one]], t[row[one]], st[one].astype(np.int32), n[one].astype(np.int32), o[one].astype(np.int32))
+                kind = np.where(np.isin(a[one], hot), 4, 0).astype(np.int32)
+                yield _batch(RUN_NAMES, kind, a[one], s[one], k[row[one]], t[row[one]], st[one].astype(np.int32), n[one].astype(np.int32), o[one].astype(np.int32))
                 if len(one) < len(a):
                     st2, n2, row2 = merge_spans(st[~first], n[~first], row[~first])
                     z = np.zeros(len(st2), np.int32)
                     spread = mix(k[row2].view(np.uint64)).view(np.int64)
                     yield _batch(RUN_NAMES, z + np.int32(1), spread, t[row2], k[row2], t[row2], st2.astype(np.int32), n2.astype(np.int32), z)
 
+    return run
+
 
 def _copies(last: tuple[int, ...] | None, cols: list[np.ndarray]) -> np.ndarray:
     """Which sorted rows equal the one before them; ``last`` came before the first."""
@@ -151,13 +195,17 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, s = c[1], c[2]
         first = np.concatenate(([last is None or last[:2] != (int(a[0]), int(s[0]))], (a[1:] != a[:-1]) | (s[1:] != s[:-1])))
         # A run met again at its own place is a row repeated in full, from another batch: no repeat. (Kind 1 rows may differ in n.)
-        copy = _copies(last, c[1:6]) & (c[0] == 0)
+        copy = _copies(last, c[1:6]) & (c[0] != 1)
         last = tuple(int(x[-1]) for x in c[1:6])
         first, c = first[~copy], [x[~copy] for x in c]
         again = (c[0] == 1) | ~first
         if again.any():
             yield out(1, [x[again] for x in c])
         c = [x[~again] for x in c]
+        spread = c[0] == 4
+        if spread.any():
+            yield out(3, [x[spread] for x in c])
+            c = [x[~spread] for x in c]
         if hot is not None:
             more = c[1] == hot
             if more.any():
@@ -186,8 +234,9 @@ CUT_SCHEMA = "path int, a long, h long, k long, t long, st int, n int, o int, da
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with the runs asked for: runs with their bytes (path 2), windows as hashes (path 3)."""
+    """Texts with the runs asked for: runs (path 2) or windows (path 3), with their bytes."""
     for b in batches:
+        pending, size = [], 0
         for i in range(b.num_rows):
             k, t, data = b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_py().encode()
             want = b.column(3)[i].values
@@ -202,9 +251,36 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 m = int(n[q])
                 x = np.frombuffer(data, np.uint8, m + LENGTH - 1, int(st[q]))
                 p, (_, inv) = prefix_hash(x), powers(len(x) + 1)
-                h = mix((p[LENGTH:] - p[:-LENGTH]) * inv[:m] + (int(o[q]) - np.arange(m)).astype(np.uint64)).view(np.int64)
-                full = lambda v, kind: pa.array(np.full(m, v, kind))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([full(3, np.int32), full(a[q], np.int64), pa.array(h), full(k, np.int64), full(t, np.int64), pa.array((st[q] + np.arange(m)).astype(np.int32)), full(1, np.int32), full(0, np.int32), pa.array([None] * m, pa.binary())], CUT_NAMES)
+                h = mix((p[LENGTH:] - p[:-LENGTH]) * inv[:m]).view(np.int64)
+                pending.append((np.full(m, a[q]), h, np.full(m, k), np.full(m, t), int(st[q]) + np.arange(m), np.lib.stride_tricks.sliding_window_view(x, LENGTH)))
+                size += m
+                if size > WINDOWS_AT_ONCE:
+                    yield from _windows(pending)
+                    pending, size = [], 0
+        if pending:
+            yield from _windows(pending)
+
+
+def _windows(pending: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Windows of anchors with many runs: path 3 with their bytes, but path 1 (settled) if they equal an earlier one here."""
+    a, h, k, t, st, x = (np.concatenate(c) for c in zip(*pending))
+    order = np.lexsort((st, t, k, h))
+    a, h, k, t, st, x = (c[order] for c in (a, h, k, t, st, x))
+    new = np.concatenate(([True], h[1:] != h[:-1]))
+    copy = np.concatenate(([False], ~new[1:] & (k[1:] == k[:-1]) & (t[1:] == t[:-1]) & (st[1:] == st[:-1])))  # of a row repeated in full
+    same = ~new & (x == x[np.flatnonzero(new)[np.cumsum(new) - 1]]).all(1) & ~copy
+    on, done = np.flatnonzero(~same & ~copy), np.flatnonzero(same)
+    full = lambda v, kind, q: pa.array(np.full(len(q), v, kind))
+    raw = pa.array([r.tobytes() for r in x[on]], pa.binary())
+    yield pa.RecordBatch.from_arrays([full(3, np.int32, on), pa.array(a[on]), pa.array(h[on]), pa.array(k[on]), pa.array(t[on]), pa.array(st[on].astype(np.int32)), full(1, np.int32, on), full(0, np.int32, on), raw], CUT_NAMES)
+    if len(done):
+        by = np.lexsort((st[done], t[done], k[done]))
+        q = done[by]
+        part = np.concatenate(([0], np.cumsum((k[q][1:] != k[q][:-1]) | (t[q][1:] != t[q][:-1]))))
+        s, n, _ = merge_spans(st[q], np.ones(len(q), np.int64), part)
+        at = q[np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (st[q][1:] != st[q][:-1] + 1))))]
+        spread = mix(k[at].view(np.uint64)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([full(1, np.int32, at), pa.array(spread), pa.array(spread), pa.array(k[at]), pa.array(t[at]), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), full(0, np.int32, at), pa.nulls(len(at), pa.binary())], CUT_NAMES)
 
 
 def shared_windows(entries: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -229,37 +305,44 @@ def shared_windows(entries: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.nda
     rank[begin < 0] = 0  # entries end with a symbol of their own, below all others
     sa = np.array(suffix_array(rank))
     sa = sa[left[sa] >= least]
+    none = np.empty(0, np.int64)
     if len(sa) < 2:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return none, none
     view = np.lib.stride_tricks.sliding_window_view(rank, least)
-    same = (view[sa[1:]] == view[sa[:-1]]).all(1)
+    same = (view[sa[1:]] == view[sa[:-1]]).all(1)  # neighbours in the array share the whole symbols of a window
+    group = np.cumsum(np.concatenate(([True], ~same)))
     member = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-    sa = sa[member]
-    if not len(sa):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    length = np.array([len(d) for _, d in entries])
-    w = (begin[sa][:, None] - np.arange(8)).ravel()
-    e = np.repeat(owner[sa], 8)
-    ok = (w >= 0) & (w + LENGTH <= length[e])
-    w, e = w[ok], e[ok]
+    sa, group = sa[member], group[member]
+    length, offsets = np.array([len(d) for _, d in entries]), np.array(offsets)
     x = np.frombuffer(b"".join(d for _, d in entries), np.uint8)
-    p, (_, inv) = prefix_hash(x), powers(len(x) + 1)
-    s = np.array(offsets)[e] + w
-    h = mix((p[s + LENGTH] - p[s]) * inv[s])
-    order = np.lexsort((w, e, h))
-    h, e, w = h[order], e[order], w[order]
-    later = np.concatenate(([False], h[1:] == h[:-1]))
-    return e[later], w[later]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for before in range(8):  # bytes of a window before its first whole symbol
+        w, e = begin[sa] - before, owner[sa]
+        ok = (w >= 0) & (w + LENGTH <= length[e])
+        w, e, g = w[ok], e[ok], group[ok]
+        if len(w) < 2:
+            continue
+        s = offsets[e] + w
+        rest = LENGTH - 8 * least
+        edge = np.zeros((len(s), 16), np.uint8)
+        edge[:, :before] = x[s[:, None] + np.arange(before)]
+        edge[:, before:rest] = x[s[:, None] + np.arange(before + 8 * least, LENGTH)]
+        one, two = edge.view(np.uint64).T
+        order = np.lexsort((w, e, two, one, g))
+        w, e, g, one, two = (c[order] for c in (w, e, g, one, two))
+        later = np.concatenate(([False], (g[1:] == g[:-1]) & (one[1:] == one[:-1]) & (two[1:] == two[:-1])))
+        found.append((e[later], w[later]))
+    return (np.concatenate([e for e, _ in found]), np.concatenate([w for _, w in found])) if found else (none, none)
 
 
 SPAN_NAMES = ["k", "t", "st", "n"]
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by anchor and hash: repeats among windows' hashes, and by suffix arrays among runs."""
+    """Sorted by anchor, hash and bytes: repeats among windows, by their neighbours, and among runs, by suffix arrays."""
     held: list[tuple] = []  # anchor, k, t, st, o, data
     size = 0
-    last: tuple[int, ...] | None = None
+    last: tuple | None = None
 
     def finish(groups: list[tuple]) -> Iterator[pa.RecordBatch]:
         groups.sort(key=lambda g: g[1:4])
@@ -274,14 +357,17 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not b.num_rows:
             continue
         path, a, h = (b.column(i).to_numpy() for i in range(3))
+        done = np.flatnonzero(path == 1)
+        if len(done):
+            yield _batch(SPAN_NAMES, *(b.column(i).to_numpy()[done] for i in (3, 4, 5, 6)))
         three = np.flatnonzero(path == 3)
         if len(three):
-            x, y = a[three], h[three]
-            first = np.concatenate(([last is None or last[:2] != (int(x[0]), int(y[0]))], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
-            place = [x, y, *(b.column(i).to_numpy()[three] for i in (3, 4, 5))]
-            copy = _copies(last, place)  # the same window, of a row repeated in full
-            last = tuple(int(v[-1]) for v in place)
-            q = three[~first & ~copy]
+            x = np.frombuffer(b"".join(b.column(8).take(pa.array(three)).to_pylist()), np.uint8).reshape(-1, LENGTH)
+            place = [b.column(i).to_numpy()[three] for i in (3, 4, 5)]
+            again = np.concatenate(([last is not None and last[0] == x[0].tobytes()], (x[1:] == x[:-1]).all(1)))
+            copy = _copies(last and last[1:], place) & again  # the same window, of a row repeated in full
+            last = (x[-1].tobytes(), *(int(v[-1]) for v in place))
+            q = three[again & ~copy]
             if len(q):
                 yield _batch(SPAN_NAMES, *(b.column(i).to_numpy()[q] for i in (3, 4, 5, 6)))
         two = np.flatnonzero(path == 2)
@@ -299,16 +385,18 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from finish(held)
 
 
+@tidy
 def repeated(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The keyed texts, and per document (k, t) with repeats the list of (st, n): windows that start earlier elsewhere."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(id_in(id_col).alias("k"), F.xxhash64(text).alias("t"), text.alias("text"))
-    found = docs.mapInArrow(_anchors, RUN_SCHEMA)
-    found = found.repartition("a").sortWithinPartitions("a", "s", "k", "t", "st").mapInArrow(_repeats, RUN_SCHEMA)
+    found = docs.mapInArrow(_anchors(hot_anchors(docs)), RUN_SCHEMA)
+    spread = F.when(F.col("kind") == 4, F.col("s")).otherwise(F.lit(0))
+    found = found.repartition("a", spread).sortWithinPartitions("a", "s", "k", "t", "st").mapInArrow(_repeats, RUN_SCHEMA)
     marks = materialize(found, "runs")
     want = marks.filter("kind > 1").groupBy("k", "t").agg(F.collect_list(F.struct("kind", "a", "st", "n", "o")).alias("want"))
     asked = docs.join(want, ["k", "t"]).select("k", "t", "text", "want").mapInArrow(_cut, CUT_SCHEMA)
-    spans = asked.repartition("a", "h").sortWithinPartitions("a", "h", "k", "t", "st").mapInArrow(_settle, "k long, t long, st int, n int")
+    spans = asked.repartition("a", "h").sortWithinPartitions("a", "h", "data", "k", "t", "st").mapInArrow(_settle, "k long, t long, st int, n int")
     more = materialize(spans, "spans")
     every = marks.filter("kind = 1").select(*SPAN_NAMES).unionByName(more)
     return docs, materialize(every.groupBy("k", "t").agg(F.collect_list(F.struct("st", "n")).alias("spans")), "document-spans")

@@ -218,12 +218,12 @@ def test_suffix_dedup_blocks_and_hot_anchors(monkeypatch):
     monkeypatch.setattr(suffixdedup, "GROUP", 1)
     docs = pa.RecordBatch.from_pydict({"k": [k for k, _ in ROWS], "t": [0] * len(ROWS), "text": [t or "" for _, t in ROWS]})
     order = lambda b, by: pa.Table.from_batches(list(b)).sort_by([(c, "ascending") for c in by]).combine_chunks().to_batches(max_chunksize=37)
-    marks = pa.Table.from_batches(list(suffixdedup._repeats(iter(order(suffixdedup._anchors(iter([docs])), ["a", "s", "k", "t", "st"]))))).to_pylist()
+    marks = pa.Table.from_batches(list(suffixdedup._repeats(iter(order(suffixdedup._anchors(np.empty(0, np.int64))(iter([docs])), ["a", "s", "k", "t", "st"]))))).to_pylist()
     assert any(m["kind"] == 3 for m in marks)
     want = [{"kind": 0}] and [[{c: m[c] for c in ("kind", "a", "st", "n", "o")} for m in marks if m["k"] == k and m["kind"] > 1] for k, _ in ROWS]
     kind = pa.list_(pa.struct([("kind", pa.int32()), ("a", pa.int64()), ("st", pa.int32()), ("n", pa.int32()), ("o", pa.int32())]))
     asked = pa.RecordBatch.from_arrays([*docs.columns, pa.array(want, kind)], ["k", "t", "text", "want"])
-    spans = [s for b in suffixdedup._settle(iter(order(suffixdedup._cut(iter([asked])), ["a", "h", "k", "t", "st"]))) for s in b.to_pylist()]
+    spans = [s for b in suffixdedup._settle(iter(order(suffixdedup._cut(iter([asked])), ["a", "h", "data", "k", "t", "st"]))) for s in b.to_pylist()]
     out = []
     for k, t in sorted(ROWS):
         mine = [(m["st"], m["n"]) for m in marks if m["kind"] == 1 and m["k"] == k] + [(s["st"], s["n"]) for s in spans if s["k"] == k]
@@ -233,6 +233,45 @@ def test_suffix_dedup_blocks_and_hot_anchors(monkeypatch):
     assert out == brute.suffix(ROWS)
 
 
+def test_suffix_dedup_of_hot_anchors(spark, monkeypatch):
+    """A passage in most texts: its anchors are spread, its edges settled by windows."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice(string.ascii_lowercase) for _ in range(r.randint(2, 8)))
+    passage = " ".join(word() for _ in range(60))
+    rows = [(i, " ".join(word() for _ in range(20)) + " " + passage[: 300 + i % 7] + " ".join(word() for _ in range(20))) for i in range(120)]
+    monkeypatch.setattr(suffixdedup, "SHARE", 400)
+    text = spark.createDataFrame([(k, 0, t) for k, t in rows], "k long, t long, text string")
+    hot = suffixdedup.hot_anchors(text, 20)
+    assert 0 < len(hot) < 400
+    monkeypatch.setattr(suffixdedup, "hot_anchors", lambda docs: hot)
+    cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert rows_of(suffixdedup.digests(frame(spark, [*rows, rows[0], rows[7]])), *cols) == sorted([*(w := brute.suffix(rows)), w[0], w[7]])
+
+
+def test_shared_windows_against_plain_comparison():
+    r = random.Random(9)
+    for _ in range(60):
+        base = bytes(r.choice(b"ab") for _ in range(150))
+        entries = []
+        for _ in range(r.randint(1, 6)):
+            o = r.randint(0, 60)
+            x = bytearray(base[60 - o : 60 - o + r.randint(100, 90 + o if o > 10 else 100)])
+            if r.random() < 0.5:
+                x[r.randrange(len(x))] ^= 1
+            entries.append((o, bytes(x)))
+        e, w = suffixdedup.shared_windows(entries)
+        # Windows of entries at one distance to the anchor.
+        seen, want = set(), set()
+        for i, (o, x) in enumerate(entries):
+            for p in range(len(x) - 99):
+                key = (o - p, x[p : p + 100])
+                if key in seen:
+                    want.add((i, p))
+                seen.add(key)
+        assert want <= set(zip(e.tolist(), w.tolist()))
+        assert all(any(x[p : p + 100] in y for _, y in entries[:i]) or x.find(x[p : p + 100]) < p for i, p in zip(e.tolist(), w.tolist()) for x in [entries[i][1]])
+
+
 def test_suffix_dedup_of_repeated_rows(spark, monkeypatch):
     """Rows repeated in full, in other partitions or batches, are one document; each gets its result."""
     cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -244,17 +283,17 @@ def test_suffix_dedup_of_repeated_rows(spark, monkeypatch):
     assert rows_of(suffixdedup.digests(again), *cols) == [r for r in single for _ in range(4)]
     alone = frame(spark, [ROWS[0]]).union(frame(spark, [ROWS[0]]))
     assert [r.text for r in suffixdedup.dedup(alone).collect()] == [ROWS[0][1]] * 2
-    # Anchors with many runs, whose windows travel as hashes.
+    # Anchors with many runs, whose windows travel one by one.
     monkeypatch.setattr(suffixdedup, "GROUP", 1)
     docs = pa.RecordBatch.from_pydict({"k": [k for k, _ in ROWS], "t": [0] * len(ROWS), "text": [t or "" for _, t in ROWS]})
     order = lambda b, by: pa.Table.from_batches(list(b)).sort_by([(c, "ascending") for c in by]).combine_chunks().to_batches(max_chunksize=37)
     found = []
     for copies in (1, 3):
-        marks = pa.Table.from_batches(list(suffixdedup._repeats(iter(order(suffixdedup._anchors(iter([docs] * copies)), ["a", "s", "k", "t", "st"]))))).to_pylist()
+        marks = pa.Table.from_batches(list(suffixdedup._repeats(iter(order(suffixdedup._anchors(np.empty(0, np.int64))(iter([docs] * copies)), ["a", "s", "k", "t", "st"]))))).to_pylist()
         want = [[{c: m[c] for c in ("kind", "a", "st", "n", "o")} for m in marks if m["k"] == k and m["kind"] > 1] for k, _ in ROWS]
         kind = pa.list_(pa.struct([("kind", pa.int32()), ("a", pa.int64()), ("st", pa.int32()), ("n", pa.int32()), ("o", pa.int32())]))
         asked = pa.RecordBatch.from_arrays([*docs.columns, pa.array(want, kind)], ["k", "t", "text", "want"])
-        spans = [s for b in suffixdedup._settle(iter(order(suffixdedup._cut(iter([asked] * copies)), ["a", "h", "k", "t", "st"]))) for s in b.to_pylist()]
+        spans = [s for b in suffixdedup._settle(iter(order(suffixdedup._cut(iter([asked] * copies)), ["a", "h", "data", "k", "t", "st"]))) for s in b.to_pylist()]
         mine = [m for m in marks if m["kind"] == 1] + spans
         found.append({(m["k"], x) for m in mine for x in range(m["st"], m["st"] + m["n"])})
     assert found[0] == found[1]

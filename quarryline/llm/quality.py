@@ -4,7 +4,10 @@ Every rule votes for quality (1), against it (-1) or abstains (0). Votes depend
 documents by vote pattern (at most 3^rules rows, partial counts before the shuffle) are all that
 expectation-maximisation needs: it estimates each rule's accuracies and the share of good documents under
 conditional independence, and a document is kept if its posterior probability of quality is at least ``KEEP``.
-The iterations run inside one SQL expression over the collected patterns, on one executor row.
+The iterations run inside one SQL expression over the collected patterns, on one executor row. No estimate is held
+within bounds: a prior worth ten documents (``PRIOR_SHARE``, ``PRIOR_ON_GOOD``, ``PRIOR_ON_BAD``: right and wrong ones)
+keeps them off 0 and 1 where nothing was seen. Which of the two classes is the good one is decided afterwards: the one
+on which the rules say yes more often.
 
 Words are runs of characters other than blank and U+0009 to U+000D. Null and empty texts have no words and fail
 the base rules. Repeated rows get equal verdicts; an empty table gives no rows; a null id stays null; other
@@ -23,6 +26,9 @@ KEEP = 0.5
 ITERATIONS = 40
 #: Where the estimation starts: the share of good documents, every rule's accuracy on them and on the others.
 START_GOOD, START_ON_GOOD, START_ON_BAD = 0.85, 0.98, 0.4
+PRIOR_SHARE, PRIOR_ON_GOOD, PRIOR_ON_BAD = (8, 2), (9.5, 0.5), (4, 6)
+#: Words beyond which a text needs no further different ones.
+VARIED = 2000
 RULES = ["length", "word_length", "symbols", "dup_lines", "repeats", "distinct", "stops", "capitals"]
 
 
@@ -75,7 +81,7 @@ def votes(m: DataFrame) -> DataFrame:
         vote(20 * c("n_symbols") <= w, 4 * c("n_symbols") > w).alias("v_symbols"),
         vote(10 * c("n_dup_lines") <= c("n_lines"), 3 * c("n_dup_lines") > c("n_lines")).alias("v_dup_lines"),
         vote(10 * c("n_repeat_words") <= w, 3 * c("n_repeat_words") > w).alias("v_repeats"),
-        vote((5 * c("n_distinct") >= w) | (w > 2000), (8 * c("n_distinct") < w) & (w <= 2000)).alias("v_distinct"),
+        vote(5 * c("n_distinct") >= F.least(w, F.lit(VARIED)), 8 * c("n_distinct") < F.least(w, F.lit(VARIED))).alias("v_distinct"),
         vote(20 * c("n_short") >= 3 * w, 100 * c("n_short") < 5 * w).alias("v_stops"),
         vote(5 * c("n_upper") <= c("n_letters"), 2 * c("n_upper") > c("n_letters")).alias("v_capitals"),
     )
@@ -94,16 +100,24 @@ def estimate(v: DataFrame, iterations: int = ITERATIONS) -> list[float]:
     g1, g0 = fold.format("x[0]", "x[j]", "1 - x[j]"), fold.format("1 - x[0]", f"1 - x[j+{m}]", f"x[j+{m}]")
     post = f"transform(s, t -> named_struct('p', t.p, 'n', t.n, 'g', ({g1}) / ({g1} + {g0})))"
     total = lambda of: f"aggregate(q, 0.0D, (a, t) -> a + {of})"
-    share = f"least(greatest(({total('t.n * t.g')} + 8) / ({total('t.n')} + 10), 0.5D), 0.98D)"
-    on_good = f"({total('if(t.p[j-1] = 1, t.n * t.g, 0.0D)')} + 9.5D) / ({total('if(t.p[j-1] <> 0, t.n * t.g, 0.0D)')} + 10)"
-    on_bad = f"({total('if(t.p[j-1] = -1, t.n * (1 - t.g), 0.0D)')} + 4) / ({total('if(t.p[j-1] <> 0, t.n * (1 - t.g), 0.0D)')} + 10)"
-    # A rule errs on at most a twentieth of the good documents, and says no to bad ones more often than to good ones: this fixes which class is which.
-    good_part = f"transform(sequence(1, {m}), j -> least(greatest({on_good}, 0.95D), 0.998D))"
-    bad_part = f"transform(sequence(1, {m}), j -> least(greatest({on_bad}, 0.06D), 0.98D))"
+    mean = lambda right, all_, prior: f"({total(right)} + {prior[0]}D) / ({total(all_)} + {sum(prior)}D)"
+    share = mean("t.n * t.g", "t.n", PRIOR_SHARE)
+    on_good = mean("if(t.p[j-1] = 1, t.n * t.g, 0.0D)", "if(t.p[j-1] <> 0, t.n * t.g, 0.0D)", PRIOR_ON_GOOD)
+    on_bad = mean("if(t.p[j-1] = -1, t.n * (1 - t.g), 0.0D)", "if(t.p[j-1] <> 0, t.n * (1 - t.g), 0.0D)", PRIOR_ON_BAD)
+    good_part, bad_part = (f"transform(sequence(1, {m}), j -> {x})" for x in (on_good, on_bad))
     step = f"transform(array({post}), q -> concat(array({share}), {good_part}, {bad_part}))[0]"
     start = "array(" + ", ".join([f"{START_GOOD}D", *[f"{START_ON_GOOD}D"] * m, *[f"{START_ON_BAD}D"] * m]) + ")"
     row = one.select(F.expr(f"aggregate(sequence(1, {iterations}), {start}, (x, it) -> {step})").alias("x")).first()
-    return list(row.x)
+    return ordered(list(row.x))
+
+
+def ordered(x: list[float]) -> list[float]:
+    """The estimate with its classes named by what the rules say of them, which the likelihood leaves open."""
+    m = len(RULES)
+    good, bad = x[1 : 1 + m], x[1 + m :]
+    if sum(good) >= sum(1 - b for b in bad):
+        return x
+    return [1 - x[0], *(1 - b for b in bad), *(1 - g for g in good)]
 
 
 def posterior(x: list[float]) -> Column:

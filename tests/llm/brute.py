@@ -143,6 +143,26 @@ def base(rows):
     return sorted(out)
 
 
+def em(patterns, iterations, start, prior_share, prior_good, prior_bad):
+    """patterns: {votes: number}; [share, accuracies on good ones, accuracies on bad ones] by plain expectation-maximisation."""
+    m = len(next(iter(patterns)))
+    share, good, bad = start[0], [start[1]] * m, [start[2]] * m
+    for _ in range(iterations):
+        g = {p: posterior(p, share, good, bad) for p in patterns}
+        share = (sum(n * g[p] for p, n in patterns.items()) + prior_share[0]) / (sum(patterns.values()) + sum(prior_share))
+        good = [(sum(n * g[p] for p, n in patterns.items() if p[j] == 1) + prior_good[0]) / (sum(n * g[p] for p, n in patterns.items() if p[j]) + sum(prior_good)) for j in range(m)]
+        bad = [(sum(n * (1 - g[p]) for p, n in patterns.items() if p[j] == -1) + prior_bad[0]) / (sum(n * (1 - g[p]) for p, n in patterns.items() if p[j]) + sum(prior_bad)) for j in range(m)]
+    return [share, *good, *bad]
+
+
+def posterior(votes, share, good, bad):
+    a, b = share, 1 - share
+    for v, x, y in zip(votes, good, bad):
+        a *= x if v == 1 else 1 - x if v == -1 else 1
+        b *= 1 - y if v == 1 else y if v == -1 else 1
+    return a / (a + b)
+
+
 def lines(rows, least=10):
     first, docs = {}, defaultdict(set)
     key = lambda x: lower(x.strip(STRIP))

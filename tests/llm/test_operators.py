@@ -3,6 +3,7 @@
 import random
 import string
 import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -321,6 +322,37 @@ def test_quality(spark):
     junk = [(100 + i, " ".join(r.choice(words) + "$$$ ###" for _ in range(150))) for i in range(12)]
     kept = {x.doc_id: x.kept for x in quality.judge(frame(spark, clean + junk)).collect()}
     assert all(kept[k] for k, _ in clean) and not any(kept[k] for k, _ in junk)
+    # Mostly junk: the share of good documents is estimated, not held above some bound.
+    junk = [(100 + i, " ".join(r.choice(words) + "$$$ ###" for _ in range(150))) for i in range(300)]
+    judged = quality.judge(frame(spark, clean + junk))
+    kept = {x.doc_id: x.kept for x in judged.collect()}
+    assert all(kept[k] for k, _ in clean) and not any(kept[k] for k, _ in junk)
+    assert 0.1 < quality.estimate(judged)[0] < 0.3
+    # A long text of few words gets no vote for its variety.
+    long = quality.judge(frame(spark, [(1, "one two three four " * 1000), (2, " ".join(f"w{i % 700}" for i in range(5000))), (None, "one two"), (None, "one two")])).collect()
+    assert {x.doc_id: x.v_distinct for x in long if x.doc_id} == {1: -1, 2: 1} and len(long) == 4
+
+
+def test_quality_estimates_and_verdicts(spark):
+    """EM and posterior against plain Python."""
+    r = random.Random(5)
+    words = ["the", "of", "and", "houses", "river", "it", "stone", "WALKED", "was", "green"]
+    rows = []
+    for i in range(150):
+        bad, n = r.random() < 0.3, r.randint(45, 120)
+        w = [r.choice(words[:3] if bad and r.random() < 0.5 else words) + ("$#" if bad and r.random() < 0.5 else r.choice(["", "s", "ed"])) for _ in range(n)]
+        rows.append((i, " ".join(x.upper() if bad and i % 3 == 0 else x for x in w)))
+    out = quality.judge(frame(spark, rows)).collect()
+    votes = {x.doc_id: tuple(x[f"v_{n}"] for n in quality.RULES) for x in out}
+    patterns = Counter(votes.values())
+    assert len(patterns) > 5
+    want = quality.ordered(brute.em(patterns, quality.ITERATIONS, (quality.START_GOOD, quality.START_ON_GOOD, quality.START_ON_BAD), quality.PRIOR_SHARE, quality.PRIOR_ON_GOOD, quality.PRIOR_ON_BAD))
+    m = len(quality.RULES)
+    p = {k: brute.posterior(v, want[0], want[1 : 1 + m], want[1 + m :]) for k, v in votes.items()}
+    assert all(abs(x.p_quality - p[x.doc_id]) < 1e-6 for x in out)
+    assert all(x.kept == (not x.base_failed and p[x.doc_id] >= quality.KEEP) for x in out) and {x.kept for x in out} == {True, False}
+    swapped = quality.ordered([0.2, *[0.1] * m, *[0.1] * m])
+    assert swapped[0] == 0.8 and swapped[1] == swapped[-1] == 0.9
 
 
 def test_quality_runs_without_python(spark):

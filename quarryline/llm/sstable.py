@@ -9,8 +9,9 @@ places, the counts and a checksum. A lookup reads the footer, asks the filter, f
 and reads that block alone.
 
 Writing: one range-partitioned shuffle of the texts and a sort within partitions, then each task encodes its
-rows in order and writes one shard under its partition's number, renamed when whole: a repeated task writes the same
-file again. Rows that share an id stay separate entries, in the order of their texts. Null identifiers come
+rows in order and writes shards, of about ``ROLL_BYTES`` at most, under names of its attempt, renamed when whole; the manifest,
+itself written, names those of the attempts that counted. A shard's sparse index and 16 bytes a key are in memory.
+Rows that share an id stay separate entries, in the order of their texts. Null identifiers come
 first and null texts are empty; both come back as they were given (an identifier as null). An empty table
 writes no shard.
 """
@@ -18,9 +19,11 @@ writes no shard.
 from __future__ import annotations
 
 import bisect
+import itertools
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +35,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm.bpe import codec
-from quarryline.llm.common import id_in, id_out, materialize, new_dir, posix
+from quarryline.llm.common import id_in, id_out, materialize, new_dir, posix, tidy
 
 MAGIC = b"QSST0001"
-BLOCK_BYTES = 64 << 10
+BLOCK_BYTES, ROLL_BYTES = 64 << 10, 1 << 30
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 _FOOTER = struct.Struct("<QQQQQQI8s")  # index at, bloom at, bloom bytes, blocks, documents, ids, crc of index and bloom, magic
 
@@ -54,10 +57,21 @@ def _places(key: bytes, bits: int) -> list[int]:
     return [(a + i * b) % bits for i in range(BLOOM_HASHES)]
 
 
+def _bloom(hashes: np.ndarray, bits: int) -> bytes:
+    """The filter over keys whose 128-bit hashes are given as pairs (high, low); the places are those of ``_places``."""
+    out = np.zeros(bits // 8, np.uint8)
+    high, low = hashes.reshape(-1, 2).T
+    a, b, most = low % np.uint64(bits), (high | np.uint64(1)) % np.uint64(bits), np.uint64(bits)
+    for i in range(BLOOM_HASHES):
+        p = (a + np.uint64(i) * b) % most  # bits is far below 2^60: nothing overflows
+        np.bitwise_or.at(out, (p >> np.uint64(3)).astype(np.int64), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
+    return out.tobytes()
+
+
 def write_shard(path: str, rows: Iterator[tuple[int, bytes]]) -> tuple[int, int]:
-    """Write sorted (key, ids) rows; the numbers of documents and ids."""
+    """Write sorted (key, ids) rows, up to ROLL_BYTES; the numbers of documents and ids."""
     index: list[tuple[bytes, int, int]] = []
-    keys: list[bytes] = []
+    keys = array("Q")
     docs = ids = 0
     with open(f"{path}.part", "wb") as f:
         block, first, last, size = [], b"", b"", 0
@@ -83,18 +97,18 @@ def write_shard(path: str, rows: Iterator[tuple[int, bytes]]) -> tuple[int, int]
             block.append((shared, key[shared:], value))
             size += len(value)
             if key != last:
-                keys.append(key)
+                x = xxhash.xxh3_128_intdigest(key)
+                keys.append(x >> 64)
+                keys.append(x & ((1 << 64) - 1))
             last = key
             docs, ids = docs + 1, ids + len(value) // 4
             if size >= BLOCK_BYTES:
                 flush()
                 size = 0
+                if f.tell() >= ROLL_BYTES:
+                    break
         flush()
-        bits = max(64, (len(keys) * BLOOM_BITS + 7) // 8 * 8)
-        bloom = bytearray(bits // 8)
-        for key in keys:
-            for p in _places(key, bits):
-                bloom[p >> 3] |= 1 << (p & 7)
+        bloom = _bloom(np.frombuffer(keys, np.uint64), max(64, (len(keys) // 2 * BLOOM_BITS + 7) // 8 * 8))
         packed = b"".join(k + struct.pack("<QI", at, n) for k, at, n in index)
         at = f.tell()
         f.write(packed + bloom)
@@ -158,8 +172,9 @@ class Shard:
         return out
 
 
+@tidy
 def write_shards(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame]:
-    """Write all documents; the folder, and its manifest (shard, path, docs, ids), itself written."""
+    """Write all documents; the folder, and its manifest (shard, piece, path, docs, ids), itself written."""
     spark = df.sparkSession
     out = new_dir(spark, "sstable")
     folder = posix(out)
@@ -167,11 +182,10 @@ def write_shards(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, end = codec(tokenizer), struct.pack("<I", end_id)
-        shard = TaskContext.get().partitionId()
+        task = TaskContext.get()
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        path = f"{folder}/{shard:08d}.sst"
 
         def rows() -> Iterator[tuple[int, bytes]]:
             b = first
@@ -180,12 +194,15 @@ def write_shards(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_
                     yield k, code.encode(text.as_py()) + end
                 b = next(batches, None)
 
-        docs, ids = write_shard(path, rows())
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "docs": [docs], "ids": [ids]})
+        left, made = rows(), []
+        for one in left:
+            path = f"{folder}/{task.partitionId():08d}-{len(made):04d}-{task.taskAttemptId()}.sst"
+            made.append((task.partitionId(), len(made), path, *write_shard(path, itertools.chain((one,), left))))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made)], ["shard", "piece", "path", "docs", "ids"])
 
     source = df.select(id_in(id_col).alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ordered = source.repartitionByRange("k").sortWithinPartitions("k", "text")
-    return out, materialize(ordered.mapInArrow(run, "shard long, path string, docs long, ids long"), "sstable-manifest")
+    return out, materialize(ordered.mapInArrow(run, "shard long, piece long, path string, docs long, ids long"), "sstable-manifest")
 
 
 def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -194,9 +211,9 @@ def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     A shard's first start is the sum of the ids of the shards before it; the manifest has a row per shard, so
     the sum over it is a window over as many rows as there are files.
     """
-    shards = sorted((r.shard, r.path, r.ids) for r in manifest.collect())  # a row per file
+    shards = sorted((r.shard, r.piece, r.path, r.ids) for r in manifest.collect())  # a row per file
     before, todo = 0, []
-    for _, path, ids in shards:
+    for _, _, path, ids in shards:
         todo.append((path, before))
         before += ids
 

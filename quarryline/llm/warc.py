@@ -5,15 +5,17 @@ records; after it every record is one frame compressed with that dictionary, so
 from its offset. Records with equal payloads: the one with the largest id is a response, the others are revisits
 (identical-payload-digest profile, without a payload block) that name it.
 
-The dictionary comes from at most ``SAMPLE_BYTES`` of records of the tasks' first batches (``DICT_BYTES`` is its size);
-both bounds steer compression alone. Each task writes archives of at most ``ROLL_BYTES`` under its partition's
-number, renamed when whole: a repeated task writes the same files again. Which record is a response is one
+The dictionary comes from about ``SAMPLE`` records that a hash picks among all pages (at most ``SAMPLE_BYTES``;
+``DICT_BYTES`` is its size); these bounds steer compression alone. Each attempt of a task writes archives of its own, of
+at most ``ROLL_BYTES`` and a record, renamed when whole; the manifest, itself written, names those of the attempts that
+counted, so that a lost executor or a second attempt leaves stray files at worst. Which record is a response is one
 aggregation over payload hashes; a payload that a third of all pages share is a hot key, which ``split_hot_join``
 keeps from loading one task; pages meet their verdicts by id and hash, in one shuffle, or none if no payload repeats.
 
-Null payloads are empty ones; urls may be null or hold any characters (control characters are escaped). Rows that
-share an id and a payload are written each, with the same verdict. A null id is written as an absent one and counts as the smallest. An empty
-table writes no archive; other columns are not read.
+Null payloads are empty ones; urls may be null or hold any characters: what a URI can't hold is escaped, and the original
+kept in a header. A record's identifier is made of its page's id and its payload's digest. Rows that share an id and a
+payload are written each, with the same verdict; those that are responses have one identifier, for one resource.
+A null id is written as an absent one and counts as the smallest. An empty table writes no archive; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,10 +34,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import id_in, id_out, materialize, new_dir, posix, split_hot_join
+from quarryline.llm.common import id_in, id_out, materialize, new_dir, posix, split_hot_join, tidy
 
 MAGIC = 0x184D2A5D
-DICT_BYTES, SAMPLE_BYTES = 112 << 10, 8 << 20
+DICT_BYTES, SAMPLE_BYTES, SAMPLE = 112 << 10, 8 << 20, 512
 ROLL_BYTES = 1 << 30
 DATE = "2000-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("6f0c8a52-33d5-4e0f-9a53-0c3f6b1f2a77")
@@ -45,16 +47,24 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
 
 
+def _name(page: int | None, sha1: str, kind: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{"" if page is None else page} {sha1} {kind}')}>"
+
+
 def record(page: int | None, url: str | None, payload: bytes, sha1: str, kind: str, refers_to: int | None) -> bytes:
     """A WARC/1.1 record. A revisit has no payload block; its headers keep the payload's digest and length."""
     body = b"" if kind == "revisit" else payload
-    name = "" if page is None else str(page)
+    name, shown = "" if page is None else str(page), quote(url or "", safe=":/?#[]@!$&()*+,;=%~'")
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(_NAMESPACE, name)}>", f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {quote(url or '', safe=':/?#[]@!$&()*+,;=%~')}", f"WARC-Payload-Digest: sha1:{sha1}", f"X-Page-Id: {name}", f"X-Payload-Length: {len(payload)}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_name(page, sha1, kind)}", f"WARC-Date: {DATE}",
+        f"WARC-Target-URI: {shown}", f"WARC-Payload-Digest: sha1:{sha1}", f"X-Page-Id: {name}", f"X-Payload-Length: {len(payload)}",
     ]
+    if url is None:
+        head.append("X-No-Url: 1")
+    elif shown != url:
+        head.append(f"X-Original-Url: {base64.b64encode(url.encode()).decode()}")
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(_NAMESPACE, str(refers_to))}>", f"X-Refers-To-Page: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_name(refers_to, sha1, 'response')}", f"X-Refers-To-Page: {refers_to}"]
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -80,6 +90,8 @@ def train(samples: list[bytes]) -> bytes:
 
 
 class Writer:
+    """An archive; ``path`` must be the writer's own, as attempts of one task may run at the same time."""
+
     def __init__(self, path: str, dictionary: bytes) -> None:
         self.path = path
         self._f = open(f"{path}.part", "wb")  # noqa: SIM115
@@ -126,17 +138,19 @@ def read_archive(path: str) -> Iterator[tuple[int, bytes]]:
 
 
 def _sample(pages: DataFrame) -> bytes:
-    """A dictionary of all pages' leading records: a row per task, at most SAMPLE_BYTES over the tasks asked."""
+    """A dictionary of about SAMPLE records, picked by a hash among all pages, each cut to its share of SAMPLE_BYTES."""
+    every = max(1, pages.count() // SAMPLE)
+    most = SAMPLE_BYTES // (4 * SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = next(batches, None)
-        if b is not None and b.num_rows:
-            take = range(0, b.num_rows, max(1, b.num_rows // 64))
-            out = [record(0, b.column(1)[i].as_py(), (b.column(2)[i].as_py() or "").encode()[: 16 << 10], "", "response", None) for i in take]
+        for b in batches:
+            out = [record(0, url, html.encode()[: 4 * most], "", "response", None) for url, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["r"])
 
-    rows = pages.mapInArrow(run, "r binary").limit(SAMPLE_BYTES >> 14).collect()
-    return train([bytes(r.r) for r in rows])
+    picked = pages.filter(F.pmod(F.xxhash64("k", "url"), F.lit(every)) == 0).select("url", F.substring("html", 1, 4 * most).alias("html"))
+    # The limit is for tables of rows repeated in full, which a hash picks together.
+    rows = picked.mapInArrow(run, "r binary").limit(2 * SAMPLE).collect()
+    return train([bytes(r.r) for r in rows][:SAMPLE])
 
 
 def verdicts(df: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
@@ -149,6 +163,7 @@ def verdicts(df: DataFrame, id_col: str = "page_id", payload_col: str = "html")
     return split_hot_join(meta, groups, ["h"], "n").filter("ref is not null").select("k", "h", "ref").distinct()
 
 
+@tidy
 def write_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Write all pages; the written manifest: (path, records)."""
     spark = df.sparkSession
@@ -160,12 +175,12 @@ def write_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows = pages.withColumn("h", F.unhex(F.sha2("html", 256))).join(same, ["k", "h"], "left").select("k", "url", "html", "ref")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made, writer, n = TaskContext.get().partitionId(), [], None, 0
+        task, made, writer, n = TaskContext.get(), [], None, 0
         for b in batches:
             for k, url, html, ref in zip(*(b.column(i) for i in range(4))):
                 page, r, payload = k.as_py(), ref.as_py(), html.as_py().encode()
                 if writer is None:
-                    writer, n = Writer(f"{folder}/{part:06d}-{len(made):04d}.warc.zst", dictionary.value), 0
+                    writer, n = Writer(f"{folder}/{task.partitionId():06d}-{len(made):04d}-{task.taskAttemptId()}.warc.zst", dictionary.value), 0
                 kind = "response" if r is None or r == page else "revisit"
                 size = writer.write(record(_shown(page), url.as_py(), payload, digest(payload), kind, _shown(r)))
                 n += 1
@@ -192,6 +207,12 @@ def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     return files.mapInArrow(_records(True), schema)
 
 
+def _url(h: dict[str, str]) -> str | None:
+    if "X-Original-Url" in h:
+        return base64.b64decode(h["X-Original-Url"]).decode()
+    return None if "X-No-Url" in h else h["WARC-Target-URI"]
+
+
 def _records(payloads: bool) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
@@ -214,7 +235,7 @@ def _records(payloads: bool) -> object:
                         raise ValueError(f"{path}: a payload doesn't match its digest")
                     number = lambda x: int(x) if x and x != "None" else None
                     rows.append({
-                        "page_id": number(h["X-Page-Id"]), "url": h["WARC-Target-URI"], "payload": body if kind == "response" else None,
+                        "page_id": number(h["X-Page-Id"]), "url": _url(h), "payload": body if kind == "response" else None,
                         "payload_bytes": len(body) if kind == "response" else int(h["X-Payload-Length"]), "payload_digest": h["WARC-Payload-Digest"].removeprefix("sha1:"),
                         "record_type": kind, "refers_to": number(h.get("X-Refers-To-Page")),
                     })

@@ -1,5 +1,6 @@
 """Every operator against its straightforward version, on texts that hold the awkward cases."""
 
+import itertools
 import random
 import string
 import time
@@ -106,7 +107,7 @@ def test_assignment_balances_costs():
     assert n == -(-sum(lengths) // 1024) and max(cost[:-1]) < 1.25 * sorted(cost)[n // 2]
 
 
-def test_sstable(spark, tmp_path):
+def test_sstable(spark, tmp_path, monkeypatch):
     df = frame(spark, ROWS)
     _, manifest = sstable.write_shards(df, tokenizer(WORD), 1)
     cols = ("doc_id", "start", "n_tokens", "ids_crc32")
@@ -115,6 +116,15 @@ def test_sstable(spark, tmp_path):
     assert sstable.read_shards(spark, m).count() == 0
     _, m = sstable.write_shards(frame(spark, [(None, "b"), (2, "x"), (2, "a"), (None, None)]), tokenizer(WORD), 1)
     assert [r[0] for r in rows_of(sstable.read_shards(spark, m), *cols)] == [None, None, 2, 2]
+    monkeypatch.setattr(sstable, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(sstable, "ROLL_BYTES", 400)
+    pieces = []
+    source = iter([(k, bytes(range(4 * (k % 5)))) for k in range(300)])
+    for i, one in enumerate(source):
+        sstable.write_shard(str(tmp_path / f"p{i}.sst"), itertools.chain((one,), source))
+        pieces.append(sstable.Shard(str(tmp_path / f"p{i}.sst")))
+    assert len(pieces) > 3 and [r for p in pieces for r in p] == [(k, bytes(range(4 * (k % 5)))) for k in range(300)]
+    monkeypatch.undo()
     rows = [(k, np.arange(k % 50 + 70000 * (k % 3 == 0), dtype="<u4").tobytes()) for k in range(-300, 300, 3)] + [(299, b"\1\0\0\0")]
     sstable.write_shard(str(tmp_path / "s.sst"), iter(rows))
     shard = sstable.Shard(str(tmp_path / "s.sst"))
@@ -130,7 +140,13 @@ def test_warc(spark):
     assert rows_of(warc.index(spark, manifest), *cols) == brute.warc(rows)
     for r in warc.read_archives(spark, manifest).collect():
         assert r.record_type == "revisit" or bytes(r.payload).decode() == (rows[r.page_id][1] or "")
+        assert r.url == (f"http://e.x/{r.page_id}\r\nX: y é" if r.page_id % 2 else None)
     assert warc.index(spark, warc.write_archives(df.limit(0))).count() == 0
+    # Null and repeated ids.
+    odd = [(None, "http://a/%20x", "<p>a</p>"), (None, "http://b/ y", "b"), (3, "u", "<p>a</p>"), (3, "u", "<p>a</p>"), (3, "v", "c"), (1, "w", "<p>a</p>")]
+    manifest = warc.write_archives(spark.createDataFrame(odd, "page_id long, url string, html string").repartition(2))
+    got = rows_of(warc.read_archives(spark, manifest), "page_id", "url", "payload_bytes", "record_type", "refers_to")
+    assert got == [(None, "http://a/%20x", 8, "revisit", 3), (None, "http://b/ y", 1, "response", None), (1, "w", 8, "revisit", 3), (3, "u", 8, "response", None), (3, "u", 8, "response", None), (3, "v", 1, "response", None)]
 
 
 def test_near_duplicates(spark):

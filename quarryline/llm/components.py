@@ -42,3 +42,17 @@ def components(edges: DataFrame) -> DataFrame:
     while not _star_forest(e):
         e = materialize(_small(materialize(_large(e).distinct(), "edges")).distinct(), "edges")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def shared_ids(of: DataFrame) -> DataFrame | None:
+    """Links between the classes c of ids k that several classes share, if there are any."""
+    shared = of.filter("c is not null").groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("k", "lo")
+    edges = materialize(of.join(shared, "k").filter("c <> lo").select(F.col("lo").alias("a"), F.col("c").alias("b")).distinct(), "shared-ids")
+    return edges if edges.take(1) else None
+
+
+def least_ids(parts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(c, reached) for the classes in components of several: the smallest id of the component. classes: (c, least, ...)."""
+    every = parts.unionByName(parts.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("node", "c")
+    least = every.join(classes.select("c", "least"), "c").groupBy("component").agg(F.min("least").alias("reached"))
+    return every.join(least, "component").select("c", "reached")

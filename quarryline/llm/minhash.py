@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quarryline.llm.common import id_in, id_out, materialize, split_hot_join, tidy
-from quarryline.llm.components import components
+from quarryline.llm.components import components, least_ids, shared_ids
 
 WIDTH, THRESHOLD = 5, 85
 BINS, ROWS = 252, 7
@@ -231,7 +231,7 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = materialize(source.join(asked.hint("merge"), ["k", "t"]).select("c", "text"), "candidate-texts")
     if texts.groupBy("c").count().filter("count > 1").take(1):  # rows repeated in full
         texts = materialize(texts.dropDuplicates(["c"]), "candidate-texts")
-    found, tested, hubs = _shared_ids(of), None, 1
+    found, tested, hubs = shared_ids(of), None, 1
     parts = None if found is None else materialize(components(found), "components")
     while True:
         pairs, members = _stars(members, hubs, threshold)
@@ -253,22 +253,12 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             break
     comp = F.coalesce("least", "k")
     if parts is not None:
-        # The smallest id of each component, from those of its classes.
-        every = parts.unionByName(parts.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("node", "c")
-        least = every.join(classes.select("c", "least"), "c").groupBy("component").agg(F.min("least").alias("reached"))
-        of = of.join(every.join(least, "component").select("c", "reached"), "c", "left")
+        of = of.join(least_ids(parts, classes), "c", "left")
         comp = F.coalesce("reached", comp)
     of = of.withColumn("comp", comp)
     return of.select(id_out("k").alias("doc_id"), F.col("n").alias("n_shingles"), id_out("comp").alias("component_id"), (F.col("k") == F.col("comp")).alias("kept"))
 
 
-def _shared_ids(of: DataFrame) -> DataFrame | None:
-    """Links between the classes of ids that rows with different sets share."""
-    shared = of.filter("c is not null").groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("k", "lo")
-    edges = materialize(of.join(shared, "k").filter("c <> lo").select(F.col("lo").alias("a"), F.col("c").alias("b")).distinct(), "shared-ids")
-    return edges if edges.take(1) else None
-
-
 def _with_sizes(buckets: DataFrame, sizes: DataFrame) -> DataFrame:
     """Rows of buckets that have mates."""
     return split_hot_join(buckets, sizes, ["b"], "size").filter("size is not null")

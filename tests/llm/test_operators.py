@@ -198,21 +198,49 @@ def test_near_duplicates_of_a_drifting_family(spark):
     assert rows_of(minhash.near_components(frame(spark, rows)), *cols) == brute.near(rows)
 
 
+def check_embeddings(rows, df):
+    """rows: (vec_id, vector, label), ids unique."""
+    good = {i: np.array(x) for i, x, lab in rows if lab is not None and x and all(y is not None and np.isfinite(y) for y in x) and any(x)}
+    label = {i: lab for i, _, lab in rows}
+    links = [(a, b) for a in good for b in good if a < b and label[a] == label[b] and len(good[a]) == len(good[b]) and good[a] @ good[b] / np.linalg.norm(good[a]) / np.linalg.norm(good[b]) >= 0.98]
+    comp, n = brute.components([i for i, _, _ in rows], links), Counter(x for p in links for x in p)
+    assert rows_of(embeddings.near_components(df), "vec_id", "n_links", "component_id", "kept") == sorted((i, n[i], comp[i], comp[i] == i) for i, _, _ in rows)
+
+
+VECTORS = "vec_id long, embedding array<double>, label int"
+
+
 def test_embeddings(spark):
     r = np.random.default_rng(2)
     base = r.normal(size=(40, 16))
     v = [(b + r.normal(scale=0.02 + 0.1 * (i % 3), size=16)).tolist() for i in range(6) for b in base] + [base[0].tolist()] * 3 + [[0.0] * 16, None, [float("nan")] * 16, [1.0, None] * 8, [1.0, 2.0], [2.0, 4.0], []]
     rows = [(i, x, None if i % 29 == 3 else i % 2) for i, x in enumerate(v)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
-    good = {i: np.array(x) for i, x, lab in rows if lab is not None and x and all(y is not None and np.isfinite(y) for y in x) and any(x)}
-    label = {i: lab for i, _, lab in rows}
-    links = [(a, b) for a in good for b in good if a < b and label[a] == label[b] and len(good[a]) == len(good[b]) and good[a] @ good[b] / np.linalg.norm(good[a]) / np.linalg.norm(good[b]) >= 0.98]
-    comp = brute.components(range(len(rows)), links)
-    n = [sum(i in p for p in links) for i in range(len(rows))]
-    assert rows_of(embeddings.near_components(df), "vec_id", "n_links", "component_id", "kept") == [(i, n[i], comp[i], comp[i] == i) for i in range(len(rows))]
+    df = spark.createDataFrame(rows, VECTORS).repartition(3)
+    check_embeddings(rows, df)
     assert embeddings.near_components(df.limit(0)).count() == 0
 
 
+def test_embeddings_in_many_tiles(spark, monkeypatch):
+    """Cells of several levels, tiles cut by a hash, a hot group that is counted whole, blocks."""
+    monkeypatch.setattr(embeddings, "TILE_BYTES", 0)
+    monkeypatch.setattr(embeddings, "LEAST_ROWS", 30)
+    monkeypatch.setattr(embeddings, "BLOCK", 7)
+    monkeypatch.setattr(embeddings, "LEVELS", 4)
+    r = np.random.default_rng(3)
+    base = r.normal(size=(30, 8)) * np.array([3, 2, 1, 1, 0.5, 0.5, 0.3, 0.3])
+    v = [b + r.normal(scale=s, size=8) for b in base for s in (0.02, 0.05, 0.1, 0.15, 0.3)] + [base[0] + r.normal(scale=0.01, size=8) for _ in range(150)]
+    rows = [(3 * i - 100, x.tolist(), int(i % 7 == 0)) for i, x in enumerate(v)]
+    check_embeddings(rows, spark.createDataFrame(rows, VECTORS).repartition(3))
+
+
+def test_embeddings_of_null_and_shared_ids(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    near = lambda v: [x + 0.05 for x in v]
+    rows = [(None, a, 1), (5, near(a), 1), (5, b, 1), (7, near(b), 1), (7, near(b), 1), (8, c, 1), (9, near(c), 2), (9, None, 2)]
+    got = rows_of(embeddings.near_components(spark.createDataFrame(rows, VECTORS).repartition(2)), "vec_id", "n_links", "component_id", "kept")
+    assert got == [(None, 1, None, True), (5, 1, None, False), (5, 2, None, False), (7, 2, None, False), (7, 2, None, False), (8, 0, 8, True), (9, 0, 9, True), (9, 0, 9, True)]
+
+
 def test_suffix_array():
     r = random.Random(1)
     for _ in range(1500):

@@ -1,7 +1,13 @@
 """A corpus pipeline of five stages: quality rules, line dedup, near-dedup, suffix dedup, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents, with ``n_chars`` counted anew where texts change.
+one's docs. All but the last return the columns of documents, with ``n_chars`` counted anew where texts change; columns that
+documents don't have in its description are left out.
+
+A document is a row with its id and text. Rows without an id, and rows that share an id and have different texts, are documents
+of their own; rows repeated in full are one document, of which ``near_dedup`` leaves one. Documents whose lines all stood
+in earlier ones are empty after ``line_dedup``: they stay, as they link with nothing, and give one end token to the last stage.
+Null texts fail the quality rules. Empty tables pass through all stages.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import linededup, minhash, packing, quality, suffixdedup
-from quarryline.llm.common import id_in, materialize
+from quarryline.llm.common import id_in, materialize, tidy
 from quarryline.llm.queries import tokenizer
 from quarryline.session import ship
 
@@ -42,6 +48,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _counted(linededup.dedup(docs))
 
 
+@tidy
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that of the smallest id; rows repeated in full are one document."""
     ship(spark)
@@ -85,6 +92,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
+@tidy
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for name, stage in STAGES[:-1]:

@@ -6,7 +6,8 @@ in the shared folder, which the tasks map into memory. The size bounds memory al
 lacks is merged exactly, with the same ids.
 
 Null and empty texts have no ids; a special token's text inside a document is that token; rows are independent,
-so repeated rows and ids repeat; an empty table gives an empty lexicon and no rows; other columns are not read.
+so repeated rows and ids repeat; an empty table gives an empty lexicon and no rows; other columns are not read by the
+digests and kept by ``encode`` and ``decode``, whose new column gets a name that the table doesn't have yet.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarryline.llm.bpe import Codec, Lexicon, codec
-from quarryline.llm.common import drop_written, materialize, new_dir, posix
+from quarryline.llm.common import drop_written, free_name, materialize, new_dir, posix
 
 LEXICON_PIECES = 1 << 17
 #: A task hands on its counts when it holds so many different pieces.
@@ -70,8 +71,8 @@ def build_lexicon(df: DataFrame, tokenizer: str, text_col: str = "text", size: i
 
 
 def encode(df: DataFrame, tokenizer: str, lexicon: str | None, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """All columns of ``df`` and the ids as an array of integers."""
-    names = df.columns
+    """All columns of ``df`` and the ids as an array of integers (null texts have none)."""
+    names, out_col = df.columns, free_name(out_col, df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, at = codec(tokenizer, lexicon), names.index(text_col)
@@ -85,8 +86,8 @@ def encode(df: DataFrame, tokenizer: str, lexicon: str | None, text_col: str = "
 
 
 def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """All columns of ``df`` and the text of the ids."""
-    names = df.columns
+    """All columns of ``df`` and the text of the ids (of null: empty)."""
+    names, out_col = df.columns, free_name(out_col, df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, at = codec(tokenizer), names.index(ids_col)

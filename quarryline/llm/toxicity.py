@@ -7,7 +7,8 @@
    separator may vanish. Viterbi decoding takes the path of least cost under channel and language model. Other tokens
    have one path, themselves.
 3. From labelled documents (at most ``LABELLED``, chosen by a hash of their ids) words and their prefixes of 4 to 6 letters
-   that toxic documents hold far more often (log-likelihood ratio of at least ``LEAST_LLR``) get weights; a
+   that toxic documents hold far more often (log-likelihood ratio of at least ``LEAST_LLR``: by chance one in some
+   ten million words would pass; at most ``LEXICON`` of them, those of the greatest difference in rate) get weights; a
    logistic regression over a document's strongest weight, number and rate of hits, fitted on other labelled
    documents than the words, gives the score.
 

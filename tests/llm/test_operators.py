@@ -83,6 +83,10 @@ def test_encoding(spark):
     assert rows_of(encoding.digests(df, path, lexicon), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == brute.codec(ROWS)
     both = encoding.decode(encoding.encode(df, path, lexicon), path)
     assert {r.doc_id: r.decoded for r in both.collect()} == {k: t or "" for k, t in ROWS}
+    clash = encoding.decode(encoding.encode(spark.createDataFrame([(None, "a b", 7, "x"), (None, None, 8, "y")], "doc_id long, text string, ids int, decoded string"), path, lexicon), path, "_ids")
+    assert clash.columns == ["doc_id", "text", "ids", "decoded", "_ids", "_decoded"]
+    assert sorted((r.ids, r.decoded, r._decoded) for r in clash.collect()) == [(7, "x", "a b"), (8, "y", "")]
+    assert [x[0] for x in rows_of(encoding.digests(frame(spark, [(None, "a"), (None, "a"), (1, None)]), path, lexicon), "doc_id", "n_tokens")] == [None, None, 1]
     assert encoding.digests(frame(spark, [])[["doc_id", "text"]], path, encoding.build_lexicon(frame(spark, []), path)).count() == 0
 
 
@@ -449,6 +453,50 @@ def test_toxicity_behind_long_runs_and_in_long_tokens():
         assert time.perf_counter() - start < 20, odd
 
 
+def test_decoding_against_all_paths():
+    """Viterbi finds a path of least cost among all of the lattice."""
+    counts = toxicity.word_counts(["idiot", "house", "moron", "stone", "trash", "it", "to"] * 30)
+    costs = -np.log(toxicity.model(counts))
+    r = random.Random(12)
+
+    def cheapest(observed):
+        paths = [(0.0, "", 0, 0)]
+        last = ""
+        for ch in observed:
+            options = [(ch, 0.0)] if ch.isalpha() else [(" ", 0.0 if ch == " " else toxicity.BREAK_COST)]
+            options += [(x, toxicity.LEET_COST) for x in toxicity.LEET.get(ch, "")]
+            if ch in toxicity.SEPARATORS:
+                options.append(("", toxicity.SEPARATOR_COST))
+            elif ch == last or toxicity.LEET.get(ch, "~")[0] == last:
+                options.append(("", toxicity.REPEAT_COST))
+            last = ch
+            new = []
+            for cost, text, a, b in paths:
+                for emit, price in options:
+                    if not emit:
+                        new.append((cost + price, text, a, b))
+                    else:
+                        e = toxicity._CLASS.get(emit, 0 if emit == " " else toxicity.CLASSES - 1)
+                        step = cost + price + costs[0 if b == 0 else a, b, e]
+                        new.append((step, text + emit, *((0, 0) if e == 0 else (b, e))))
+            paths = new
+        return min((cost + costs[0 if b == 0 else a, b, 0], text) for cost, text, a, b in paths)
+
+    restorer = toxicity.Restorer(costs)
+    for _ in range(150):
+        observed = "".join(r.choice("idotmrnhsu1003$@ .-*!") for _ in range(r.randint(1, 8)))
+        assert restorer.restore(observed) == cheapest(observed)[1], observed
+    assert restorer.restore("1d10t") == "idiot" and restorer.restore("i d i o t") == "idiot"
+
+
+def test_toxicity_of_null_and_repeated_rows(spark):
+    df = frame(spark, [(None, "you awful"), (None, "you awful"), (None, None), (3, ""), (3, "you awful")])
+    lab = spark.createDataFrame([(3, 1)], "doc_id long, toxic int")
+    out = toxicity.score(df, toxicity.train(df, lab)).collect()
+    assert len(out) == 5 and len({x.score for x in out}) == 1 and not any(x.held_out for x in out if x.doc_id is None)
+    assert toxicity.score(df.limit(0), toxicity.train(df.limit(0), lab)).count() == 0
+
+
 def test_held_out_rows_teach_nothing(spark):
     import zlib
 

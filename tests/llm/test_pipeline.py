@@ -55,3 +55,11 @@ def test_null_and_shared_ids(spark):
     assert (6, good[4]) in out and (7, good[4]) not in out and sum(t == junk for _, t in out) == 1
     alone = docs.filter("doc_id in (6, 7, 8)")
     assert pairs(C.near_dedup(spark, alone, "")) == [(6, good[4]), (8, good[5])]
+
+
+def test_an_empty_table_and_other_columns(spark, tmp_path):
+    sf = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, _k string, keep int").write.parquet(f"{sf}/documents.parquet")
+    assert C.run(spark, sf).count() == 0
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert C.quality_rules(spark, docs, sf).columns == C.COLUMNS

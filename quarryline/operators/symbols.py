@@ -1,8 +1,10 @@
-"""Declarations per line, by tables of patterns; the first pattern that fits a line decides."""
+"""Declarations per line, by tables of patterns; the first pattern that fits a line decides.
 
-from __future__ import annotations
+One pattern per table finds the lines that any of its patterns fits; for these few lines the tables are data, walked
+by one expression, so that the plan's code doesn't grow with them.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,35 +73,46 @@ _AGGREGATES = {"enum": "type", "trait": "interface", "interface": "interface", "
 _CONTROL = "loop match when do else sizeof catch return switch while for if".split()
 
 
-def _rules(table: str, line: Column) -> tuple[Column, Column]:
+#: Tables whose comment lines declare nothing.
+_COMMENTED = [t for t in PATTERNS if t not in ("js", "py", "markdown")]
+
+
+def _declaration(table: Column, line: Column) -> Column:
+    """A struct of name and kind, from the first rule of the table that fits; null if none does."""
+    rule = lambda k, rx, group: F.struct(F.lit(k).alias("kind"), F.lit(rx).alias("rx"), F.lit(group).alias("group"))
+    tables = F.create_map(*[x for t, rules in PATTERNS.items() for x in (F.lit(t), F.array(*[rule(*r) for r in rules]))])
+    known = F.create_map(*[F.lit(x) for p in _AGGREGATES.items() for x in p])
+    trimmed = F.trim(line)
+
+    def read(r: Column) -> Column:
+        group = lambda n: F.call_function("regexp_extract", line, r["rx"], F.lit(n))
+        first, c = group(1), r["kind"] == "c"
+        name = F.trim(F.when(r["group"] == 1, first).otherwise(group(2)))
+        kind = F.when(r["kind"].isNull(), F.when(table == "c", first).otherwise(F.coalesce(known[first], F.lit("class"))))
+        kind = kind.when(c, F.when(F.contains(first, F.lit("::")), "method").otherwise("function")).otherwise(r["kind"])
+        ok = (name != "") & ~name.isin(*_CONTROL) & ~(F.coalesce(c, F.lit(False)) & trimmed.endswith(";"))
+        return F.when(ok, F.struct(name.alias("name"), kind.alias("kind")))
+
+    return F.get(F.filter(F.transform(tables[table], read), lambda x: x.isNotNull()), F.lit(0))
+
+
+def _declares(table: Column, line: Column) -> Column:
+    """Whether any pattern of the table fits the line."""
+    out = F.lit(False)
+    for t, rules in PATTERNS.items():
+        out = F.when(table == t, line.rlike("|".join(f"(?:{rx})" for _, rx, _ in rules))).otherwise(out)
     trimmed = F.trim(line)
     comment = trimmed.rlike(r"^(?:#|//|\*|/\*)") | (trimmed == "")
-    name: Column = F.lit(None).cast("string")
-    kind: Column = F.lit(None).cast("string")
-    for k, rx, group in reversed(PATTERNS[table]):
-        ok, found, is_kind = line.rlike(rx), F.trim(F.regexp_extract(line, rx, group)), F.lit(k)
-        if k is None:
-            word = F.regexp_extract(line, rx, 1)
-            is_kind = word if table == "c" else F.coalesce(F.create_map(*[F.lit(x) for p in _AGGREGATES.items() for x in p])[word], F.lit("class"))
-        elif k == "c":
-            ok = ok & ~trimmed.endswith(";")
-            is_kind = F.when(F.contains(F.regexp_extract(line, rx, 1), F.lit("::")), "method").otherwise("function")
-        ok = ok & (found != "") & ~found.isin(*_CONTROL)
-        name, kind = F.when(ok, found).otherwise(name), F.when(ok, is_kind).otherwise(kind)
-    if table not in ("js", "py", "markdown"):
-        name = F.when(~comment, name)
-    return name, kind
+    return out & ~(table.isin(*_COMMENTED) & comment)
 
 
 def extract(df: DataFrame, key: list[str], text_col: str = "text", language_col: str = "language") -> DataFrame:
-    """(key, name, kind, start_line, signature) of every declaration; one pass over lines, pattern tables as expressions."""
-    rows = df.select(*key, F.coalesce(F.create_map(*[F.lit(x) for p in TABLE.items() for x in p])[F.col(language_col)], F.col(language_col)).alias("_t"), F.posexplode(F.split(text_col, r"\r?\n", -1)).alias("_i", "_line"))
-    rows = rows.filter(F.col("_t").isin(*PATTERNS))
-    pick = {t: _rules(t, F.col("_line")) for t in PATTERNS}
-    name = reduce(lambda c, t: c.when(F.col("_t") == t, pick[t][0]), PATTERNS, F.when(F.lit(False), F.lit("")))
-    kind = reduce(lambda c, t: c.when(F.col("_t") == t, pick[t][1]), PATTERNS, F.when(F.lit(False), F.lit("")))
-    out = rows.select(*key, name.alias("name"), kind.alias("kind"), (F.col("_i") + 1).alias("start_line"), F.substring(F.trim("_line"), 1, 240).alias("signature"))
-    return out.filter("name is not null")
+    """(key, name, kind, start_line, signature) of every declaration; one pass over lines."""
+    table = F.coalesce(F.create_map(*[F.lit(x) for p in TABLE.items() for x in p])[F.col(language_col)], F.col(language_col))
+    rows = df.select(*key, table.alias("_t"), text_col).filter(F.col("_t").isin(*PATTERNS))
+    rows = rows.select(*key, "_t", F.posexplode(F.split(text_col, r"\r?\n", -1)).alias("_i", "_line")).filter(_declares(F.col("_t"), F.col("_line")))
+    out = rows.withColumn("_d", _declaration(F.col("_t"), F.col("_line")))
+    return out.filter("_d is not null").select(*key, "_d.name", "_d.kind", (F.col("_i") + 1).alias("start_line"), F.substring(F.trim("_line"), 1, 240).alias("signature"))
 
 
 def duplicates(symbols: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     for r in out:
         lines = f":{r['start_line']}-{r['end_line']}" if r.get("start_line") else ""
-        print(f"{r['place']}. {r['path']}{lines}  " + (f"{r['score']:.1f} {r['source']}" if "score" in r else ", ".join(r["reasons"])))
+        print(f"{r['place']}. {r['path']}{lines}  " + (f"{r['score']:.1f} {r['source']}" if "score" in r else ", ".join(dict.fromkeys(x["kind"] for x in r["reasons"]))))
     return 0
 
 

@@ -88,21 +88,30 @@ def file_roles(spark: SparkSession, sf: str) -> DataFrame:
     return views.files(spark, sf).select("file_id", F.array_join(F.array_sort(paths.roles(F.col("path"), F.col("size"))), ",").alias("roles"))
 
 
-@query(f"""WITH {FILES}, {ROLED}, i(intent, wanted) AS (VALUES ('main', ['implementation', 'implementation/main']), ('docs', ['documentation', 'overview']), ('none', ['tests']))
- SELECT file_id, intent, CAST(CASE WHEN list_contains(roles, 'implementation/main') AND list_contains(wanted, 'implementation/main') THEN 24 WHEN list_has_any(roles, wanted) THEN 15 ELSE 0 END AS INTEGER) AS boost FROM v_roled, i""")
+@query(f"""WITH {FILES}, {ROLED}, i(intent, wanted) AS (VALUES ('main', ['implementation', 'implementation/main']), ('setup', ['setup/utility', 'tooling']), ('docs', ['documentation', 'overview']), ('none', ['tests']))
+ SELECT file_id, intent, CAST(CASE WHEN list_contains(roles, 'implementation/main') AND list_contains(wanted, 'implementation/main') THEN 24 WHEN list_contains(roles, 'setup/utility') AND list_contains(wanted, 'setup/utility') THEN 22 WHEN list_has_any(roles, wanted) THEN 15 ELSE 0 END AS INTEGER) AS boost FROM v_roled, i""")
 def role_boosts(spark: SparkSession, sf: str) -> DataFrame:
     f = views.files(spark, sf).select("file_id", paths.roles(F.col("path"), F.col("size")).alias("roles"))
-    wanted = {"main": ["implementation", "implementation/main"], "docs": ["documentation", "overview"], "none": ["tests"]}
+    wanted = {"main": ["implementation", "implementation/main"], "setup": ["setup/utility", "tooling"], "docs": ["documentation", "overview"], "none": ["tests"]}
     boosts = F.array(*[F.struct(F.lit(k).alias("intent"), paths.role_boost(F.col("roles"), F.array(*map(F.lit, v))).alias("boost")) for k, v in wanted.items()])
     return f.select("file_id", F.explode(boosts).alias("x")).select("file_id", "x.intent", "x.boost")
 
 
-@query(f"""WITH {FILES}, {ROLED} SELECT file_id, CAST((CASE WHEN list_contains(roles, 'lockfile') THEN 60 ELSE 0 END) + (CASE WHEN list_contains(roles, 'generated') THEN 60 ELSE 0 END)
- + (CASE WHEN list_has_any(roles, ['build_output', 'minified']) THEN 12 ELSE 0 END) + (CASE WHEN list_contains(roles, 'large_json') THEN 36 ELSE 0 END) + (CASE WHEN list_contains(roles, 'archived_documentation') THEN 14 ELSE 0 END) AS INTEGER) AS penalty FROM v_roled""")
+#: name: intents, whether the query is like a path, the query.
+ASKED: dict[str, tuple[list[str], bool, str]] = {
+    "bundle": ([], True, "dist/bundle"), "agents": (["agent_instructions"], False, "agent rules"), "lock": ([], True, "package-lock.json"), "archive": ([], False, "archived notes"), "generated": ([], True, "generated client"), "plain": ([], False, "vendor build"),
+}
+_ASKED = ", ".join(f"('{k}', {i}::VARCHAR[], {str(p).lower()}, '{q}')" for k, (i, p, q) in ASKED.items())
+
+
+@query(f"""WITH {FILES}, {ROLED}, a(asked, intents, path_like, said) AS (VALUES {_ASKED}) SELECT file_id, asked, CAST((CASE WHEN list_contains(roles, 'agent_instructions') AND NOT list_contains(intents, 'agent_instructions') THEN 18 ELSE 0 END)
+ + (CASE WHEN list_contains(roles, 'lockfile') AND NOT regexp_matches(said, '\\b(lockfile|package-lock\\.json)\\b') THEN 60 ELSE 0 END) + (CASE WHEN list_contains(roles, 'generated') THEN CASE WHEN path_like AND contains(said, 'generated') THEN 8 ELSE 60 END ELSE 0 END)
+ + (CASE WHEN list_has_any(roles, ['build_output', 'minified']) THEN CASE WHEN path_like AND regexp_matches(said, '(^|/)(vendor|build|dist)($|/)') THEN 12 ELSE 48 END ELSE 0 END)
+ + (CASE WHEN list_contains(roles, 'large_json') THEN CASE WHEN contains(said, '.json') THEN 12 ELSE 36 END ELSE 0 END) + (CASE WHEN list_contains(roles, 'archived_documentation') AND NOT contains(said, 'archived') THEN 14 ELSE 0 END) AS INTEGER) AS penalty FROM v_roled, a""")
 def role_penalties(spark: SparkSession, sf: str) -> DataFrame:
-    none = F.array().cast("array<string>")
-    p = paths.role_penalty(paths.roles(F.col("path"), F.col("size")), none, F.lit(True), F.lit("dist/bundle"), none)
-    return views.files(spark, sf).select("file_id", p.alias("penalty"))
+    f = views.files(spark, sf).select("file_id", paths.roles(F.col("path"), F.col("size")).alias("roles"))
+    one = lambda k, i, like, said: F.struct(F.lit(k).alias("asked"), paths.role_penalty(F.col("roles"), F.array(*map(F.lit, i)).cast("array<string>"), F.lit(like), F.lit(said), F.array().cast("array<string>")).alias("penalty"))
+    return f.select("file_id", F.explode(F.array(*[one(k, *v) for k, v in ASKED.items()])).alias("x")).select("file_id", "x.asked", "x.penalty")
 
 
 TEST = f"(regexp_matches(lower(path), '(^|/)(__tests__|tests?|spec)(/|$)') OR regexp_matches(lower({NAME}), '(^|[._-])(test|spec)([._-]|$)'))"
@@ -279,14 +288,14 @@ def top_degree(spark: SparkSession, sf: str) -> DataFrame:
     return graph.top_degree(graph.degrees(views.repo_files(spark, sf), views.repo_edges(spark, sf))).select("path", "total")
 
 
-CYC = "v_cyc AS (SELECT DISTINCT 'n' || n AS src, 'n' || CASE WHEN o_orderkey % 2 = 0 AND n % 7 = 3 THEN n - n % 10 WHEN n % 10 = 9 THEN n ELSE n + 1 END AS dst FROM (SELECT o_orderkey, o_custkey % 400 AS n FROM orders))"
+CYC = "v_cyc AS (SELECT DISTINCT 'n' || n AS src, 'n' || CASE WHEN o_orderkey % 31 = 0 THEN 0 WHEN o_orderkey % 2 = 0 AND n % 7 = 3 THEN n - n % 20 WHEN n % 20 = 19 THEN n ELSE n + 1 END AS dst FROM (SELECT o_orderkey, o_custkey AS n FROM orders))"
 
 
 @query(f"WITH {CYC} SELECT path, CAST(i AS BIGINT) AS inbound, CAST(o AS BIGINT) AS outbound FROM (SELECT dst AS path, count(*) AS i FROM v_cyc GROUP BY 1) JOIN (SELECT src AS path, count(*) AS o FROM v_cyc GROUP BY 1) USING (path)")
 def bridge_files(spark: SparkSession, sf: str) -> DataFrame:
     e = views.cyclic_edges(spark, sf)
     nodes = e.select(F.explode(F.array("src", "dst")).alias("path")).distinct()
-    return graph.degrees(nodes, e).filter("inbound > 0 and outbound > 0").select("path", "inbound", "outbound")
+    return graph.top_degree(graph.degrees(nodes, e), None, bridges=True).select("path", "inbound", "outbound")
 
 
 @query(f"WITH {FILES} SELECT path FROM v_files WHERE path NOT IN (SELECT path FROM v_files WHERE file_id % 3 = 0) AND path NOT IN (SELECT b.path FROM v_files a JOIN v_files b ON b.file_id = a.file_id + 1 WHERE a.file_id % 3 = 0)")
@@ -297,12 +306,13 @@ def isolated_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 MODULE = "CASE WHEN {0} LIKE 'packages/%' OR {0} LIKE 'apps/%' THEN split_part({0}, '/', 1) || '/' || split_part({0}, '/', 2) ELSE split_part({0}, '/', 1) END"
-FILE_EDGES = "v_fe AS (SELECT DISTINCT a.path AS src, b.path AS dst FROM v_files a JOIN v_files b ON b.file_id = (a.file_id * 7 + 3) % 1000)"
+FILE_EDGES = "v_fe AS (SELECT DISTINCT a.path AS src, b.path AS dst FROM v_files a JOIN v_files b ON b.file_id = (a.file_id * 7 + 3) % (SELECT max(doc_id) + 1 FROM documents))"
 
 
 def _file_edges(spark: SparkSession, sf: str) -> DataFrame:
     f = views.files(spark, sf)
-    return f.select(F.col("path").alias("src"), ((F.col("file_id") * 7 + 3) % 1000).alias("to")).join(f.select(F.col("file_id").alias("to"), F.col("path").alias("dst")), "to").select("src", "dst").distinct()
+    ids = f.agg(F.max("file_id") + 1).first()[0]
+    return f.select(F.col("path").alias("src"), ((F.col("file_id") * 7 + 3) % F.lit(ids)).alias("to")).join(f.select(F.col("file_id").alias("to"), F.col("path").alias("dst")), "to").select("src", "dst").distinct()
 
 
 @query(f"""WITH {FILES}, {FILE_EDGES}, m AS (SELECT {MODULE.format('path')} AS module, count(*) AS files FROM v_files GROUP BY 1),
@@ -318,11 +328,12 @@ def import_cycles(spark: SparkSession, sf: str) -> DataFrame:
     return graph.cycles(views.cyclic_edges(spark, sf))
 
 
-@query(f"""WITH RECURSIVE {CYC}, s AS (SELECT src, dst FROM v_cyc UNION SELECT dst, src FROM v_cyc), r AS (SELECT 'n1' AS path, 0 AS hops UNION SELECT s.dst, r.hops + 1 FROM r JOIN s ON r.path = s.src WHERE r.hops < 3)
- SELECT 'n1' AS start, path, min(hops) AS hops FROM r GROUP BY ALL""")
+@query(f"""WITH RECURSIVE {CYC}, s AS (SELECT src, dst FROM v_cyc UNION SELECT dst, src FROM v_cyc), r AS (SELECT DISTINCT 'n' || o_custkey AS start, 'n' || o_custkey AS path, 0 AS hops FROM orders WHERE o_custkey % 20 = 5 UNION SELECT r.start, s.dst, r.hops + 1 FROM r JOIN s ON r.path = s.src WHERE r.hops < 3)
+ SELECT start, path, min(hops) AS hops FROM r GROUP BY ALL""")
 def bounded_paths(spark: SparkSession, sf: str) -> DataFrame:
-    start = spark.createDataFrame([("n1",)], "start string")
-    return graph.shortest_paths(start, views.cyclic_edges(spark, sf), 3)
+    """From the fifth node of every chain."""
+    start = views.table(spark, sf, "orders").filter("o_custkey % 20 = 5").select(F.concat(F.lit("n"), "o_custkey").alias("start")).distinct()
+    return graph.shortest_paths(start, views.cyclic_edges(spark, sf), 3).drop("trail")
 
 
 @query(f"""WITH {CYC}, s AS (SELECT src, dst, 'imports' AS step FROM v_cyc UNION SELECT dst, src, 'reverse_imports' FROM v_cyc), x AS (SELECT src AS target, step, dst AS path, row_number() OVER (PARTITION BY src, step ORDER BY dst) AS rank FROM s WHERE src <> dst)
@@ -343,10 +354,13 @@ def source_under_test(spark: SparkSession, sf: str) -> DataFrame:
     return context.tested(facts.select(F.col("path").alias("target")), facts).select("target", "path")
 
 
-@query(f"""WITH {FILES} SELECT a.path AS target, b.path FROM v_files a JOIN v_files b ON regexp_replace(a.path, '\\.[ch]$', '') = regexp_replace(b.path, '\\.[ch]$', '') WHERE a.path <> b.path AND a.path LIKE 'native/%' AND b.path LIKE 'native/%'
- UNION SELECT r.path, h.path FROM v_files r JOIN v_files h ON h.path LIKE 'src/items_%handler%' AND contains(h.path, 'item') WHERE false""")
+@query(f"""WITH {FILES}, r AS (SELECT path FROM v_files WHERE regexp_matches(path, '(^|/)app/api/items/[^/]+/route\\.ts$')), h AS (SELECT path FROM v_files WHERE path LIKE 'src/items\\_%\\_handler\\_%.ts' ESCAPE '\\'),
+ m AS (SELECT r.path AS target, h.path FROM r, h UNION ALL SELECT h.path, r.path FROM r, h)
+ SELECT a.path AS target, b.path FROM v_files a JOIN v_files b ON regexp_replace(a.path, '\\.[ch]$', '') = regexp_replace(b.path, '\\.[ch]$', '') WHERE a.path <> b.path AND regexp_matches(a.path, '\\.[ch]$')
+ UNION ALL SELECT target, path FROM m QUALIFY row_number() OVER (PARTITION BY target ORDER BY path) <= 8""")
 def implementation_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    facts = context.with_facts(views.files(spark, sf)).filter("path like 'native/%'")
+    """Sources and headers; routes and their handlers, the first eight, as all are equally near here."""
+    facts = context.with_facts(views.files(spark, sf))
     return context.pairs(facts.select(F.col("path").alias("target")), facts).select("target", "path")
 
 
@@ -362,7 +376,7 @@ def read_first(spark: SparkSession, sf: str) -> DataFrame:
     f = views.files(spark, sf).select("path", "size", "language")
     e = _file_edges(spark, sf).select("src", "dst", F.lit("imports").alias("kind"), F.lit(None).cast("string").alias("specifier"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"))
     t = f.filter("language = 'typescript'").select(F.col("path").alias("target"))
-    return context.read_first(context.related(t, f, e), t).select("target", "place", "path", F.array_join("reasons", ",").alias("reasons"))
+    return context.read_first(context.related(t, f, e), t).select("target", "place", "path", F.array_join(context.kinds("reasons"), ",").alias("reasons"))
 
 
 # Usage log
@@ -451,7 +465,7 @@ def usage_confidence(spark: SparkSession, sf: str) -> DataFrame:
 # Index and search
 
 TOKENS = "v_tok AS (SELECT doc_id, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS toks FROM documents)"
-QTOK = "v_q AS (SELECT CAST(item_id AS VARCHAR) AS query_id, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')[:8] AS toks FROM benchmark)"
+QTOK = "v_q AS (SELECT CAST(item_id AS VARCHAR) AS query_id, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS toks FROM benchmark)"
 
 
 def _index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -459,8 +473,9 @@ def _index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return postings.index(d, "doc_id", ["text"]), postings.stats(d, "doc_id", ["text"])
 
 
-def _query_words(spark: SparkSession, sf: str, n: int = 8) -> DataFrame:
-    return views.queries(spark, sf).select("query_id", F.slice(text.tokens(F.col("query")), 1, n).alias("words"))
+def _query_words(spark: SparkSession, sf: str) -> DataFrame:
+    """All words of the passages."""
+    return views.queries(spark, sf).select("query_id", text.tokens(F.col("query")).alias("words"))
 
 
 @query(f"WITH {TOKENS} SELECT t AS term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(toks) AS t FROM v_tok) GROUP BY 1")
@@ -489,14 +504,16 @@ def all_terms_match(spark: SparkSession, sf: str) -> DataFrame:
     return postings.bm25(index, lengths, words, require_all=True).select("query_id", "doc")
 
 
-@query(f"WITH {TOKENS}, {QTOK} SELECT query_id, doc_id AS doc FROM v_q JOIN v_tok ON contains(' ' || array_to_string(v_tok.toks, ' ') || ' ', ' ' || array_to_string(v_q.toks[:5], ' ') || ' ')")
+@query(f"WITH {TOKENS}, {QTOK} SELECT query_id, doc_id AS doc FROM v_q JOIN v_tok ON contains(' ' || array_to_string(v_tok.toks, ' ') || ' ', ' ' || array_to_string(v_q.toks, ' ') || ' ')")
 def phrase_match(spark: SparkSession, sf: str) -> DataFrame:
-    return postings.phrase(_index(spark, sf)[0], _query_words(spark, sf, 5))
+    return postings.phrase(_index(spark, sf)[0], _query_words(spark, sf))
 
 
-@query(f"WITH {TOKENS}, {QTOK}, v AS (SELECT DISTINCT doc_id, t FROM (SELECT doc_id, unnest(toks) AS t FROM v_tok)) SELECT DISTINCT query_id, doc_id AS doc FROM v_q JOIN v ON starts_with(t, substr(toks[1], 1, 4)) WHERE length(toks[1]) > 1")
+@query(f"""WITH {TOKENS}, {QTOK}, v AS (SELECT DISTINCT doc_id, t FROM (SELECT doc_id, unnest(toks) AS t FROM v_tok)), p AS (SELECT DISTINCT query_id, x FROM (SELECT query_id, unnest(toks) AS x FROM v_q) WHERE length(x) > 4),
+ m AS (SELECT DISTINCT x, t FROM (SELECT DISTINCT x FROM p) JOIN (SELECT DISTINCT t FROM v) ON starts_with(t, x)) SELECT DISTINCT query_id, doc_id AS doc FROM p JOIN m USING (x) JOIN v USING (t)""")
 def prefix_match(spark: SparkSession, sf: str) -> DataFrame:
-    q = _query_words(spark, sf, 1).select("query_id", F.substring(F.col("words")[0], 1, 4).alias("prefix"))
+    """Documents with a word that begins with one of a passage's words of at least five letters."""
+    q = _query_words(spark, sf).select("query_id", F.explode("words").alias("prefix")).filter("length(prefix) > 4").distinct()
     return postings.prefix(_index(spark, sf)[0], q)
 
 
@@ -559,15 +576,14 @@ def search_ranked(spark: SparkSession, sf: str) -> DataFrame:
     f = views.files(spark, sf, True).filter("text is not null")
     ck = chunk.fixed(f.select("file_id", "text"), F.col("text")).select("file_id", "ordinal", "start_line", "end_line", "kind", "chunk")
     sy = f.filter("language = 'typescript'").select("file_id", F.concat(F.lit("Mod"), "file_id").alias("name"), F.lit("class").alias("kind"), F.lit(1).alias("start_line"), F.concat(F.lit("class Mod"), "file_id").alias("signature"))
-    q = views.queries(spark, sf).withColumn("query", F.array_join(F.slice(F.split("query", " "), 1, 12), " "))
-    q = q.unionByName(spark.createDataFrame([("x1", "docs/adr decision"), ("x2", "where is the main entrypoint"), ("x3", "Mod40 class")], "query_id string, query string"))
+    q = views.queries(spark, sf).unionByName(spark.createDataFrame([("x1", "docs/adr decision"), ("x2", "where is the main entrypoint"), ("x3", "Mod40 class")], "query_id string, query string"))
     out = search.search(query_plan.plan(q), f.drop("text"), ck, sy, 10)
     return out.select("query_id", "place", "path", text.round_up(F.col("score")).alias("score"), "source")
 
 
 # Evaluation
 
-CASES = f"""{BM25}, cs AS (SELECT CAST(item_id AS VARCHAR) AS case_id, list_sort(list(doc_id)) AS expected, [doc_id % 7 FOR doc_id IN list(doc_id)] AS excluded FROM benchmark JOIN documents ON contains(documents.text, substr(benchmark.text, 1, 60)) GROUP BY 1),
+CASES = f"""{BM25}, cs AS (SELECT CAST(item_id AS VARCHAR) AS case_id, list_sort(list(doc_id)) AS expected, [doc_id % 7 FOR doc_id IN list(doc_id)] AS excluded FROM benchmark JOIN documents ON contains(documents.text, benchmark.text) GROUP BY 1),
  tp AS (SELECT query_id AS case_id, list(doc ORDER BY rank) AS top FROM r WHERE rank <= 5 GROUP BY 1),
  m AS (SELECT case_id, list_min(list_filter(list_transform(coalesce(top, []), lambda d, i: CASE WHEN list_contains(expected, d) THEN i END), lambda x: x IS NOT NULL)) AS rank,
  len(list_intersect(expected, coalesce(top, []))) / len(list_distinct(expected)) AS coverage, len(list_filter(expected, lambda d: NOT list_contains(coalesce(top, []), d))) AS missing, len(list_intersect(list_distinct(excluded), coalesce(top, []))) AS excluded_hits FROM cs LEFT JOIN tp USING (case_id))"""
@@ -575,8 +591,8 @@ CASES = f"""{BM25}, cs AS (SELECT CAST(item_id AS VARCHAR) AS case_id, list_sort
 
 def _case_metrics(spark: SparkSession, sf: str) -> DataFrame:
     d, b = views.table(spark, sf, "documents"), views.table(spark, sf, "benchmark")
-    # A passage's first words are a phrase of the index; the exact test of 60 characters follows on what it finds.
-    head = b.select(F.col("item_id").cast("string").alias("case_id"), F.substring("text", 1, 60).alias("head"))
+    # A passage's inner words are a phrase of the index; the exact test of the whole passage follows on what it finds.
+    head = b.select(F.col("item_id").cast("string").alias("case_id"), F.col("text").alias("head"))
     words = head.withColumn("w", text.tokens(F.col("head"))).select(F.col("case_id").alias("query_id"), F.expr("slice(w, 2, greatest(size(w) - 2, 1))").alias("words"))
     index, lengths = _index(spark, sf)
     near = postings.phrase(index, words).withColumnRenamed("query_id", "case_id").join(head, "case_id").join(d.select(F.col("doc_id").alias("doc"), "text"), "doc").filter(F.contains("text", "head"))
@@ -601,10 +617,11 @@ def retrieval_quality(spark: SparkSession, sf: str) -> DataFrame:
     return evalkit.summarize(_case_metrics(spark, sf))
 
 
-@query(f"""WITH {CASES}, s AS (SELECT {R3.format("avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0 END)")} AS top1, {R3.format("avg(CASE WHEN rank IS NOT NULL THEN 1.0 ELSE 0 END)")} AS recall FROM m)
- SELECT 'top1' AS metric, '>= 0.999' AS expected, top1 AS actual FROM s WHERE top1 < 0.999 UNION ALL SELECT 'recall', '>= 0.5', recall FROM s WHERE recall < 0.5""")
+@query(f"""WITH {CASES}, s AS (SELECT {R3.format("avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0 END)")} AS top1, {R3.format("avg(CASE WHEN rank IS NOT NULL THEN 1.0 ELSE 0 END)")} AS recall, {R3.format("avg(coverage)")} AS coverage, count(*) AS cases FROM m)
+ SELECT 'top1' AS metric, '>= 1.1' AS expected, CAST(top1 AS DOUBLE) AS actual FROM s UNION ALL SELECT 'recall', '>= 1.1', recall FROM s UNION ALL SELECT 'cases', '<= 0.0', cases FROM s WHERE cases > 0""")
 def quality_gate(spark: SparkSession, sf: str) -> DataFrame:
-    return evalkit.gate(evalkit.summarize(_case_metrics(spark, sf)), {"top1": 0.999, "recall": 0.5}, {"false_positive_rate": 1.0})
+    """Thresholds out of reach for two metrics and one bound; the others hold."""
+    return evalkit.gate(evalkit.summarize(_case_metrics(spark, sf)), {"top1": 1.1, "recall": 1.1, "coverage": 0.0}, {"false_positive_rate": 1.0, "cases": 0.0})
 
 
 TASKS = """tk AS (SELECT o_orderkey AS task_id, CASE o_orderkey % 3 WHEN 0 THEN 'lexical' WHEN 1 THEN 'search' ELSE 'context' END AS mode, CASE WHEN o_custkey % 4 = 0 THEN 'baseline' ELSE 'natural' END AS cohort,
@@ -682,13 +699,13 @@ def miss_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return evalkit.explain_misses(t).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {FILES}, k AS (SELECT CAST(item_id AS VARCHAR) AS query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: length(x) > 5)[:4])) AS term FROM benchmark)
+@query(f"""WITH {FILES}, k AS (SELECT CAST(item_id AS VARCHAR) AS query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: length(x) > 1))) AS term FROM benchmark)
  SELECT query_id, path, CAST(sum(4 * ((length(lower(path)) - length(replace(lower(path), term, ''))) // length(term)) + (length(lower(text)) - length(replace(lower(text), term, ''))) // length(term)) AS BIGINT) AS score
  FROM v_files JOIN k ON contains(lower(path), term) OR contains(lower(text), term) GROUP BY 1, 2""")
 def lexical_baseline(spark: SparkSession, sf: str) -> DataFrame:
     b = views.table(spark, sf, "benchmark")
-    words = F.filter(F.split(F.lower("text"), "[^a-z0-9_]+"), lambda t: F.length(t) > 5)
-    q = b.select(F.col("item_id").cast("string").alias("query_id"), F.array_distinct(F.slice(words, 1, 4)).alias("terms"))
+    words = F.filter(F.split(F.lower("text"), "[^a-z0-9_]+"), lambda t: F.length(t) > 1)
+    q = b.select(F.col("item_id").cast("string").alias("query_id"), F.array_distinct(words).alias("terms"))
     return evalkit.lexical_scores(q, views.files(spark, sf, True))
 
 
@@ -751,14 +768,15 @@ def hit_confidence(spark: SparkSession, sf: str) -> DataFrame:
     return search.confidence(best).select("query_id", "level", text.round_up(F.col("margin")).alias("margin"))
 
 
-@query("""WITH c AS (SELECT l_suppkey AS query_id, 'p' || (l_partkey % 40) AS path, l_quantity - 25 AS score, l_orderkey * 10 + l_linenumber AS source_seq FROM lineitem),
+@query("""WITH c AS (SELECT l_suppkey AS query_id, l_orderkey * 10 + l_linenumber AS source_seq, 'p' || (min(l_partkey) % 40) AS path, max(l_quantity) - 25 AS score FROM lineitem GROUP BY 1, 2),
  d AS (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY score DESC, source_seq) AS best FROM c),
  v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS place FROM d WHERE best = 1 AND score > 0)
  SELECT d.query_id, d.source_seq, CASE WHEN v.place <= 5 THEN 'selected' WHEN d.score <= 0 THEN 'non_positive_score' WHEN d.best > 1 THEN 'deduped_lower_score' ELSE 'outside_limit' END AS decision
  FROM d LEFT JOIN v ON d.query_id = v.query_id AND d.source_seq = v.source_seq""")
 def candidate_decisions(spark: SparkSession, sf: str) -> DataFrame:
     li = views.table(spark, sf, "lineitem")
-    c = li.select(F.col("l_suppkey").alias("query_id"), F.concat(F.lit("p"), F.col("l_partkey") % 40).alias("path"), (F.col("l_quantity") - 25).alias("score"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("source_seq"), F.lit(1).alias("start_line"))
+    key = [F.col("l_suppkey").alias("query_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("source_seq")]
+    c = li.groupBy(*key).agg(F.concat(F.lit("p"), F.min("l_partkey") % 40).alias("path"), (F.max("l_quantity") - 25).alias("score"), F.lit(1).alias("start_line"))
     return search.decisions(c, 5).select("query_id", "source_seq", "decision")
 
 
@@ -780,9 +798,17 @@ def alias_resolution(spark: SparkSession, sf: str) -> DataFrame:
     return references.extract(f, rules).select("path", "specifier", F.col("candidates")[0].alias("target"))
 
 
-@query("""SELECT l_suppkey AS query_id, CAST(count(*) AS BIGINT) AS paths, CAST(sum(n) AS BIGINT) AS reasons FROM (SELECT l_suppkey, l_partkey, count(DISTINCT l_returnflag) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1""")
+_BUCKET = {b: i for i, b in enumerate(context.BUCKETS)}
+_PLACED = " ".join(f"WHEN reason = '{r}' THEN CASE WHEN n <= {most} THEN {_BUCKET[a]} ELSE {_BUCKET[b]} END" for r, (most, a, b) in (("import", context.EARLY["import"]), ("sibling_test", context.EARLY["sibling_test"]), ("reverse_import", context.EARLY["importer"])))
+
+
+@query(f"""WITH l AS (SELECT 's' || l_suppkey AS target, 'p' || l_partkey || '.ts' AS path, CASE l_returnflag WHEN 'A' THEN 'reverse_import' WHEN 'N' THEN 'import' ELSE 'sibling_test' END AS reason, min(l_linenumber) AS rank FROM lineitem GROUP BY ALL),
+ n AS (SELECT *, row_number() OVER (PARTITION BY target, reason ORDER BY rank, path) AS n FROM l), b AS (SELECT target, path, reason, (CASE {_PLACED} END) * 1000000 + n AS o FROM n UNION ALL SELECT DISTINCT 's' || l_suppkey, 's' || l_suppkey, 'target', 1 FROM lineitem),
+ m AS (SELECT target, path, min(o) AS o, array_to_string(list(reason ORDER BY o), ',') AS reasons FROM b GROUP BY 1, 2),
+ p AS (SELECT target, path, reasons, row_number() OVER (PARTITION BY target ORDER BY o, path) AS place FROM m) SELECT target, CAST(place AS INTEGER) AS place, path, reasons FROM p WHERE place <= 25""")
 def merged_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    """Neighbours merged by path, their reasons without repeats; the budget is off."""
+    """Neighbours of every supplier merged by path in the order of buckets, their reasons without repeats, cut at the budget."""
     li = views.table(spark, sf, "lineitem")
-    rel = li.groupBy(F.col("l_suppkey").cast("string").alias("target"), F.concat(F.lit("p"), "l_partkey").alias("path")).agg(F.array_sort(F.collect_set("l_returnflag")).alias("reasons"))
-    return rel.groupBy(F.col("target").cast("long").alias("query_id")).agg(F.count(F.lit(1)).alias("paths"), F.sum(F.size("reasons")).alias("reasons"))
+    reason = F.when(F.col("l_returnflag") == "A", "reverse_import").when(F.col("l_returnflag") == "N", "import").otherwise("sibling_test")
+    rel = li.groupBy(F.concat(F.lit("s"), "l_suppkey").alias("target"), F.concat(F.lit("p"), "l_partkey", F.lit(".ts")).alias("path"), reason.alias("reason")).agg(F.min("l_linenumber").cast("int").alias("rank"))
+    return context.read_first(rel, rel.select("target").distinct(), 25).select("target", "place", "path", F.array_join(context.kinds("reasons"), ",").alias("reasons"))

@@ -30,9 +30,11 @@ def degrees(files: DataFrame, edges: DataFrame) -> DataFrame:
     return out.withColumn("total", F.col("inbound") + F.col("outbound"))
 
 
-def top_degree(degree: DataFrame, limit: int = 10, bridges: bool = False) -> DataFrame:
+def top_degree(degree: DataFrame, limit: int | None = 10, bridges: bool = False) -> DataFrame:
+    """Files by degree, all of them without a limit; bridges have edges in both directions."""
     keep = (F.col("inbound") > 0) & (F.col("outbound") > 0) if bridges else F.col("total") > 0
-    return degree.filter(keep).orderBy(F.desc("total"), F.desc("inbound"), F.desc("outbound"), "path").limit(limit)
+    out = degree.filter(keep).orderBy(F.desc("total"), F.desc("inbound"), F.desc("outbound"), "path")
+    return out if limit is None else out.limit(limit)
 
 
 def isolated(files: DataFrame, edges: DataFrame) -> DataFrame:
@@ -63,14 +65,17 @@ def neighbours(targets: DataFrame, edges: DataFrame, limit: int = 8) -> DataFram
 
 
 def shortest_paths(starts: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
-    """(start, path, hops): files within ``hops`` steps in either direction, by rounds that leave out what was reached."""
+    """(start, path, hops, trail): files within ``hops`` steps in either direction, by rounds that leave out what was reached.
+
+    trail: the files of a shortest path, of several the first in order.
+    """
     hops = max(1, min(hops, 4))
     step = adjacency(edges.select("src", "dst", "kind")).select("src", F.col("dst").alias("next")).distinct()
-    reached = starts.select("start", F.col("start").alias("path"), F.lit(0).alias("hops")).distinct()
+    reached = starts.select("start", F.col("start").alias("path"), F.lit(0).alias("hops"), F.array("start").alias("trail")).distinct()
     front = reached
     for h in range(1, hops + 1):
-        nxt = front.join(step, front.path == step.src).select("start", F.col("next").alias("path")).distinct()
-        front = cut(nxt.join(reached.select("start", "path"), ["start", "path"], "left_anti").withColumn("hops", F.lit(h)))
+        nxt = front.join(step, front.path == step.src).groupBy("start", F.col("next").alias("path")).agg(F.min(F.concat("trail", F.array("next"))).alias("trail"))
+        front = cut(nxt.join(reached.select("start", "path"), ["start", "path"], "left_anti").select("start", "path", F.lit(h).alias("hops"), "trail"))
         reached = reached.unionByName(front)
     return reached
 

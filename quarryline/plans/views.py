@@ -10,8 +10,8 @@ from quarryline.functions import paths
 #: doc_id modulo 20 to the path of a file; the SQL of the checks uses the same expressions.
 TEMPLATES = [
     "'src/' || 'g' || CAST(CAST(floor(doc_id / 20) AS BIGINT) % 9 AS VARCHAR(9)) || '/mod_' || doc_id || '.ts'", "'src/' || 'g' || CAST(CAST(floor(doc_id / 20) AS BIGINT) % 9 AS VARCHAR(9)) || '/mod_' || (doc_id - 1) || '.test.ts'", "'docs/' || lang || '/note_' || doc_id || '.md'",
-    "'docs/adr/' || doc_id || '-' || lang || '.md'", "'scripts/' || source || '/task_' || doc_id || '.py'", "'packages/' || source || '/src/part_' || doc_id || '.js'",
-    "'config/' || source || '.' || doc_id || '.json'", "'vendor/lib_' || doc_id || '/package-lock.json'", "'apps/' || source || '_' || doc_id || '/README.md'",
+    "'docs/adr/' || doc_id || '-' || lang || '.md'", "'scripts/' || source || '/' || CASE WHEN doc_id % 3 = 0 THEN doc_id || '/setup.py' ELSE 'task_' || doc_id || '.py' END", "'packages/' || source || '/src/part_' || doc_id || '.js'",
+    "'config/' || source || '.' || doc_id || '.json'", "'vendor/lib_' || doc_id || '/package-lock.json'", "'apps/' || source || '_' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '/AGENTS.md' ELSE '/README.md' END",
     "'packages/' || source || '/pkg_' || doc_id || '/package.json'", "'src/providers/' || source || '/provider_' || doc_id || '.py'", "'web_' || doc_id || '/app/api/items/' || lang || '/route.ts'",
     "'src/' || source || '/' || doc_id || '/index.ts'", "'tests/' || source || '/mod_' || (doc_id - 13) || '.test.ts'", "'dist/' || source || '/bundle_' || doc_id || '.min.js'",
     "'docs/archive/' || doc_id || '.md'", "'native/' || 'g' || CAST(CAST(floor(doc_id / 20) AS BIGINT) % 9 AS VARCHAR(9)) || '/unit_' || doc_id || '.c'", "'native/' || 'g' || CAST(CAST(floor(doc_id / 20) AS BIGINT) % 9 AS VARCHAR(9)) || '/unit_' || (doc_id - 1) || '.h'",
@@ -56,9 +56,9 @@ def repo_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cyclic_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """A graph of 400 nodes in chains of ten, some of which lead back to their chain's start."""
-    n, o = F.col("o_custkey") % 400, F.col("o_orderkey")
-    to = F.when((o % 2 == 0) & (n % 7 == 3), n - n % 10).when(n % 10 == 9, n).otherwise(n + 1)
+    """A graph over all customers with orders: chains of twenty, some of which lead back to their start, and a hub that every chain may reach."""
+    n, o = F.col("o_custkey"), F.col("o_orderkey")
+    to = F.when(o % 31 == 0, F.lit(0)).when((o % 2 == 0) & (n % 7 == 3), n - n % 20).when(n % 20 == 19, n).otherwise(n + 1)
     e = table(spark, sf, "orders").select(F.concat(F.lit("n"), n).alias("src"), F.concat(F.lit("n"), to).alias("dst"))
     return e.distinct().withColumn("kind", F.lit("imports"))
 

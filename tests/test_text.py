@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryline.functions import paths, shell, text
-from quarryline.operators import chunk, context, references, symbols
+from quarryline.operators import chunk, context, graph, references, symbols
 from quarryline.operators.readplan import plan
 from quarryline.plans.query_plan import plan_query
 from quarryline.sources import ignore, scan
@@ -145,5 +145,56 @@ def test_read_first_starts_with_the_target(spark):
     f = spark.createDataFrame([("src/a.ts", 1), ("src/a.test.ts", 1), ("src/b.ts", 1), ("src/a-util.ts", 1), ("README.md", 1), ("src/x.config.json", 1)], "path string, size long")
     e = spark.createDataFrame([("src/a.ts", "src/b.ts", "imports", "./b", 1, 1)], "src string, dst string, kind string, specifier string, line_start int, line_end int")
     t = spark.createDataFrame([("src/a.ts",)], "target string")
-    out = [(r.path, r.reasons) for r in context.read_first(context.related(t, f, e), t).orderBy("place").collect()]
+    out = [(r.path, [x.kind for x in r.reasons]) for r in context.read_first(context.related(t, f, e), t).orderBy("place").collect()]
     assert out[0] == ("src/a.ts", ["target"]) and out[1] == ("src/b.ts", ["import"]) and ("src/a.test.ts", ["sibling_test"]) in out and ("README.md", ["related_doc"]) in out and ("src/a-util.ts", ["same_dir"]) in out
+
+
+def test_neighbour_tests_and_reasons(spark):
+    """Tests of what a target imports, of what imports it, and of its counterpart; reasons name both ends."""
+    names = ["src/a.ts", "src/b.ts", "lib/c.ts", "lib/c.test.ts", "src/use.ts", "tests/use.spec.ts", "src/a.test.ts", "native/u.c", "native/u.h", "native/tests/u_test.c", "README.md", "docker-compose.yml"]
+    f = spark.createDataFrame([(p, 10) for p in names], "path string, size long")
+    e = spark.createDataFrame([("src/a.ts", "lib/c.ts", "imports", "../lib/c", 1, 1), ("src/use.ts", "src/a.ts", "imports", "./a", 1, 1), ("src/a.test.ts", "src/a.ts", "imports", "./a", 1, 1)], "src string, dst string, kind string, specifier string, line_start int, line_end int")
+    t = spark.createDataFrame([("src/a.ts",), ("native/u.h",), ("src/a.test.ts",)], "target string")
+    rel = context.related(t, f, e)
+    out = {}
+    for r in context.read_first(rel, t, 25).orderBy("target", "place").collect():
+        out.setdefault(r.target, {})[r.path] = [(x.kind, x.source, x.to, x.specifier) for x in r.reasons]
+    a = out["src/a.ts"]
+    assert list(a)[:2] == ["src/a.ts", "lib/c.ts"]
+    assert a["lib/c.ts"] == [("import", "src/a.ts", "lib/c.ts", "../lib/c")]
+    assert a["lib/c.test.ts"] == [("sibling_test", "lib/c.test.ts", "lib/c.ts", None)]
+    assert a["tests/use.spec.ts"] == [("sibling_test", "tests/use.spec.ts", "src/use.ts", None)]
+    assert a["src/use.ts"] == [("reverse_import", "src/use.ts", "src/a.ts", "./a")]
+    assert {k for k, *_ in a["src/a.test.ts"]} >= {"reverse_import", "reverse_test"}
+    assert a["docker-compose.yml"][0][0] == "near_config" and a["README.md"][0][0] == "related_doc"
+    u = out["native/u.h"]
+    assert list(u)[:2] == ["native/u.h", "native/u.c"] and "native/tests/u_test.c" in u
+    assert {k for k, *_ in out["src/a.test.ts"]["src/a.ts"]} == {"import", "test_of"}
+    hints = {(r.target, r.role): r.path for r in rel.filter("role is not null").collect()}
+    assert hints[("native/u.h", "pair_test")] == "native/tests/u_test.c" and hints[("src/a.ts", "import_test")] == "lib/c.test.ts" and hints[("src/a.ts", "importer_test")] == "tests/use.spec.ts"
+
+
+def test_nearest_of_a_key_that_many_share(spark):
+    import random
+
+    r = random.Random(3)
+    made = sorted({"/".join(r.choice("abc") for _ in range(r.randint(0, 3))) + f"/f{r.randrange(200)}" for _ in range(160)})
+    made = [p.lstrip("/") for p in made]
+    df = spark.createDataFrame([(p, 1) for p in made], "path string, key int")
+    got = context._near(context.nearest(df.withColumnRenamed("path", "target"), df, ["key"], 3).withColumn("reason", F.lit("x")), 3)
+    every = context._near(df.select(F.col("path").alias("target"), "key").join(df, "key").withColumn("reason", F.lit("x")), 3)
+    rows = lambda x: sorted((y.target, y["rank"], y.path) for y in x.collect())
+    assert rows(got) == rows(every)
+
+
+def test_shortest_paths_name_their_files(spark):
+    e = spark.createDataFrame([("a", "b", "imports"), ("b", "c", "imports"), ("a", "d", "imports"), ("d", "c", "imports"), ("c", "e", "imports")], "src string, dst string, kind string")
+    got = {r.path: (r.hops, list(r.trail)) for r in graph.shortest_paths(spark.createDataFrame([("a",)], "start string"), e, 4).collect()}
+    assert got["c"] == (2, ["a", "b", "c"]) and got["e"] == (3, ["a", "b", "c", "e"]) and got["a"] == (0, ["a"])
+
+
+def test_long_cycle_and_hub(spark):
+    ring = [(f"r{i:03d}", f"r{(i + 1) % 60:03d}") for i in range(60)]
+    tail = [(f"t{i}", f"t{i + 1}") for i in range(30)] + [("t30", "r000"), ("r010", "x0")] + [(f"x{i}", "hub") for i in range(20)] + [("hub", "hub"), ("x3", "x4"), ("x4", "x3")]
+    got = {r.node: r.component for r in graph.cycles(spark.createDataFrame(ring + tail, "src string, dst string")).collect()}
+    assert got == {**{f"r{i:03d}": "r000" for i in range(60)}, "x3": "x3", "x4": "x3"}

@@ -470,7 +470,7 @@ QTOK = "v_q AS (SELECT CAST(item_id AS VARCHAR) AS query_id, list_filter(regexp_
 
 def _index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     d = views.table(spark, sf, "documents")
-    return postings.index(d, "doc_id", ["text"]), postings.stats(d, "doc_id", ["text"])
+    return graph.cut(postings.index(d, "doc_id", ["text"])), postings.stats(d, "doc_id", ["text"])
 
 
 def _query_words(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,24 +2,40 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quarryline.functions import paths
 
+#: Steps of an iteration between written tables.
+HOPS = 4
+_own: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors see, ``spark.checkpoint.dir``; only a local session without one gets its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="quarryline-"))
+            atexit.register(shutil.rmtree, _own[0], True)
+        found = "file://" + _own[0]
+    return found.rstrip("/")
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage in an iteration: a checkpoint where the session has a folder for it, else as is (tests on few rows)."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        path = f"{folder.rstrip('/')}/quarryline/graph-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-    return df.cache()
+    """Write ``df`` to the shared folder and read it back: cuts lineage, and what is read more than once is made once."""
+    path = f"{shared_dir(df.sparkSession)}/quarryline/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def degrees(files: DataFrame, edges: DataFrame) -> DataFrame:
@@ -89,31 +105,39 @@ def cycles(edges: DataFrame) -> DataFrame:
     e = cut(edges.select("src", "dst").filter("src <> dst").distinct())
     done: DataFrame | None = None
     while e.take(1):
+        n = e.count()
         while True:
-            keep = e.select(F.col("src").alias("n")).distinct().intersect(e.select(F.col("dst").alias("n")).distinct())
-            smaller = cut(e.join(keep.withColumnRenamed("n", "src"), "src", "left_semi").join(keep.withColumnRenamed("n", "dst"), "dst", "left_semi").select("src", "dst"))
-            same = smaller.count() == e.count()
-            e = smaller
-            if same:
+            for _ in range(HOPS):
+                e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+                e = e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+            e = cut(e)
+            left = e.count()
+            if left == n:
                 break
-        if not e.take(1):
+            n = left
+        if not n:
             break
         colour = cut(e.select(F.col("src").alias("n")).distinct().withColumn("c", F.col("n")))
         while True:
-            pushed = e.join(colour, e.src == colour.n).select(F.col("dst").alias("n"), "c").unionByName(colour).groupBy("n").agg(F.min("c").alias("c"))
+            pushed = colour
+            for _ in range(HOPS):
+                pushed = e.join(pushed, e.src == pushed.n).select(F.col("dst").alias("n"), "c").unionByName(pushed).groupBy("n").agg(F.min("c").alias("c"))
             pushed = cut(pushed)
             moved = pushed.join(colour.withColumnRenamed("c", "old"), "n").filter("c <> old").take(1)
             colour = pushed
             if not moved:
                 break
         back = cut(colour.filter("n = c").select("n", "c"))
-        front = back
         within = cut(e.join(colour.withColumnRenamed("n", "src"), "src").withColumnRenamed("c", "cs").join(colour.withColumnRenamed("n", "dst"), "dst").filter("cs = c").select("src", "dst", "c"))
+        have = back.count()
         while True:
-            front = cut(within.join(front.select(F.col("n").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("n"), "c").distinct().join(back, ["n", "c"], "left_anti"))
-            if not front.take(1):
+            for _ in range(HOPS):
+                back = within.join(back.select(F.col("n").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("n"), "c").unionByName(back).distinct()
+            back = cut(back)
+            more = back.count()
+            if more == have:
                 break
-            back = cut(back.unionByName(front))
+            have = more
         found = back.select(F.col("n").alias("node"), F.col("c").alias("component"))
         done = found if done is None else done.unionByName(found)
         gone = back.select("n")

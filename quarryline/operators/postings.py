@@ -58,20 +58,34 @@ def top(hits: DataFrame, k: int, by: str = "bm25") -> DataFrame:
 def phrase(postings: DataFrame, phrases: DataFrame) -> DataFrame:
     """(query_id, doc): documents with a phrase's words next to each other in one column. phrases: (query_id, words).
 
-    A phrase of words w0..wn stands where every wi is at position p + i for one p: positions minus offsets, intersected.
+    The rarest word of a phrase says which documents come into question; for these the positions of all its words,
+    less their offsets, are intersected row by row.
     """
-    want = phrases.select("query_id", F.size("words").alias("n"), F.posexplode("words").alias("off", "term"))
-    hit = postings.join(want, "term").select("query_id", "doc", "col", "n", "off", F.explode("positions").alias("p"))
-    at = hit.select("query_id", "doc", "col", "n", (F.col("p") - F.col("off")).alias("p0"), "off").distinct()
-    full = at.groupBy("query_id", "doc", "col", "n", "p0").agg(F.count(F.lit(1)).alias("m")).filter("m = n")
-    return full.select("query_id", "doc").distinct()
+    want = phrases.filter("size(words) > 0").select("query_id", F.size("words").alias("n"), F.posexplode("words").alias("off", "term"))
+    rows = postings.join(want.select("term").distinct(), "term", "left_semi")
+    df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rare = want.join(df, "term").groupBy("query_id", "n").agg(F.count_distinct("off").alias("met"), F.min_by("term", F.struct("df", "term")).alias("term")).filter("met = n").select("query_id", "term")
+    some = rows.select("doc", "col", "term").join(rare, "term").select("query_id", "doc", "col").distinct()
+    hit = rows.join(want.join(rare.select("query_id"), "query_id", "left_semi"), "term").join(some, ["query_id", "doc", "col"], "left_semi")
+    hit = hit.select("query_id", "doc", "col", "n", F.transform("positions", lambda p: p - F.col("off")).alias("at"))
+    every = hit.groupBy("query_id", "doc", "col", "n").agg(F.collect_list("at").alias("at")).filter("size(at) = n")
+    starts = F.aggregate("at", F.col("at")[0], lambda acc, x: F.array_intersect(acc, x))
+    return every.filter(F.size(starts) > 0).select("query_id", "doc").distinct()
+
+
+def terms_of(terms: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(query_id, prefix, term): the terms that start with a prefix. terms: (term), each once; prefixes: (query_id, prefix).
+
+    Terms of a dictionary, not of documents, meet the prefixes, by an equi-join on the first characters, as many as
+    the prefix has but four at most, then the rest is compared.
+    """
+    heads = F.explode(F.transform(F.sequence(F.lit(2), F.least(F.greatest(F.length("term"), F.lit(2)), F.lit(4))), lambda n: F.substring("term", F.lit(1), n)))
+    t = terms.filter("length(term) > 1").select("term", heads.alias("head"))
+    q = prefixes.filter("length(prefix) > 1").select("query_id", "prefix", F.substring("prefix", 1, 4).alias("head"))
+    return t.join(q, "head").filter(F.startswith("term", "prefix")).select("query_id", "prefix", "term").distinct()
 
 
 def prefix(postings: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(query_id, doc): documents with a term that starts with the prefix. prefixes: (query_id, prefix).
-
-    An equi-join on the first two characters, then a range, instead of a comparison of all pairs.
-    """
-    p = postings.select("doc", "term", F.substring("term", 1, 2).alias("head")).distinct()
-    q = prefixes.filter("length(prefix) > 1").select("query_id", "prefix", F.substring("prefix", 1, 2).alias("head"))
-    return p.join(q, "head").filter(F.startswith("term", "prefix")).select("query_id", "doc").distinct()
+    """(query_id, doc): documents with a term that starts with the prefix. prefixes: (query_id, prefix)."""
+    found = terms_of(postings.select("term").distinct(), prefixes).select("query_id", "term").distinct()
+    return postings.select("doc", "term").distinct().join(found, "term").select("query_id", "doc").distinct()

@@ -17,6 +17,7 @@ from quarryline.operators.graph import cut
 
 CODE_SCAN, CODE_KEEP, CODE_COVERAGE = 60, 6, 0.2
 COVERAGE_WEIGHT = 3
+ROUTES = 100
 VERBS = ["delete", "patch", "put", "post", "get"]
 ROW = ["query_id", "source", "source_ord", "tier", "rank", "path", "language", "size", "start_line", "end_line", "kind", "text", "symbol", "fts", "boost"]
 
@@ -51,11 +52,10 @@ def endpoint_routes(plans: DataFrame, files: DataFrame, symbols: DataFrame) -> D
     q = plans.filter("code_intent and array_contains(core_terms, 'endpoint') and size(endpoint_terms) > 0").select("query_id", "endpoint_terms")
     p = F.lower("path")
     f = files.filter(p.rlike(r"(?:^|/)app/api/.*/route\.")).join(symbols.filter(F.lower("name").isin(*VERBS)).withColumnRenamed("kind", "s_kind"), "file_id")
-    first = f.orderBy(F.length("path"), "path").limit(100)
-    words = first.withColumn("word", F.explode(F.array_distinct(F.split(F.lower("path"), text.NOT_ALNUM + "+"))))
+    words = f.withColumn("word", F.explode(F.array_distinct(F.split(F.lower("path"), text.NOT_ALNUM + "+"))))
     hit = words.join(q.withColumn("word", F.explode("endpoint_terms")).select("query_id", "word"), "word").drop("word").distinct()
     shown = F.coalesce("signature", "name")
-    return _rows(_ranked(hit, [F.length("path"), "path", "start_line"]), "endpoint_route", 2, 34, rank=F.col("rank"), start_line=F.col("start_line"), end_line=F.col("start_line"), kind=F.col("s_kind"), text=shown, symbol=F.col("name"))
+    return _rows(_ranked(hit, [F.length("path"), "path", "start_line"]).filter(F.col("rank") <= ROUTES), "endpoint_route", 2, 34, rank=F.col("rank"), start_line=F.col("start_line"), end_line=F.col("start_line"), kind=F.col("s_kind"), text=shown, symbol=F.col("name"))
 
 
 def role_intents(plans: DataFrame, files: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -64,8 +64,8 @@ def role_intents(plans: DataFrame, files: DataFrame, chunks: DataFrame) -> DataF
     wanted = q.select("query_id", "core_terms", F.explode("wanted").alias("role"))
     have = files.withColumn("roles", paths.roles(F.col("path"), F.col("size")))
     hit = have.select("*", F.explode("roles").alias("role")).join(wanted, "role").drop("role").dropDuplicates(["query_id", "path"])
-    first = hit.join(chunks.filter("ordinal = 0").select("file_id", "chunk"), "file_id", "left").withColumn("body", F.coalesce("chunk", "path"))
-    cut = _ranked(first, [F.length("path"), "path"]).filter("rank <= 500")
+    top = _ranked(hit, [F.length("path"), "path"]).filter("rank <= 500")  # paths decide, texts come for what is left
+    cut = top.join(chunks.filter("ordinal = 0").select("file_id", "chunk"), "file_id", "left").withColumn("body", F.coalesce("chunk", "path"))
     enough = F.size(text.matched(F.lower(F.concat_ws("\n", "path", "body")), F.col("core_terms"))) >= 3
     return _rows(cut.filter(~F.array_contains("roles", "tests") | enough), "role_intent", 3, 18, rank=F.col("rank"), text=F.col("body"))
 
@@ -75,18 +75,19 @@ def tier_hits(plans: DataFrame, index: DataFrame, lengths: DataFrame, depth: int
 
     Words with punctuation are phrases of their parts, and a document has to have all words of an "all" tier.
     """
-    index = cut(index)  # read by every kind of tier
-    t = plans.select("query_id", F.explode("tiers").alias("t")).select("query_id", "t.*")
+    t = cut(plans.select("query_id", F.explode("tiers").alias("t")).select("query_id", "t.*"))
     word = t.select("query_id", "ord", "kind", F.posexplode("words").alias("w", "word")).filter("kind <> 'prefix'").withColumn("parts", text.tokens(F.col("word"))).filter("size(parts) > 0")
     key = F.concat_ws("\x1f", "query_id", "ord", "w")
+    pre = t.filter("kind = 'prefix'").select("query_id", "ord", "kind", F.posexplode("words").alias("w", "prefix")).withColumn("prefix", F.lower("prefix"))
+    begun = cut(postings.terms_of(index.select("term").distinct(), pre.select(key.alias("query_id"), "prefix")).select(F.col("query_id").alias("key"), "term").distinct())
+    # Of the index only the queries' terms are read on, by every kind of tier.
+    index = cut(index.join(word.select(F.explode("parts").alias("term")).unionByName(begun.select("term")).distinct(), "term", "left_semi"))
     single = word.filter("size(parts) = 1").select("query_id", "ord", "kind", "w", F.col("parts")[0].alias("term"))
     has = index.select("doc", "term").distinct().join(single, "term").select("query_id", "ord", "kind", "w", "doc")
     several = word.filter("size(parts) > 1")
     found = postings.phrase(index, several.select(key.alias("query_id"), F.col("parts").alias("words")))
     several = several.withColumn("key", key).join(found.withColumnRenamed("query_id", "key"), "key").select("query_id", "ord", "kind", "w", "doc")
-    pre = t.filter("kind = 'prefix'").select("query_id", "ord", "kind", F.posexplode("words").alias("w", "prefix"))
-    begun = postings.prefix(index, pre.select(key.alias("query_id"), F.lower("prefix").alias("prefix")))
-    pre = pre.withColumn("key", key).join(begun.withColumnRenamed("query_id", "key"), "key").select("query_id", "ord", "kind", "w", "doc")
+    pre = pre.withColumn("key", key).join(begun, "key").join(index.select("doc", "term").distinct(), "term").select("query_id", "ord", "kind", "w", "doc").distinct()
     need = word.groupBy("query_id", "ord").agg(F.count(F.lit(1)).alias("need"))
     met = has.unionByName(several).unionByName(pre).distinct().groupBy("query_id", "ord", "kind", "doc").agg(F.count(F.lit(1)).alias("met"))
     docs = met.join(need, ["query_id", "ord"], "left").filter("kind in ('any', 'prefix') or met = need").select("query_id", "ord", "doc")
@@ -190,15 +191,37 @@ def confidence(results: DataFrame, threshold: float = 0.1) -> DataFrame:
     return two.select("query_id", level.alias("level"), margin.alias("margin"))
 
 
-def candidates(plans: DataFrame, files: DataFrame, chunks: DataFrame, symbols: DataFrame, limit: int = 10) -> DataFrame:
-    """All candidates of all queries, in the order they are gathered (``source_seq``)."""
+CHUNK_COLUMNS, SYMBOL_COLUMNS = ["path", "language", "kind", "chunk"], ["path", "name", "s_kind", "signature"]
+
+
+def chunk_docs(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Chunks as documents of the index; files: (file_id, path, language, ...)."""
+    return chunks.join(files, "file_id").withColumn("doc", F.concat_ws("\x1f", "path", F.format_string("%06d", "ordinal")))
+
+
+def symbol_docs(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    return symbols.withColumnRenamed("kind", "s_kind").join(files, "file_id").withColumn("doc", F.concat_ws("\x1f", "path", F.format_string("%06d", "start_line"), "name"))
+
+
+def index_tables(files: DataFrame, chunks: DataFrame, symbols: DataFrame) -> dict[str, DataFrame]:
+    """The postings and document lengths of chunks and symbols, with the path each row belongs to."""
+    out = {}
+    for name, docs, columns in (("chunk", chunk_docs(files, chunks), CHUNK_COLUMNS), ("symbol", symbol_docs(files, symbols), SYMBOL_COLUMNS)):
+        of = F.substring_index("doc", "\x1f", 1).alias("path")
+        out[f"{name}_postings"] = postings.index(docs, "doc", columns).select(of, "*")
+        out[f"{name}_lengths"] = postings.stats(docs, "doc", columns).select(of, "*")
+    return out
+
+
+def candidates(plans: DataFrame, files: DataFrame, chunks: DataFrame, symbols: DataFrame, limit: int = 10, stored: dict[str, DataFrame] | None = None) -> DataFrame:
+    """All candidates of all queries, in the order they are gathered (``source_seq``). stored: ``index_tables`` of the same files."""
     f = files.select("file_id", "path", "language", "size")
     fixed = path_matches(plans, f, limit).unionByName(basename_terms(plans, f)).unionByName(endpoint_routes(plans, f, symbols)).unionByName(role_intents(plans, f, chunks))
-    ck = chunks.join(f, "file_id").withColumn("doc", F.concat_ws("\x1f", "path", F.format_string("%06d", "ordinal")))
-    sy = symbols.withColumnRenamed("kind", "s_kind").join(f, "file_id").withColumn("doc", F.concat_ws("\x1f", "path", F.format_string("%06d", "start_line"), "name"))
+    ck, sy = chunk_docs(f, chunks), symbol_docs(f, symbols)
+    stored = stored or index_tables(f, chunks, symbols)
     depth = max(2 * limit, CODE_SCAN)
-    ch = tier_hits(plans, postings.index(ck, "doc", ["path", "language", "kind", "chunk"]), postings.stats(ck, "doc", ["path", "language", "kind", "chunk"]), depth)
-    sh = tier_hits(plans, postings.index(sy, "doc", ["path", "name", "s_kind", "signature"]), postings.stats(sy, "doc", ["path", "name", "s_kind", "signature"]), limit)
+    ch = tier_hits(plans, stored["chunk_postings"].drop("path"), stored["chunk_lengths"].drop("path"), depth)
+    sh = tier_hits(plans, stored["symbol_postings"].drop("path"), stored["symbol_lengths"].drop("path"), limit)
     ch = ch.drop("kind").join(ck.drop("ordinal"), "doc").join(plans.select("query_id", "core_terms"), "query_id")
     part = F.size(text.matched(F.lower(F.concat_ws("\n", "path", "chunk")), F.col("core_terms"))) / F.greatest(F.size("core_terms"), F.lit(1))
     coded = ch.filter(F.col("rank") <= CODE_SCAN).filter(paths.is_code(F.col("path"))).filter(part >= CODE_COVERAGE)
@@ -222,11 +245,11 @@ def candidates(plans: DataFrame, files: DataFrame, chunks: DataFrame, symbols: D
     return every.withColumn("source_seq", seq)
 
 
-def search(plans: DataFrame, files: DataFrame, chunks: DataFrame, symbols: DataFrame, limit: int = 10) -> DataFrame:
+def search(plans: DataFrame, files: DataFrame, chunks: DataFrame, symbols: DataFrame, limit: int = 10, stored: dict[str, DataFrame] | None = None) -> DataFrame:
     """(query_id, place, path, score, start_line, end_line, kind, source, snippet, ...) of the best ``limit`` paths of each query."""
     limit = max(1, min(limit, 50))
     plans = cut(plans)
-    scored = cut(score(candidates(plans, files, chunks, symbols, limit), plans))
+    scored = cut(score(candidates(plans, files, chunks, symbols, limit, stored), plans))
     out = visible(rescue(scored, limit), limit)
     needles = F.filter(F.concat(F.array("normalized"), F.col("terms")), lambda n: F.length(n) > 1)
     return out.withColumn("snippet", text.snippet(F.col("text"), needles))

@@ -533,10 +533,20 @@ def planned_terms(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("query_id", F.array_join("terms", " ").alias("terms"), F.array_join("core_terms", " ").alias("core"))
 
 
-@query()
+TIERS = f"""{PLANNED}, co AS (SELECT query_id, w[:12] AS w, terms, list_filter(terms, lambda x: NOT list_contains([{STOPS}], x))[:16] AS core FROM pl JOIN raw USING (query_id)),
+ br AS (SELECT *, CASE WHEN len(w) > 1 THEN terms ELSE list_transform(w, lambda x: lower(x)) END AS broad FROM co),
+ pf AS (SELECT *, list_filter(list_transform(broad, lambda x: regexp_extract(x, '[\\p{{L}}\\p{{N}}_]+')), lambda x: length(x) > 2) AS pre FROM br),
+ ti AS (SELECT query_id, len(terms) > 1 AS tiered, unnest([{{'o': 0, 'kind': 'all', 'ws': w, 'boost': 18, 'said': 'all' || array_to_string(w, '\x1f')}}, {{'o': 1, 'kind': 'all', 'ws': core, 'boost': 16, 'said': 'all' || array_to_string(core, '\x1f')}},
+  {{'o': 2, 'kind': 'all', 'ws': terms, 'boost': 12, 'said': 'all' || array_to_string(terms, '\x1f')}}, {{'o': 3, 'kind': 'prefix', 'ws': pre, 'boost': 8, 'said': 'prefix' || array_to_string(pre, '\x1f')}},
+  {{'o': 4, 'kind': 'any', 'ws': broad, 'boost': 0, 'said': CASE WHEN len(broad) = 1 THEN 'all' ELSE 'any' END || array_to_string(broad, '\x1f')}}]) AS t FROM pf),
+ un AS (SELECT query_id, min(t.o) AS o, arg_min(t.kind, t.o) AS kind, arg_min(t.ws, t.o) AS ws, max(CASE WHEN tiered THEN t.boost ELSE 0 END) AS boost FROM ti WHERE len(t.ws) > 0 GROUP BY query_id, t.said)"""
+
+
+@query(f"WITH {TIERS} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY o) - 1 AS INTEGER) AS ord, kind, CAST(boost AS INTEGER) AS boost, array_to_string(ws, ' ') AS words FROM un")
 def planned_tiers(spark: SparkSession, sf: str) -> DataFrame:
+    """The tiers of passages, which hold no quotes and none of the tuned pairs."""
     p = query_plan.plan(views.queries(spark, sf))
-    return p.select("query_id", F.explode("tiers").alias("t")).select("query_id", "t.ord", "t.kind", "t.boost", F.size("t.words").alias("words"))
+    return p.select("query_id", F.explode("tiers").alias("t")).select("query_id", "t.ord", "t.kind", "t.boost", F.array_join("t.words", " ").alias("words"))
 
 
 WORDED = "v_w AS (SELECT doc_id, list_distinct(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS ws FROM documents), v_k AS (SELECT ['the', 'and', 'mit', 'thth', 'de'] AS ks)"
@@ -570,6 +580,48 @@ def search_roles(spark: SparkSession, sf: str) -> DataFrame:
     return search.role_intents(_plans(spark, [("a", "decision about storage")]), f.drop("text"), ck).select("query_id", "path", "rank")
 
 
+#: Queries whose plans are known beforehand, so that SQL can take them as constants.
+SCORED = {
+    "route": "GET endpoint handler route items", "adr": "docs/adr decision storage", "main": "main entrypoint", "lock": "package-lock.json dependencies", "tests": "mod test provider", "session": "session store class", "readme": "readme", "archive": "archived notes", "own": "src/g1/mod_20.ts",
+}
+_MADE = {k: query_plan.plan_query(q) for k, q in SCORED.items()}
+_L = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]::VARCHAR[]"
+PLANS = "v_p(query_id, norm, terms, core, path_like, code_intent, wants, ends) AS (VALUES " + ", ".join(f"('{k}', '{m.normalized}', {_L(m.terms)}, {_L(m.core_terms)}, {str(m.path_like).lower()}, {str(m.code_intent).lower()}, {_L(m.role_intents)}, {_L(m.endpoint_terms)})" for k, m in _MADE.items()) + ")"
+_IN = lambda term, said: f"regexp_matches({said}, '(^|[^\\p{{L}}\\p{{N}}])' || regexp_replace({term}, '([][.*+?^$(){{}}|\\\\])', '\\\\\\1', 'g') || '($|[^\\p{{L}}\\p{{N}}])')"
+_COV = lambda said: f"CASE WHEN len(core) = 0 THEN 0 ELSE len(list_filter(core, lambda x: {_IN('x', said)})) / len(core) END"
+_IF = lambda cond, n: f"CASE WHEN {cond} THEN {n}.0 ELSE 0 END"
+SCORES = f"""{FILES}, {ROLED}, {PLANS}, v_c AS (SELECT file_id, path, p, name AS base, size, roles, CASE file_id % 4 WHEN 0 THEN 'file' WHEN 1 THEN 'class' WHEN 2 THEN 'markdown' ELSE 'function' END AS kind,
+ CASE WHEN file_id % 4 IN (1, 3) THEN ['GET', 'SessionStore', 'providers', 'main', 'Mod_20'][file_id % 5 + 1] END AS symbol, lower(path || chr(10) || substr(text, 1, 300)) AS body, (file_id % 4) * 0.0000015 AS fts, file_id % 40 AS boost FROM v_roled WHERE text IS NOT NULL),
+ v_x AS (SELECT *, lower(coalesce(symbol, '')) AS sym, regexp_replace(base, '([.][^.]+)+$', '') AS stem, kind NOT IN ('file', 'text', 'markdown') AS symbolish, contains(body, norm) AS said FROM v_c, v_p),
+ v_y AS (SELECT *, {_COV("p || chr(10) || body || chr(10) || sym")} AS coverage, length(stem) > 1 AND list_contains(core, stem) AS named, len(list_filter(terms, lambda t: length(t) >= 5 AND sym = t)) > 0 AS exact, norm || ' ' || array_to_string(terms, ' ') AS spoken FROM v_x),
+ v_z AS (SELECT *, {_IF("contains(p, norm)", 6)} + {_IF("ends_with(p, norm)", 3)} + 5 * {_COV("p")} AS path_score,
+  4 * {_COV("base")} + CASE WHEN base = norm THEN greatest(1, 4 - (len(string_split(path, '/')) - 1)) ELSE 0 END + {_IF("named", 8)} AS filename_score, {_IF("said", 4)} AS exact_text_score,
+  {_IF("symbolish AND said", 3)} + {_IF("sym = norm", 28)} + {_IF("exact", 20)} + {_IF("NOT exact AND len(list_filter(terms, lambda t: length(t) >= 5 AND starts_with(sym, t) AND length(t) / greatest(length(sym), 1) >= 0.55)) > 0", 10)}
+  + {_IF("symbolish AND regexp_matches(p, '(^|/)route[.][cm]?[jt]sx?$') AND sym IN ('get', 'post', 'put', 'patch', 'delete') AND code_intent AND (list_contains(terms, sym) OR len(list_filter(ends, lambda x: " + _IN("x", "p") + ")) > 0)", 20)} AS symbol_score,
+  CASE WHEN fts <= 0 THEN 0 ELSE 10 + least(5, fts * 1000000) END AS fts_score, 3 * {_COV("body")} AS text_score,
+  CASE WHEN list_contains(roles, 'implementation/main') AND list_contains(wants, 'implementation/main') THEN 24 WHEN list_contains(roles, 'setup/utility') AND list_contains(wants, 'setup/utility') THEN 22 WHEN list_has_any(roles, wants) THEN 15 ELSE 0 END AS role_boost,
+  {_IF("list_contains(roles, 'agent_instructions') AND NOT list_contains(wants, 'agent_instructions')", 18)} + {_IF("list_contains(roles, 'lockfile') AND NOT contains(spoken, 'package-lock.json')", 60)} + {_IF("list_has_any(roles, ['build_output', 'minified'])", 48)}
+  + {_IF("list_contains(roles, 'archived_documentation') AND NOT regexp_matches(norm, '\\barchive[ds]?\\b')", 14)} + CASE WHEN list_contains(roles, 'generated') THEN 60 ELSE 0 END + CASE WHEN list_contains(roles, 'large_json') THEN CASE WHEN contains(spoken, '.json') THEN 12 ELSE 36 END ELSE 0 END AS noise,
+  regexp_matches(p, '(^|/)(__tests__|tests?)/') OR regexp_matches(base, '(^|[._-])test[.]') AS testy, regexp_matches(p, '(^|/)(todo|changelog|architecture|readme)([.]|$)|[.](txt|rst|mdx|md)$') AS docs FROM v_y),
+ v_s AS (SELECT *, CASE WHEN symbol IS NOT NULL AND symbol_score = 0 AND NOT named THEN greatest(0, boost - 3 * (1 - coverage)) ELSE boost END AS retrieval,
+  CASE WHEN noise = 0 AND (code_intent OR NOT list_has_any(wants, {_L(paths.DOC_INTENTS)})) THEN {_IF("regexp_matches(p, '[.](swift|scala|sql|sh|kt|hpp|h|cpp|cs|c|php|rb|java|rs|go|py|[cm]?[jt]sx?)$')", 2)} + {_IF("regexp_matches(p, '(^|/)src/')", 4)} ELSE 0 END AS code_boost,
+  CASE WHEN NOT testy THEN 0 WHEN list_contains(wants, 'implementation') AND NOT list_contains(wants, 'tests') THEN 8 WHEN code_intent THEN 3 ELSE 0 END AS test_penalty, {_IF("code_intent AND docs", 6)} AS doc_penalty FROM v_z)"""
+PARTS = ["retrieval", "fts_score", "path_score", "filename_score", "exact_text_score", "symbol_score", "text_score", "code_boost", "role_boost", "test_penalty", "doc_penalty", "noise"]
+_TOTAL = " + ".join(PARTS[:9]) + " - " + " - ".join(PARTS[9:])
+
+
+@query(f"WITH {SCORES} SELECT query_id, file_id, " + ", ".join(f"CAST(floor(({x}) * 1000 + 0.5) / 1000 AS DOUBLE) AS {n}" for n, x in [*((x, x) for x in PARTS), ("score", _TOTAL)]) + " FROM v_s")
+def score_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """All parts of the score (R3 to R10) of every file as a candidate of each of the known queries."""
+    f, k = views.files(spark, sf, True).filter("text is not null"), F.col("file_id")
+    kind = F.when(k % 4 == 0, "file").when(k % 4 == 1, "class").when(k % 4 == 2, "markdown").otherwise("function")
+    symbol = F.when((k % 4).isin(1, 3), F.element_at(F.array(*map(F.lit, ["GET", "SessionStore", "providers", "main", "Mod_20"])), (k % 5 + 1).cast("int")))
+    c = f.select("file_id", "path", "size", kind.alias("kind"), symbol.alias("symbol"), F.concat("path", F.lit("\n"), F.substring("text", 1, 300)).alias("text"), ((k % 4) * 0.0000015).alias("fts"), (k % 40).alias("boost"))
+    c = c.select("*", F.explode(F.array(*map(F.lit, SCORED))).alias("query_id"))
+    out = search.score(c, _plans(spark, list(SCORED.items())))
+    return out.select("query_id", "file_id", *[text.round_up(F.col(x)).cast("double").alias(x) for x in [*PARTS, "score"]])
+
+
 @query()
 def search_ranked(spark: SparkSession, sf: str) -> DataFrame:
     """The whole search over the benchmark's passages and more."""

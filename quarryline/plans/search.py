@@ -94,7 +94,7 @@ def tier_hits(plans: DataFrame, index: DataFrame, lengths: DataFrame, depth: int
     terms = word.select(F.concat_ws("\x1f", "query_id", "ord").alias("query_id"), F.explode("parts").alias("term"))
     scores = postings.bm25(index, lengths, terms).withColumnRenamed("query_id", "key").drop("matched")
     scored = docs.withColumn("key", F.concat_ws("\x1f", "query_id", "ord")).join(scores, ["key", "doc"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.001)))
-    rank = F.row_number().over(W.partitionBy("query_id", "ord").orderBy(F.desc("bm25"), "doc"))
+    rank = F.row_number().over(W.partitionBy("query_id", "ord").orderBy(F.desc(F.round("bm25", 6)), "doc"))
     best = scored.withColumn("rank", rank).filter(F.col("rank") <= depth)
     return cut(best.join(t.select("query_id", "ord", "boost"), ["query_id", "ord"]).drop("key"))
 
@@ -183,6 +183,27 @@ def decisions(scored: DataFrame, limit: int) -> DataFrame:
     return d.withColumn("decision", label)
 
 
+#: Parts of a score as diagnostics show them: name, column.
+COMPONENTS = {
+    "retrieval_boost": "retrieval", "fts_score": "fts_score", "path_score": "path_score", "filename_score": "filename_score", "exact_text_score": "exact_text_score", "symbol_score": "symbol_score", "text_coverage_score": "text_score",
+    "token_coverage": "coverage", "code_intent_boost": "code_boost", "role_boost": "role_boost", "test_penalty": "test_penalty", "doc_penalty": "doc_penalty", "noise_penalty": "noise",
+}
+
+
+def components(scored: DataFrame) -> DataFrame:
+    """Scored candidates with ``components``: a struct of the score's parts, rounded, the terms matched and the roles."""
+    parts = [text.round_up(F.col(c)).alias(n) for n, c in COMPONENTS.items()]
+    return scored.withColumn("components", F.struct(*parts, F.col("matched").alias("matched_tokens"), F.col("roles").alias("roles")))
+
+
+def compact(decided: DataFrame, limit: int) -> DataFrame:
+    """W5: (query_id, n, path, source, place, score, decision, kind, components) of the ``4 * limit`` candidates worth a look: selected ones first."""
+    order = [F.asc_nulls_last("place"), F.desc("score"), "path", "source_seq"]
+    n = F.row_number().over(W.partitionBy("query_id").orderBy(*order))
+    some = decided.filter("decision <> 'non_positive_score'").withColumn("n", n).filter(F.col("n") <= 4 * max(limit, 1))
+    return some.select("query_id", "n", "path", "source", "place", text.round_up(F.col("score")).alias("score"), "decision", "kind", "components")
+
+
 def confidence(results: DataFrame, threshold: float = 0.1) -> DataFrame:
     """W3: (query_id, level, margin) by how far the first result is ahead of the second."""
     two = results.groupBy("query_id").agg(F.max(F.when(F.col("place") == 1, F.col("score"))).alias("a"), F.max(F.when(F.col("place") == 2, F.col("score"))).alias("b"))
@@ -245,11 +266,21 @@ def candidates(plans: DataFrame, files: DataFrame, chunks: DataFrame, symbols: D
     return every.withColumn("source_seq", seq)
 
 
+def scored_candidates(plans: DataFrame, files: DataFrame, chunks: DataFrame, symbols: DataFrame, limit: int = 10, stored: dict[str, DataFrame] | None = None) -> DataFrame:
+    """All candidates with their scores, as ranked: what ``search`` shows the best of and ``debug`` explains."""
+    limit, plans = max(1, min(limit, 50)), cut(plans)
+    return rescue(cut(score(candidates(plans, files, chunks, symbols, limit, stored), plans)), limit)
+
+
+def debug(plans: DataFrame, files: DataFrame, chunks: DataFrame, symbols: DataFrame, limit: int = 10, stored: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Every candidate with its decision and the components of its score."""
+    limit = max(1, min(limit, 50))
+    return components(decisions(cut(scored_candidates(plans, files, chunks, symbols, limit, stored)), limit))
+
+
 def search(plans: DataFrame, files: DataFrame, chunks: DataFrame, symbols: DataFrame, limit: int = 10, stored: dict[str, DataFrame] | None = None) -> DataFrame:
     """(query_id, place, path, score, start_line, end_line, kind, source, snippet, ...) of the best ``limit`` paths of each query."""
     limit = max(1, min(limit, 50))
-    plans = cut(plans)
-    scored = cut(score(candidates(plans, files, chunks, symbols, limit, stored), plans))
-    out = visible(rescue(scored, limit), limit)
+    out = visible(scored_candidates(plans, files, chunks, symbols, limit, stored), limit)
     needles = F.filter(F.concat(F.array("normalized"), F.col("terms")), lambda n: F.length(n) > 1)
     return out.withColumn("snippet", text.snippet(F.col("text"), needles))

@@ -549,6 +549,23 @@ def planned_tiers(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("query_id", F.explode("tiers").alias("t")).select("query_id", "t.ord", "t.kind", "t.boost", F.array_join("t.words", " ").alias("words"))
 
 
+@query(f"""WITH {TOKENS}, {TIERS}, dj AS (SELECT doc_id, len(toks) AS n, toks, ' ' || array_to_string(toks, ' ') || ' ' AS said FROM v_tok),
+ tw AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY o) - 1 AS ord, kind, boost, ws FROM un),
+ pw AS (SELECT query_id, ord, kind, boost, list_filter(list_transform(ws, lambda x: list_filter(regexp_split_to_array(strip_accents(lower(x)), '[^\\p{{L}}\\p{{N}}]+'), lambda y: y <> '')), lambda x: len(x) > 0) AS ps FROM tw),
+ hw AS (SELECT query_id, ord, kind, boost, doc_id, ps FROM pw, dj WHERE CASE kind WHEN 'all' THEN len(list_filter(ps, lambda x: contains(said, ' ' || array_to_string(x, ' ') || ' '))) = len(ps)
+  WHEN 'any' THEN len(list_filter(ps, lambda x: contains(said, ' ' || array_to_string(x, ' ') || ' '))) > 0 ELSE len(list_filter(ps, lambda x: contains(said, ' ' || array_to_string(x, '')))) > 0 END),
+ st AS (SELECT count(*) AS n, avg(len(toks)) AS av FROM v_tok), pt AS (SELECT doc_id, t AS term, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS t FROM v_tok) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM pt GROUP BY 1),
+ qt AS (SELECT DISTINCT query_id, ord, unnest(flatten(ps)) AS term FROM pw WHERE kind <> 'prefix'),
+ bm AS (SELECT query_id, ord, pt.doc_id, sum(ln(1 + (st.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dj.n / av))) AS s FROM qt JOIN pt USING (term) JOIN df USING (term) JOIN dj ON dj.doc_id = pt.doc_id, st GROUP BY ALL),
+ rk AS (SELECT hw.query_id, hw.ord, hw.boost, hw.doc_id, coalesce(s, 0.001) AS s, row_number() OVER (PARTITION BY hw.query_id, hw.ord ORDER BY round(coalesce(s, 0.001), 6) DESC, hw.doc_id) AS rank FROM hw LEFT JOIN bm ON bm.query_id = hw.query_id AND bm.ord = hw.ord AND bm.doc_id = hw.doc_id)
+ SELECT query_id, CAST(ord AS INTEGER) AS ord, CAST(boost AS INTEGER) AS boost, doc_id AS doc, CAST(rank AS INTEGER) AS rank, floor(s * 1000 + 0.5) / 1000 AS score FROM rk WHERE rank <= 60""")
+def tier_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """The best sixty documents of each tier of each passage."""
+    index, lengths = _index(spark, sf)
+    out = search.tier_hits(query_plan.plan(views.queries(spark, sf)), index, lengths, search.CODE_SCAN)
+    return out.select("query_id", "ord", "boost", "doc", "rank", text.round_up(F.col("bm25")).alias("score"))
+
+
 WORDED = "v_w AS (SELECT doc_id, list_distinct(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS ws FROM documents), v_k AS (SELECT ['the', 'and', 'mit', 'thth', 'de'] AS ks)"
 
 
@@ -588,16 +605,19 @@ _MADE = {k: query_plan.plan_query(q) for k, q in SCORED.items()}
 _L = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]::VARCHAR[]"
 PLANS = "v_p(query_id, norm, terms, core, path_like, code_intent, wants, ends) AS (VALUES " + ", ".join(f"('{k}', '{m.normalized}', {_L(m.terms)}, {_L(m.core_terms)}, {str(m.path_like).lower()}, {str(m.code_intent).lower()}, {_L(m.role_intents)}, {_L(m.endpoint_terms)})" for k, m in _MADE.items()) + ")"
 _IN = lambda term, said: f"regexp_matches({said}, '(^|[^\\p{{L}}\\p{{N}}])' || regexp_replace({term}, '([][.*+?^$(){{}}|\\\\])', '\\\\\\1', 'g') || '($|[^\\p{{L}}\\p{{N}}])')"
-_COV = lambda said: f"CASE WHEN len(core) = 0 THEN 0 ELSE len(list_filter(core, lambda x: {_IN('x', said)})) / len(core) END"
+_HAS = lambda x, what: f"CASE WHEN regexp_full_match({x}, '[\\p{{L}}\\p{{N}}]+') THEN list_contains({what}_words, {x}) WHEN contains({what}, {x}) THEN {_IN(x, what)} ELSE false END"
+_ANY = lambda x, *what: "(" + " OR ".join(_HAS(x, w) for w in what) + ")"
+_COV = lambda *what: f"CASE WHEN len(core) = 0 THEN 0 ELSE len(list_filter(core, lambda x: {_ANY('x', *what)})) / len(core) END"
+_WORDS = lambda x: f"regexp_split_to_array({x}, '[^\\p{{L}}\\p{{N}}]+') AS {x}_words"
 _IF = lambda cond, n: f"CASE WHEN {cond} THEN {n}.0 ELSE 0 END"
 SCORES = f"""{FILES}, {ROLED}, {PLANS}, v_c AS (SELECT file_id, path, p, name AS base, size, roles, CASE file_id % 4 WHEN 0 THEN 'file' WHEN 1 THEN 'class' WHEN 2 THEN 'markdown' ELSE 'function' END AS kind,
  CASE WHEN file_id % 4 IN (1, 3) THEN ['GET', 'SessionStore', 'providers', 'main', 'Mod_20'][file_id % 5 + 1] END AS symbol, lower(path || chr(10) || substr(text, 1, 300)) AS body, (file_id % 4) * 0.0000015 AS fts, file_id % 40 AS boost FROM v_roled WHERE text IS NOT NULL),
- v_x AS (SELECT *, lower(coalesce(symbol, '')) AS sym, regexp_replace(base, '([.][^.]+)+$', '') AS stem, kind NOT IN ('file', 'text', 'markdown') AS symbolish, contains(body, norm) AS said FROM v_c, v_p),
- v_y AS (SELECT *, {_COV("p || chr(10) || body || chr(10) || sym")} AS coverage, length(stem) > 1 AND list_contains(core, stem) AS named, len(list_filter(terms, lambda t: length(t) >= 5 AND sym = t)) > 0 AS exact, norm || ' ' || array_to_string(terms, ' ') AS spoken FROM v_x),
+ v_w AS (SELECT *, lower(coalesce(symbol, '')) AS sym, {_WORDS("p")}, {_WORDS("base")}, {_WORDS("body")}, {_WORDS("sym")} FROM v_c), v_x AS (SELECT *, regexp_replace(base, '([.][^.]+)+$', '') AS stem, kind NOT IN ('file', 'text', 'markdown') AS symbolish, contains(body, norm) AS said FROM v_w, v_p),
+ v_y AS (SELECT *, {_COV("p", "body", "sym")} AS coverage, length(stem) > 1 AND list_contains(core, stem) AS named, len(list_filter(terms, lambda t: length(t) >= 5 AND sym = t)) > 0 AS exact, norm || ' ' || array_to_string(terms, ' ') AS spoken FROM v_x),
  v_z AS (SELECT *, {_IF("contains(p, norm)", 6)} + {_IF("ends_with(p, norm)", 3)} + 5 * {_COV("p")} AS path_score,
   4 * {_COV("base")} + CASE WHEN base = norm THEN greatest(1, 4 - (len(string_split(path, '/')) - 1)) ELSE 0 END + {_IF("named", 8)} AS filename_score, {_IF("said", 4)} AS exact_text_score,
   {_IF("symbolish AND said", 3)} + {_IF("sym = norm", 28)} + {_IF("exact", 20)} + {_IF("NOT exact AND len(list_filter(terms, lambda t: length(t) >= 5 AND starts_with(sym, t) AND length(t) / greatest(length(sym), 1) >= 0.55)) > 0", 10)}
-  + {_IF("symbolish AND regexp_matches(p, '(^|/)route[.][cm]?[jt]sx?$') AND sym IN ('get', 'post', 'put', 'patch', 'delete') AND code_intent AND (list_contains(terms, sym) OR len(list_filter(ends, lambda x: " + _IN("x", "p") + ")) > 0)", 20)} AS symbol_score,
+  + {_IF("symbolish AND regexp_matches(p, '(^|/)route[.][cm]?[jt]sx?$') AND sym IN ('get', 'post', 'put', 'patch', 'delete') AND code_intent AND (list_contains(terms, sym) OR len(list_filter(ends, lambda x: " + _HAS("x", "p") + ")) > 0)", 20)} AS symbol_score,
   CASE WHEN fts <= 0 THEN 0 ELSE 10 + least(5, fts * 1000000) END AS fts_score, 3 * {_COV("body")} AS text_score,
   CASE WHEN list_contains(roles, 'implementation/main') AND list_contains(wants, 'implementation/main') THEN 24 WHEN list_contains(roles, 'setup/utility') AND list_contains(wants, 'setup/utility') THEN 22 WHEN list_has_any(roles, wants) THEN 15 ELSE 0 END AS role_boost,
   {_IF("list_contains(roles, 'agent_instructions') AND NOT list_contains(wants, 'agent_instructions')", 18)} + {_IF("list_contains(roles, 'lockfile') AND NOT contains(spoken, 'package-lock.json')", 60)} + {_IF("list_has_any(roles, ['build_output', 'minified'])", 48)}

@@ -78,7 +78,7 @@ def tier_hits(plans: DataFrame, index: DataFrame, lengths: DataFrame, depth: int
     t = cut(plans.select("query_id", F.explode("tiers").alias("t")).select("query_id", "t.*"))
     word = t.select("query_id", "ord", "kind", F.posexplode("words").alias("w", "word")).filter("kind <> 'prefix'").withColumn("parts", text.tokens(F.col("word"))).filter("size(parts) > 0")
     key = F.concat_ws("\x1f", "query_id", "ord", "w")
-    pre = t.filter("kind = 'prefix'").select("query_id", "ord", "kind", F.posexplode("words").alias("w", "prefix")).withColumn("prefix", F.lower("prefix"))
+    pre = t.filter("kind = 'prefix'").select("query_id", "ord", "kind", F.posexplode("words").alias("w", "prefix")).withColumn("prefix", F.array_join(text.tokens(F.col("prefix")), ""))
     begun = cut(postings.terms_of(index.select("term").distinct(), pre.select(key.alias("query_id"), "prefix")).select(F.col("query_id").alias("key"), "term").distinct())
     # Of the index only the queries' terms are read on, by every kind of tier.
     index = cut(index.join(word.select(F.explode("parts").alias("term")).unionByName(begun.select("term")).distinct(), "term", "left_semi"))

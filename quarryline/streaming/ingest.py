@@ -12,13 +12,17 @@ from quarryline.plans.store import Store, upsert
 
 
 def ingest(arrivals: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
-    """arrivals: a stream of (path, text); each batch is one snapshot with new files and chunks in place of old ones.
+    """arrivals: a stream of (path, text) and, if there is one, ``arrived`` (any ordered type); a batch is one snapshot
+    with new files and chunks in place of old ones.
 
-    A batch that is repeated after a failure writes the same rows, since rows are replaced by path.
+    Of a path's rows in one batch the last to arrive counts, of equal ones that of the greater hash; so a batch that is
+    repeated after a failure writes the same rows.
     """
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        new = batch.filter(paths.language(F.col("path")) != "").dropDuplicates(["path"])
+        arrived = F.col("arrived") if "arrived" in batch.columns else F.lit(0)
+        last = F.max(F.struct(arrived.alias("arrived"), F.sha2("text", 256).alias("hash"), "text"))
+        new = batch.filter(paths.language(F.col("path")) != "").groupBy("path").agg(last.alias("x")).select("path", "x.text")
         files = new.select("path", paths.language(F.col("path")).alias("language"), F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("hash"))
         parts = chunk(new.withColumn("language", paths.language(F.col("path"))), ["path"])
         old_files, old_chunks = store.read("files"), store.read("chunks")

@@ -74,3 +74,11 @@ def test_ingest(spark, tmp_path):
         assert store.current() == i + 1
     assert sorted(r.path for r in store.read("files").collect()) == ["a.md", "c.py"]
     assert [r.chunk for r in store.read("chunks").filter("path = 'a.md'").collect()] == ["# B"]
+
+
+def test_ingest_keeps_the_last_arrival(spark, tmp_path):
+    schema = "path string, text string, arrived long"
+    store = Store(spark, str(tmp_path / "s"))
+    spark.createDataFrame([("a.md", "# old", 1), ("a.md", "# new", 3), ("a.md", "# middle", 2)], schema).repartition(3).write.parquet(str(tmp_path / "in"))
+    ingest.ingest(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), store, str(tmp_path / "cp")).awaitTermination()
+    assert [r.chunk for r in store.read("chunks").collect()] == ["# new"]

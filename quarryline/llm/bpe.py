@@ -13,15 +13,19 @@ import mmap
 import os
 import struct
 import unicodedata
-from collections.abc import Iterable
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
+from functools import cached_property, lru_cache
 
+import numpy as np
+import pyarrow as pa
 import regex
 import tiktoken
 from tokenizers import Tokenizer
 
 #: Pieces that a process remembers at most; then it starts afresh. Bounds memory, changes no result.
 MEMO_PIECES = 250_000
+#: Pieces that are looked up together.
+PIECES_AT_ONCE = 500_000
 #: White space other than the blank and the line feed, and the separators that str.split() cuts at but a tokenizer does not.
 _RARE = "\t\x0b\x0c\r\x01\x1c\x1d\x1e\x1f\x85\xa0                　"
 _UNSURE = regex.compile(r"[\p{Cn}]")
@@ -145,6 +149,34 @@ class Lexicon:
         return bytes(self._ids[self._starts[rank] : self._starts[rank + 1]])
 
 
+    @cached_property
+    def _edges(self) -> tuple[np.ndarray, ...]:
+        """Edges as numbers (node, label) in order, with their targets, words before them, accepting nodes, and the words' ids."""
+        first, target, before, starts, ids = (np.frombuffer(x, "<u4").astype(np.int64) for x in (self._first, self._target, self._before, self._starts, self._ids))
+        labels = np.frombuffer(self._map, np.uint8, self.n_edges, self._labels)
+        return np.repeat(np.arange(self.n_nodes) << 8, np.diff(first)) + labels, target, before, np.frombuffer(self._accept, np.uint8)[: self.n_nodes] > 0, starts, ids
+
+    def ranks(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The places of many words (bytes from offset to offset) among the lexicon's, -1 for others: all walk the automaton together."""
+        keys, target, before, accept, _, _ = self._edges
+        size = np.diff(offsets)
+        node, rank, out = np.full(len(size), self._root), np.zeros(len(size), np.int64), np.full(len(size), -1)
+        left, at = np.arange(len(size)), 0
+        while len(left):
+            done = left[size[left] == at]
+            done = done[accept[node[done]]]
+            out[done] = rank[done]
+            left = left[size[left] > at]
+            key = (node[left] << 8) + data[offsets[left] + at]
+            edge = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+            ok = keys[edge] == key if len(keys) else np.zeros(len(left), bool)
+            left, edge = left[ok], edge[ok]
+            rank[left] += before[edge]
+            node[left] = target[edge]
+            at += 1
+        return out
+
+
 class _Memo(dict):
     def __init__(self, codec: Codec) -> None:
         self.codec = codec
@@ -244,6 +276,52 @@ class Codec:
             out.append(self._plain(text[at:]))
         return b"".join(out)
 
+    def encode_many(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order. With a lexicon the pieces of many texts are looked up together, each different one once."""
+        plan, pieces = [], []
+        for t in texts:
+            if not t or self.lexicon is None or _unsure(t) or (self._specials is not None and "<|" in t):
+                plan.append(np.frombuffer(self.encode(t), "<u4"))
+            else:
+                own = self.pieces(t)
+                pieces += own
+                plan.append(len(own))
+            if len(pieces) >= PIECES_AT_ONCE:
+                yield from self._looked_up(plan, pieces)
+                plan, pieces = [], []
+        yield from self._looked_up(plan, pieces)
+
+    def _looked_up(self, plan: list[int | np.ndarray], pieces: list[str]) -> Iterator[np.ndarray]:
+        """plan: per text its ids, or how many of the pieces are its own."""
+        if pieces:
+            d = pa.array(pieces, pa.string()).dictionary_encode()
+            at, words = d.indices.to_numpy(), d.dictionary
+            _, offsets, data = words.buffers()
+            offsets, data = np.frombuffer(offsets, np.int32, len(words) + 1).astype(np.int64), np.frombuffer(data, np.uint8) if data and data.size else np.empty(0, np.uint8)
+            rank = self.lexicon.ranks(data, offsets)
+            _, _, _, _, starts, known = self.lexicon._edges
+            # Ids of the lexicon's words, then of the others, which are merged.
+            other = np.flatnonzero(rank < 0)
+            merged = [self.merge(p) for p in words.take(pa.array(other)).to_pylist()]
+            flat = np.concatenate([known, np.frombuffer(b"".join(merged), "<u4")])
+            size, first = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+            inside = rank >= 0
+            size[inside], first[inside] = starts[rank[inside] + 1] - starts[rank[inside]], starts[rank[inside]]
+            size[other] = [len(m) // 4 for m in merged]
+            first[other] = len(known) + np.cumsum(size[other]) - size[other]
+            n = size[at]
+            ends = np.cumsum(n)
+            ids = flat[np.arange(int(n.sum())) + np.repeat(first[at] - (ends - n), n)].astype("<u4")
+        used = begin = 0
+        for x in plan:
+            if isinstance(x, np.ndarray):
+                yield x
+                continue
+            used += x
+            end = int(ends[used - 1]) if used else 0
+            yield ids[begin:end]
+            begin = end
+
     def byte_table(self) -> list[bytes]:
         """Bytes by id, for byte-level files, special tokens as their text."""
         size = max([*self.tokens, *self.special.values()]) + 1

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarryline.llm.bpe import Codec, Lexicon, codec
+from quarryline.llm.bpe import PIECES_AT_ONCE, Codec, Lexicon, codec
 from quarryline.llm.common import drop_written, free_name, materialize, new_dir, posix
 
 LEXICON_PIECES = 1 << 17
@@ -44,10 +44,20 @@ def build_lexicon(df: DataFrame, tokenizer: str, text_col: str = "text", size: i
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([*found.values(), found.total()], pa.int64())], ["piece", "n"])
             found.clear()
 
+        def add(pieces: list[str]) -> None:
+            d = pa.array(pieces, pa.string()).dictionary_encode()
+            for p, n in zip(d.dictionary.to_pylist(), np.bincount(d.indices.to_numpy()).tolist()):
+                found[p] += n
+
         for b in batches:
+            pieces = []
             for text in b.column(0):
                 if t := text.as_py():
-                    found.update(code.parts(t))
+                    pieces += code.parts(t)
+                if len(pieces) >= PIECES_AT_ONCE:
+                    add(pieces)
+                    pieces = []
+            add(pieces)
             if len(found) > COUNTED_AT_ONCE:
                 yield from give()
         if found:
@@ -77,9 +87,9 @@ def encode(df: DataFrame, tokenizer: str, lexicon: str | None, text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, at = codec(tokenizer, lexicon), names.index(text_col)
         for b in batches:
-            parts = [code.encode(t.as_py()) for t in b.column(at)]
-            ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+            parts = list(code.encode_many(t.as_py() for t in b.column(at)))
+            ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, "<u4"), *parts]).view("<i4")))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], [*names, out_col])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))]))
@@ -108,8 +118,8 @@ def digests(df: DataFrame, tokenizer: str, lexicon: str, id_col: str = "doc_id",
         decimal = [str(i) for i in range(len(table))]
         for b in batches:
             n, shown, back = [], [], []
-            for t in b.column(1):
-                ids = np.frombuffer(code.encode(t.as_py()), "<u4").tolist()
+            for found in code.encode_many(t.as_py() for t in b.column(1)):
+                ids = found.tolist()
                 n.append(len(ids))
                 shown.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                 text = b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")

@@ -74,6 +74,10 @@ def test_lexicon_is_exact_and_shares_suffixes(tmp_path):
     for w, ids in words.items():
         assert np.frombuffer(lex.get(w), "<u4").tolist() == ids
     assert lex.get(b"nat") is None and lex.get(b"zz") is None
+    asked = [*words, b"nat", b"zz", b"", b"stations", "é".encode()[:1], b"nationsx"]
+    ranks = lex.ranks(np.frombuffer(b"".join(asked), np.uint8), np.concatenate(([0], np.cumsum([len(w) for w in asked]))))
+    order = sorted(words)
+    assert ranks.tolist() == [order.index(w) if w in words else -1 for w in asked]
     assert lex.n_nodes < sum(map(len, words))
 
 
@@ -90,6 +94,19 @@ def test_encoding(spark):
     assert encoding.digests(frame(spark, [])[["doc_id", "text"]], path, encoding.build_lexicon(frame(spark, []), path)).count() == 0
 
 
+def test_many_texts_at_once(tmp_path, monkeypatch):
+    """Grouped lookups give the library's ids, whatever part of the pieces the lexicon holds."""
+    monkeypatch.setattr(bpe, "PIECES_AT_ONCE", 50)
+    for name in (BYTE, WORD):
+        plain, want = bpe.codec(tokenizer(name)), brute.ids_of(name, [t for _, t in ROWS])[1]
+        every = sorted({p for _, t in ROWS if t for p in plain.parts(t)})
+        for some in (every[::2], every, []):
+            bpe.Lexicon.build(str(tmp_path / "l.bin"), [(p.encode(), np.frombuffer(plain.merge(p), "<u4").tolist()) for p in some])
+            code = bpe.Codec(tokenizer(name), str(tmp_path / "l.bin"))
+            assert [x.tolist() for x in code.encode_many(t for _, t in ROWS)] == want
+        assert [x.tolist() for x in plain.encode_many(t for _, t in ROWS)] == want
+
+
 def test_packing(spark):
     cols = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
     out = rows_of(packing.pack(frame(spark, ROWS), tokenizer(BYTE)), *cols)

@@ -252,6 +252,50 @@ def symbol_table(spark: SparkSession, sf: str) -> DataFrame:
     return symbols.extract(views.repo_sources(spark, sf), ["path"]).select("path", "name", "kind", "start_line")
 
 
+#: language: extension, text of a file ({k} is a number), the declarations in it: name, kind, line.
+DECLARED: list[tuple[str, str, list[tuple[str, str, int]]]] = [
+    ("typescript", "export async function f{k}() {\n}\nexport interface I{k} {\n}\nexport const c{k} = async (x) => x", [("f{k}", "function", 1), ("I{k}", "interface", 3), ("c{k}", "function", 5)]),
+    ("python", "class P{k}:\n    async def m{k}(self):\n        pass\n# def not_{k}(x):", [("P{k}", "class", 1), ("m{k}", "function", 2)]),
+    ("go", "package x\n\nfunc (s *S) M{k}(a int) {\n}\ntype T{k} struct {\n}\n// func C{k}() {", [("M{k}", "method", 3), ("T{k}", "class", 5)]),
+    ("rs", "pub trait Tr{k} {\n    pub async fn run{k}(&self) {\n}\nenum E{k} {", [("Tr{k}", "interface", 1), ("run{k}", "function", 2), ("E{k}", "type", 4)]),
+    ("java", "public final class J{k} {\n  public int get{k}(int a) {\n  }\n  if (x) {\n  }\n}", [("J{k}", "class", 1), ("get{k}", "method", 2)]),
+    ("markdown", "# One {k}\ntext\n## Two {k}", [("One {k}", "heading", 1), ("Two {k}", "heading", 3)]),
+    ("cpp", "struct C{k} {\n};\nint fn{k}(int a) {\n}\nvoid C{k}::go{k}() {\n}\nint declared{k}(int a);", [("C{k}", "struct", 1), ("fn{k}", "function", 3), ("go{k}", "method", 5)]),
+    ("rb", "module M{k}\n  class C{k}\n    def self.ok{k}?\n", [("M{k}", "module", 1), ("C{k}", "class", 2), ("ok{k}?", "method", 3)]),
+    ("php", "abstract class H{k} {\n  public static function s{k}($a) {\n  }\n}\nfunction free{k}() {", [("H{k}", "class", 1), ("s{k}", "method", 2), ("free{k}", "function", 5)]),
+    ("kt", "data class D{k}(val a: Int)\nobject O{k} {\n  override fun f{k}(x: Int) {", [("D{k}", "class", 1), ("O{k}", "class", 2), ("f{k}", "function", 3)]),
+]
+_DECLARED = ", ".join("({}, '{}', '{}', {})".format(i, n, kind, line) for i, (_, _, rows) in enumerate(DECLARED) for n, kind, line in rows)
+
+
+@query(f"WITH d(i, n, kind, line) AS (VALUES {_DECLARED}) SELECT p_partkey AS part, replace(n, '{{k}}', CAST(p_partkey AS VARCHAR)) AS name, kind, CAST(line AS INTEGER) AS start_line FROM part JOIN d ON i = p_partkey % {len(DECLARED)}")
+def symbol_languages(spark: SparkSession, sf: str) -> DataFrame:
+    """Declarations in ten languages, a file of one of them per part."""
+    k = F.col("p_partkey")
+    one = F.element_at(F.array(*[F.struct(F.lit(lang).alias("language"), F.lit(t).alias("text")) for lang, t, _ in DECLARED]), (k % len(DECLARED) + 1).cast("int"))
+    f = views.table(spark, sf, "part").select(k.alias("part"), one.alias("x")).select("part", "x.language", F.replace(F.col("x.text"), F.lit("{k}"), F.col("part").cast("string")).alias("text"))
+    return symbols.extract(f, ["part"]).select("part", "name", "kind", "start_line")
+
+
+#: language, text, references: kind and specifier.
+REFERRED: list[tuple[str, str, list[tuple[str, str]]]] = [
+    ("typescript", "export { x } from './a{k}'\nconst y = require('../b{k}')\nconst z = await import('./c{k}')\nimport os from 'os'", [("import", "./a{k}"), ("import", "../b{k}"), ("import", "./c{k}")]),
+    ("python", "import os\nfrom .m{k} import z\nfrom ..pkg.n{k} import y\nfrom . import w{k}", [("import", "./m{k}"), ("import", "../pkg/n{k}"), ("import", "./w{k}")]),
+    ("c", '#include <stdio.h>\n#include "u{k}.h"\n  #include "../v{k}.h"\n#include "/abs.h"', [("include", "u{k}.h"), ("include", "../v{k}.h")]),
+]
+_REFERRED = ", ".join(f"({i}, '{kind}', '{spec}')" for i, (_, _, rows) in enumerate(REFERRED) for kind, spec in rows)
+
+
+@query(f"WITH d(i, kind, n) AS (VALUES {_REFERRED}) SELECT p_partkey AS part, kind, replace(n, '{{k}}', CAST(p_partkey AS VARCHAR)) AS specifier FROM part JOIN d ON i = p_partkey % {len(REFERRED)}")
+def reference_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Exports, requires, dynamic and relative imports, includes; what can't be a local file has no candidates."""
+    k = F.col("p_partkey")
+    one = F.element_at(F.array(*[F.struct(F.lit(lang).alias("language"), F.lit(t).alias("text")) for lang, t, _ in REFERRED]), (k % len(REFERRED) + 1).cast("int"))
+    f = views.table(spark, sf, "part").select(k.alias("part"), one.alias("x")).select(F.concat(F.lit("src/pkg/sub/f_"), "part", F.lit("."), F.col("x.language")).alias("path"), "x.language", F.replace(F.col("x.text"), F.lit("{k}"), F.col("part").cast("string")).alias("text"))
+    out = references.extract(f).filter("size(candidates) > 0")
+    return out.select(F.regexp_extract("path", r"f_(\d+)", 1).cast("long").alias("part"), "kind", "specifier")
+
+
 PAIRS = "v_edges AS (SELECT DISTINCT 'src/suppliers/supplier_' || l_suppkey || '.ts' AS src, 'src/parts/part_' || l_partkey || '.ts' AS dst FROM lineitem)"
 PATHS = "v_paths AS (SELECT src AS path FROM v_edges UNION SELECT 'src/parts/part_' || p_partkey || '.ts' FROM part)"
 
@@ -852,12 +896,13 @@ def candidate_decisions(spark: SparkSession, sf: str) -> DataFrame:
     return search.decisions(c, 5).select("query_id", "source_seq", "decision")
 
 
-@query("""WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: '# ' || x) AS lines FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, lines, unnest(range(0, len(lines), 9)) AS a FROM l)
- SELECT doc_id, CAST(a // 9 AS INTEGER) AS ordinal, CAST(a + 1 AS INTEGER) AS start_line, CAST(least(a + 9, len(lines)) AS INTEGER) AS end_line, sha256(array_to_string(lines[a + 1 : a + 9], chr(10))) AS hash FROM w""")
+@query("""WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: CASE (i - 1) % 4 WHEN 0 THEN '# ' || x WHEN 2 THEN '## ' || x ELSE '```' END) AS lines FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, lines, unnest(range(0, len(lines), 12)) AS a FROM l)
+ SELECT doc_id, CAST(a // 12 AS INTEGER) AS ordinal, CAST(a + 1 AS INTEGER) AS start_line, CAST(least(a + 12, len(lines)) AS INTEGER) AS end_line, sha256(array_to_string(lines[a + 1 : a + 12], chr(10))) AS hash FROM w""")
 def markdown_sections(spark: SparkSession, sf: str) -> DataFrame:
-    """Every line a heading: a section is nine lines."""
+    """Of four lines one is a heading and one a heading in a fence, which doesn't count: sections of at least nine lines have twelve."""
     d = views.table(spark, sf, "documents").filter("text is not null")
-    md = d.select("doc_id", F.concat(F.lit("# "), F.regexp_replace("text", "\n", "\n# ")).alias("text"), F.lit("markdown").alias("language"))
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.when(i % 4 == 0, F.concat(F.lit("# "), x)).when(i % 4 == 2, F.concat(F.lit("## "), x)).otherwise("```"))
+    md = d.select("doc_id", F.array_join(lines, "\n").alias("text"), F.lit("markdown").alias("language"))
     return chunk.chunk(md, ["doc_id"]).select("doc_id", "ordinal", "start_line", "end_line", F.sha2("chunk", 256).alias("hash"))
 
 

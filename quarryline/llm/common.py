@@ -85,11 +85,12 @@ def tidy(f: Callable) -> Callable:
         finally:
             written = _open.pop()
         results = [x for x in (out if isinstance(out, tuple) else (out,)) if isinstance(x, DataFrame)]
-        if results and written:
+        frames = [x for x in (*results, *args, *named.values()) if isinstance(x, DataFrame)]
+        if frames and written:
             used = {os.path.dirname(p).rsplit("/", 1)[-1] for x in results for p in x.inputFiles()}
             for path in written:
                 if path.rsplit("/", 1)[-1] not in used:
-                    _delete(results[0].sparkSession, path)
+                    _delete(frames[0].sparkSession, path)
                 elif _open:
                     _open[-1].append(path)
         return out

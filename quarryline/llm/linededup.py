@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import NULL_ID, free_name, id_in, id_out, materialize
+from quarryline.llm.common import NULL_ID, free_name, id_in, id_out, materialize, tidy
 
 LEAST_CHARS = 10
 STRIP = " \t\n\x0b\x0c\r"
@@ -101,6 +101,7 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows(kind, np.array([a]), np.array([c]), np.array([d]), np.array([0], np.int64), np.array([0], np.int32))
 
 
+@tidy
 def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_CHARS) -> DataFrame:
     """(k, t, pos) of every line to drop."""
     order = ["h1", "h2", "k", "pos"]
@@ -158,6 +159,7 @@ def apply_bitmap(text: str, keep: bytes | None) -> tuple[str, int, int]:
     return "\n".join(x for i, x in enumerate(lines) if i not in drop), len(lines), len(drop)
 
 
+@tidy
 def joined(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_CHARS, extra: list[str] | None = None) -> DataFrame:
     """(k, text, keep, extras) of every row."""
     maps = materialize(bitmaps(df, id_col, text_col, least), "line-bitmaps")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import materialize
+from quarryline.llm.common import materialize, tidy
 
 LABELLED = 20_000
 LEXICON = 4096
@@ -243,6 +243,7 @@ def _llr(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> np.nda
     return 2 * (part(pos, n_pos) + part(neg, n_neg) - part(pos + neg, n_pos + n_neg))
 
 
+@tidy
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer:
     """A scorer from the labelled rows that may be learnt from, and the language model of all texts."""
     spark = df.sparkSession

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -18,7 +20,9 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     here = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="quarryline-"), "quarryline.zip")  # read by the driver alone, which serves it
+    folder_ = tempfile.mkdtemp(prefix="quarryline-")  # read by the driver alone, which serves it
+    atexit.register(shutil.rmtree, folder_, True)
+    path = os.path.join(folder_, "quarryline.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, names in os.walk(here):
             for n in names:

@@ -181,10 +181,10 @@ def changed_files(spark: SparkSession, sf: str) -> DataFrame:
     return store.changed(old, new).select("path")
 
 
-@query(f"""WITH {FILES}, {OLD}, {NEW} SELECT count(*) FILTER (o.hash <> n.hash) AS changed, count(*) FILTER (o.path IS NULL) AS missing, count(*) FILTER (n.path IS NULL) AS deleted, CAST(0 AS BIGINT) AS dirty, true AS head_changed, true AS stale
+@query(f"""WITH {FILES}, {OLD}, {NEW} SELECT count(*) FILTER (o.hash <> n.hash) AS changed, count(*) FILTER (o.path IS NULL) AS missing, count(*) FILTER (n.path IS NULL) AS deleted, (SELECT count(*) FROM v_files WHERE file_id % 19 = 0 AND starts_with(path, 'src/')) AS dirty, true AS head_changed, true AS stale
  FROM (SELECT * FROM v_old WHERE starts_with(path, 'src/')) o FULL JOIN (SELECT * FROM v_new WHERE starts_with(path, 'src/')) n ON o.path = n.path""")
 def index_health(spark: SparkSession, sf: str) -> DataFrame:
-    return scan.health(*_old_new(spark, sf), "src/", "a1", "b2")
+    return scan.health(*_old_new(spark, sf), "src/", "a1", "b2", views.files(spark, sf).filter("file_id % 19 = 0").select("path"))
 
 
 @query("""SELECT c_custkey AS key, 'orphan_db' AS why, CAST(c_custkey * 10 AS BIGINT) AS bytes FROM customer WHERE c_custkey % 3 = 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)
@@ -837,27 +837,64 @@ def token_footprint(spark: SparkSession, sf: str) -> DataFrame:
     return evalkit.footprint(p)
 
 
-@query("""WITH c AS (SELECT conv_id AS e, turn, role, text FROM conversations), x AS (SELECT e, min(turn) FILTER (role = 'user') AS s, min(turn) FILTER (role = 'assistant') AS c, count(*) FILTER (role = 'user') AS n FROM c GROUP BY 1)
- SELECT CASE WHEN e % 2 = 0 THEN 'search_first' ELSE 'requery' END AS scenario, count(*) AS episodes, count(*) FILTER (CASE WHEN e % 2 = 0 THEN s IS NOT NULL ELSE n > 1 END) AS passed FROM x GROUP BY 1""")
+@query("""WITH c AS (SELECT conv_id AS e, turn, CASE WHEN role = 'user' THEN CASE WHEN (conv_id + turn) % 5 = 0 THEN 'rg' ELSE 'search' END ELSE 'context' END AS name, CASE WHEN (conv_id // 4 + turn) % 3 = 0 THEN 'the word' ELSE 'src/a' || turn END AS target FROM conversations),
+ x AS (SELECT e, min(turn) FILTER (name = 'search') AS s, min(turn) FILTER (name = 'rg') AS r, count(*) FILTER (name = 'search') AS n, coalesce(contains(arg_min(target, turn) FILTER (name = 'context'), '/'), false) AS concrete FROM c GROUP BY 1),
+ y AS (SELECT *, s IS NOT NULL AND (r IS NULL OR s < r) AS first FROM x)
+ SELECT ['search_first', 'requery', 'concrete_target', 'search_then_context'][e % 4 + 1] AS scenario, count(*) AS episodes, count(*) FILTER (CASE e % 4 WHEN 0 THEN first WHEN 1 THEN n > 1 WHEN 2 THEN concrete ELSE first AND concrete END) AS passed FROM y GROUP BY 1""")
 def routing_episodes(spark: SparkSession, sf: str) -> DataFrame:
-    c = views.table(spark, sf, "conversations")
-    calls = c.select(F.col("conv_id").alias("episode_id"), F.when(F.col("conv_id") % 2 == 0, "search_first").otherwise("requery").alias("scenario"), F.col("turn").alias("seq"), F.when(F.col("role") == "user", "search").otherwise("context").alias("name"), F.col("role").alias("target"), F.col("text").alias("query"))
+    """All four scenarios over calls made of conversations."""
+    c, e, turn = views.table(spark, sf, "conversations"), F.col("conv_id"), F.col("turn")
+    scenario = F.element_at(F.array(*map(F.lit, ["search_first", "requery", "concrete_target", "search_then_context"])), (e % 4 + 1).cast("int"))
+    name = F.when(F.col("role") == "user", F.when((e + turn) % 5 == 0, "rg").otherwise("search")).otherwise("context")
+    target = F.when((F.floor(e / 4) + turn) % 3 == 0, "the word").otherwise(F.concat(F.lit("src/a"), turn))
+    calls = c.select(e.alias("episode_id"), scenario.alias("scenario"), turn.alias("seq"), name.alias("name"), target.alias("target"), F.col("text").alias("query"))
     return evalkit.routing(calls).groupBy("scenario").agg(F.count(F.lit(1)).alias("episodes"), F.count_if("passed").alias("passed"))
 
 
-@query("SELECT item_id, NOT contains(text, 'zz') AS broad FROM benchmark")
+#: Commands around a passage, and whether they search broadly.
+COMMANDS: list[tuple[str, bool]] = [
+    ("cd x && rg -n '{}' src/", True), ("rg '{}' src/a.ts", False), ("grep -rn '{}' .", True), ("grep '{}' a.py", False), ("cat x | grep '{}'", False), ("git grep '{}'", True), ("find . -name '{}'", True), ("echo 'rg {}'", False), ("FOO=1 sudo -n rg '{}' && ls", True),
+]
+
+
+@query("SELECT item_id, item_id % " + str(len(COMMANDS)) + " IN (" + ", ".join(str(i) for i, (_, x) in enumerate(COMMANDS) if x) + ") AS broad FROM benchmark")
 def shell_commands(spark: SparkSession, sf: str) -> DataFrame:
     from quarryline.functions.shell import is_broad_search
 
     b = views.table(spark, sf, "benchmark")
-    cmd = F.concat(F.lit("cd x && rg -n '"), F.regexp_replace("text", "['\\\\]", ""), F.lit("'"), F.when(F.contains("text", F.lit("zz")), " a.py").otherwise(" src/"))
-    return b.select("item_id", is_broad_search(cmd).alias("broad"))
+    shape = F.element_at(F.array(*[F.lit(c) for c, _ in COMMANDS]), (F.col("item_id") % len(COMMANDS) + 1).cast("int"))
+    return b.select("item_id", is_broad_search(F.replace(shape, F.lit("{}"), F.regexp_replace("text", "['\\\\]", ""))).alias("broad"))
+
 
+_STATES = "(VALUES (0, ' M', 'modified'), (1, '??', 'untracked'), (2, 'R ', 'renamed'), (3, ' D', 'deleted'), (4, 'A ', 'added'), (5, 'C ', 'copied'), (6, 'T ', 'changed')) s(i, code, state)"
 
-@query("""SELECT 'a b.txt' AS path, ' M' AS code, 'modified' AS state UNION ALL SELECT 'new.md', '??', 'untracked' UNION ALL SELECT 'to.ts', 'R ', 'renamed' UNION ALL SELECT 'gone.c', ' D', 'deleted' UNION ALL SELECT 'plus.go', 'A ', 'added'""")
+
+@query(f"SELECT p_name || ' ' || p_partkey || '.ts' AS path, code, state FROM part JOIN {_STATES} ON i = p_partkey % 7")
 def git_porcelain(spark: SparkSession, sf: str) -> DataFrame:
-    raw = "\0".join([" M a b.txt", "?? new.md", "R  to.ts", "from.ts", " D gone.c", "A  plus.go", ""])
-    return scan.porcelain(spark.createDataFrame([(raw,)], "status string"))
+    """A status per brand: its parts as files, renamed and copied ones with their old names behind."""
+    k = F.col("p_partkey")
+    code = F.element_at(F.array(*map(F.lit, [" M", "??", "R ", " D", "A ", "C ", "T "])), (k % 7 + 1).cast("int"))
+    old = F.when((k % 7).isin(2, 5), F.concat(F.lit("\0old/R "), k)).otherwise("")
+    item = F.concat(code, F.lit(" "), F.col("p_name"), F.lit(" "), k, F.lit(".ts"), old)
+    raw = views.table(spark, sf, "part").groupBy("p_brand").agg(F.concat(F.array_join(F.array_sort(F.collect_list(item)), "\0"), F.lit("\0")).alias("status"))
+    return scan.porcelain(raw)
+
+
+@query("""SELECT o_orderkey AS key, CASE WHEN o_custkey % 5 = 0 AND o_orderkey % 3 = 0 THEN 'unversioned' WHEN o_custkey % 5 = 0 THEN 'head_unknown' WHEN o_orderkey % 3 = 0 THEN 'no_baseline' WHEN o_custkey % 4 = o_orderkey % 4 THEN 'fresh' ELSE 'stale' END AS state,
+ least(greatest(coalesce(CASE WHEN o_custkey % 6 <> 0 THEN o_custkey % 70 - 5 END, 10), 1), 50) AS clamped FROM orders""")
+def head_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Freshness by commits alone, and limits put within their bounds."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    state = scan.head_state(F.when(c % 5 != 0, c % 4), F.when(k % 3 != 0, k % 4))
+    return views.table(spark, sf, "orders").select(k.alias("key"), state.alias("state"), text.clamp(F.when(c % 6 != 0, c % 70 - 5), 1, 50, 10).alias("clamped"))
+
+
+_TERMS_OF = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda t: length(t) > 2 AND NOT list_contains(['web', 'tests', 'test', 'route', 'lib', 'src', 'api', 'app'], t)))"
+
+
+@query(f"WITH {FILES} SELECT file_id, CAST(len(list_intersect({_TERMS_OF.format('path')}, {_TERMS_OF.format(chr(39) + 'src/providers/items/handler_en.package.json' + chr(39))})) AS INTEGER) AS affinity FROM v_files")
+def path_affinity(spark: SparkSession, sf: str) -> DataFrame:
+    return views.files(spark, sf).select("file_id", paths.affinity(F.col("path"), F.lit("src/providers/items/handler_en.package.json")).alias("affinity"))
 
 
 @query(f"""WITH {FILES} SELECT source, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, CAST(floor(sum(size) / 4 + 0.5) AS BIGINT) AS tokens FROM v_files GROUP BY 1""")

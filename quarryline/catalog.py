@@ -372,6 +372,14 @@ def import_cycles(spark: SparkSession, sf: str) -> DataFrame:
     return graph.cycles(views.cyclic_edges(spark, sf))
 
 
+@query(f"""WITH RECURSIVE {CYC}, r AS (SELECT src AS a, dst AS b FROM v_cyc UNION SELECT r.a, v_cyc.dst FROM r JOIN v_cyc ON r.b = v_cyc.src),
+ c AS (SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1 HAVING count(*) > 1), l AS (SELECT component, count(*) AS size, array_to_string(list_sort(list(node)), ' ') AS paths FROM c GROUP BY 1)
+ SELECT component, size, paths FROM l ORDER BY size DESC, component LIMIT 10""")
+def largest_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten largest cycles of the graph: a report."""
+    return graph.cycle_list(graph.cycles(views.cyclic_edges(spark, sf)), 10).select("component", "size", F.array_join("paths", " ").alias("paths"))
+
+
 @query(f"""WITH RECURSIVE {CYC}, s AS (SELECT src, dst FROM v_cyc UNION SELECT dst, src FROM v_cyc), r AS (SELECT DISTINCT 'n' || o_custkey AS start, 'n' || o_custkey AS path, 0 AS hops FROM orders WHERE o_custkey % 20 = 5 UNION SELECT r.start, s.dst, r.hops + 1 FROM r JOIN s ON r.path = s.src WHERE r.hops < 3)
  SELECT start, path, min(hops) AS hops FROM r GROUP BY ALL""")
 def bounded_paths(spark: SparkSession, sf: str) -> DataFrame:
@@ -443,9 +451,9 @@ def usage_histograms(spark: SparkSession, sf: str) -> DataFrame:
     return usage.histograms(views.usage(spark, sf))
 
 
-@query(f"WITH {USAGE} SELECT repo, command AS value, count(*) AS n FROM v_u GROUP BY ALL")
+@query(f"WITH {USAGE} SELECT repo, command AS value, count(*) AS n, strftime(make_timestamp(max(ms) * 1000), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(max(ms) % 1000 AS VARCHAR), 3, '0') || 'Z' AS last FROM v_u GROUP BY 1, 2")
 def usage_by_command(spark: SparkSession, sf: str) -> DataFrame:
-    return usage.per_repo(views.usage(spark, sf), F.col("command")).select("repo", "value", "n")
+    return usage.per_repo(views.usage(spark, sf), F.col("command")).select("repo", "value", "n", "last")
 
 
 @query(f"WITH {USAGE} SELECT repo, day AS value, count(*) AS n FROM v_u GROUP BY ALL")

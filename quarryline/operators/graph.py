@@ -146,3 +146,9 @@ def cycles(edges: DataFrame) -> DataFrame:
         return edges.select(F.col("src").alias("node"), F.col("dst").alias("component")).limit(0)
     many = done.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1")
     return done.join(many, "component").select("node", F.col("first").alias("component"))
+
+
+def cycle_list(members: DataFrame, limit: int | None = None) -> DataFrame:
+    """(component, size, paths): cycles by size, then by their first file. members: ``cycles``."""
+    out = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_list("node")).alias("paths")).orderBy(F.desc("size"), "component")
+    return out if limit is None else out.limit(limit)

@@ -32,6 +32,13 @@ class Store:
         path = f"{self.root}/v{version or self.current()}/{table}"
         return self.spark.read.parquet(path) if os.path.exists(path) else None
 
+    def tables(self) -> list[str]:
+        return sorted(os.listdir(f"{self.root}/v{self.current()}")) if self.current() else []
+
+    def size(self, table: str) -> int:
+        """Bytes of a table of the current snapshot."""
+        return sum(os.path.getsize(os.path.join(f, n)) for f, _, ns in os.walk(f"{self.root}/v{self.current()}/{table}") for n in ns)
+
     def commit(self, tables: dict[str, DataFrame], keep: int = 2) -> int:
         """Write all tables of a new snapshot, then move the pointer in one rename; an error leaves the old one."""
         v = self.current() + 1

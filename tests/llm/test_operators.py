@@ -529,3 +529,32 @@ def test_components(spark, seed):
     want = brute.components({x for p in e for x in p}, e)
     got = {x.node: x.component for x in components.components(spark.createDataFrame(e, "a long, b long")).collect()}
     assert got == {k: v for k, v in want.items() if k != v}
+
+
+def test_written_tables_go_when_nothing_reads_them(spark):
+    import os
+
+    from quarryline.llm import common
+
+    folder = f"{common.posix(common.shared_dir(spark))}/quarryline"
+    there = lambda: set(os.listdir(folder)) if os.path.exists(folder) else set()
+    before = there()
+
+    @common.tidy
+    def inner(df):
+        a = common.materialize(df, "inner-a")
+        return common.materialize(a.filter("id > 1"), "inner-b"), a.count()
+
+    @common.tidy
+    def outer(df):
+        b, n = inner(df)
+        return b.join(common.materialize(b.withColumn("n", b.id * n), "outer-c"), "id")
+
+    @common.tidy
+    def number(df):
+        return common.materialize(df, "number").count()
+
+    out = outer(spark.range(4))
+    left = sorted(x.rsplit("-", 1)[0] for x in there() - before)
+    assert left == ["inner-b", "outer-c"] and sorted((r.id, r.n) for r in out.collect()) == [(2, 8), (3, 12)]
+    assert number(spark.range(3)) == 3 and sorted(x.rsplit("-", 1)[0] for x in there() - before) == left

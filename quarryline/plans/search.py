@@ -239,7 +239,7 @@ def candidates(plans: DataFrame, files: DataFrame, chunks: DataFrame, symbols: D
     f = files.select("file_id", "path", "language", "size")
     fixed = path_matches(plans, f, limit).unionByName(basename_terms(plans, f)).unionByName(endpoint_routes(plans, f, symbols)).unionByName(role_intents(plans, f, chunks))
     ck, sy = chunk_docs(f, chunks), symbol_docs(f, symbols)
-    stored = stored or index_tables(f, chunks, symbols)
+    stored = stored or {t: cut(df) for t, df in index_tables(f, chunks, symbols).items()}
     depth = max(2 * limit, CODE_SCAN)
     ch = tier_hits(plans, stored["chunk_postings"].drop("path"), stored["chunk_lengths"].drop("path"), depth)
     sh = tier_hits(plans, stored["symbol_postings"].drop("path"), stored["symbol_lengths"].drop("path"), limit)

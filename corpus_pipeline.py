@@ -39,7 +39,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     ship(spark)
     keyed = _keyed(docs)
     kept = quality.judge(keyed, others=["_k", "_t"]).filter("kept").select("_k", "_t").distinct()
-    return keyed.join(kept, ["_k", "_t"], "left_semi").select(*COLUMNS)
+    # The hashed side has no texts; a merge join would sort them.
+    return keyed.join(kept.hint("shuffle_hash"), ["_k", "_t"], "left_semi").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,20 +54,24 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that of the smallest id; rows repeated in full are one document."""
     ship(spark)
     keyed = _keyed(docs)
-    names = materialize(keyed.select("_k", "_t").distinct(), "names")
+    names = materialize(keyed.groupBy("_k", "_t").agg(F.count(F.lit(1)).alias("_c")), "names")
     if names.groupBy("_k").count().filter("count > 1").take(1):
         # Rows of one id and different texts are nodes of their own: numbers in the order of (id, hash) stand for them.
-        numbers = materialize(names.orderBy("_k", "_t").withColumn("_n", F.monotonically_increasing_id()), "numbers")
-        keyed, node = materialize(keyed.join(numbers, ["_k", "_t"]), "numbered"), "_n"
+        names = materialize(names.orderBy("_k", "_t").withColumn("_n", F.monotonically_increasing_id()), "numbers")
+        keyed, node = materialize(keyed.join(names.drop("_c"), ["_k", "_t"]), "numbered"), "_n"
     else:
         node = "_k"
     # A null id is the smallest, as a null node is.
     kept = minhash.near_components(keyed, "doc_id" if node == "_k" else node).filter("kept").select(id_in("doc_id").alias(node)).distinct()
-    rows = keyed.join(kept, node, "left_semi")
+    # The hashed sides have no texts: those of rows that come once are neither sorted nor aggregated.
+    if not names.filter("_c > 1").take(1):
+        return keyed.join(kept.hint("shuffle_hash"), node, "left_semi").select(*COLUMNS)
+    kept = materialize(kept.join(names.select(node, "_c"), node), "kept")
+    once, again = (keyed.join(kept.filter(f"_c {x} 1").hint("shuffle_hash"), node, "left_semi") for x in ("=", ">"))
     # Of rows repeated in full one stays, whatever the order they come in.
     others = [c for c in COLUMNS if c != "text"]
-    one = rows.groupBy("_k", "_t").agg(F.min(F.struct(*others, "text")).alias("one"))
-    return one.select(*[F.col(f"one.{c}") for c in COLUMNS])
+    one = again.groupBy("_k", "_t").agg(F.min(F.struct(*others, "text")).alias("one"))
+    return once.select(*COLUMNS).unionByName(one.select(*[F.col(f"one.{c}") for c in COLUMNS]))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,3 +63,28 @@ def test_an_empty_table_and_other_columns(spark, tmp_path):
     assert C.run(spark, sf).count() == 0
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert C.quality_rules(spark, docs, sf).columns == C.COLUMNS
+
+
+def test_texts_are_not_sorted(spark):
+    """Verdicts and classes meet the texts as hashed tables of ids; only rows repeated in full are aggregated."""
+    r = random.Random(9)
+    texts = [" ".join(r.choice("abcdefghij") * r.randint(3, 7) for _ in range(120)) for _ in range(5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(k, t, "en", "b", len(t)) for k, t in enumerate(texts)] + [(9, texts[1], "en", "b", len(texts[1]))]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    docs = spark.createDataFrame(rows, schema)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        how = plan(C.quality_rules(spark, docs, ""))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "ShuffledHashJoin" in how and "Sort" not in how
+    out = C.near_dedup(spark, docs, "")
+    assert "ShuffledHashJoin" in plan(out) and "Sort" not in plan(out)
+    assert sorted(map(tuple, out.collect())) == rows[:5]
+    # Some rows repeated in full: the least of each stays, next to those that come once.
+    again = [(2, texts[2], "en", "a", len(texts[2])), (2, texts[2], "de", "c", len(texts[2])), rows[3]]
+    want = sorted([*rows[:2], again[1], *rows[3:5]])
+    for order in (rows + again, again[::-1] + rows):
+        assert sorted(map(tuple, C.near_dedup(spark, spark.createDataFrame(order, schema).repartition(3), "").collect())) == want

@@ -7,8 +7,8 @@ import posixpath
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -22,6 +22,13 @@ _PY = re.compile(_HEAD + r"from\s+(\.+)" + r"([A-Za-z_][.\w]*)?" + r"\s+import\s
 _C = re.compile(_HEAD + r"#\s*include\s*" + r'"([^"]+)"')
 IMPORTED = "ts tsx js jsx mjs cjs json yaml yml md py".split()
 INCLUDED = "h hh hpp hxx c cc cpp cxx".split()
+EXTENSION = r"\.[^/.]+$"
+#: What may follow a path without an extension, best first, by the form of a reference.
+ENDINGS = {"include": [f".{e}" for e in INCLUDED], "py": [".py", "/__init__.py"], "js": [*(f".{e}" for e in IMPORTED), "/__init__.py", *(f"/index.{e}" for e in IMPORTED)]}
+#: What may be meant by a path that ends in .js.
+TYPED = [".ts", ".tsx"]
+#: References in a batch that leaves a task's Python.
+BATCH = 10_000
 
 
 def family(language: str, path: str) -> str | None:
@@ -39,10 +46,14 @@ def extract_one(text: str, language: str, path: str) -> list[tuple[str, str, int
     """(kind, specifier, first line, last line), one per kind and specifier: the first pattern's first match."""
     out: dict[tuple[str, str], tuple[int, int]] = {}
     kind = family(language or "", path)
+    at, line = 0, 1
 
     def add(what: str, spec: str, m: re.Match) -> None:
-        first = text.count("\n", 0, m.start()) + 1
-        out.setdefault((what, spec), (first, first + m[0].count("\n")))
+        nonlocal at, line
+        if m.start() < at:  # another pattern starts over
+            at, line = 0, 1
+        line, at = line + text.count("\n", at, m.start()), m.start()
+        out.setdefault((what, spec), (line, line + m[0].count("\n")))
 
     clean = lambda s: re.split(r"[?#]", s, maxsplit=1)[0].strip()
     if kind == "js":
@@ -75,27 +86,29 @@ def inside(path: str) -> str | None:
 
 
 def _has_extension(path: str) -> bool:
-    return bool(re.search(r"\.[^/.]+$", path))
+    return bool(re.search(EXTENSION, path))
+
+
+def form(kind: str, path: str, language: str) -> str:
+    """Which endings a reference's paths may get."""
+    return "include" if kind == "include" else "py" if family(language, path) == "py" else "js"
+
+
+def bases(kind: str, path: str, spec: str, aliases: list[str] | None = None) -> list[str]:
+    """The paths that a reference names, before any ending: one, or several by aliases, best first."""
+    if kind != "include" and not spec.startswith("."):
+        return list(dict.fromkeys(aliases or []))
+    local = inside(posixpath.join(posixpath.dirname(path), spec))
+    return [local] if local else []
 
 
 def candidates(kind: str, path: str, language: str, spec: str, aliases: list[str] | None = None) -> list[str]:
     """Paths that a reference may mean, best first."""
-    at = posixpath.dirname(path)
-    if kind == "include":
-        base = inside(posixpath.join(at, spec))
-        return [] if not base else [base] if _has_extension(base) else [base, *(f"{base}.{e}" for e in INCLUDED)]
-    local = inside(posixpath.join(at, spec)) if spec.startswith(".") else None
-    bases = [local] if local else [] if spec.startswith(".") else list(aliases or [])
-    out: list[str] = []
-    for b in bases:
-        out.append(b)
-        if family(language, path) == "py":
-            out += [] if _has_extension(b) else [f"{b}.py", f"{b}/__init__.py"]
-            continue
-        if b.endswith(".js"):
-            out += [b[:-3] + ".ts", b[:-3] + ".tsx"]
-        if not _has_extension(b):
-            out += [*(f"{b}.{e}" for e in IMPORTED), f"{b}/__init__.py", *(f"{b}/index.{e}" for e in IMPORTED)]
+    f, out = form(kind, path, language), []
+    for b in bases(kind, path, spec, aliases):
+        out += [b] if _has_extension(b) else [b, *(b + e for e in ENDINGS[f])]
+        if f == "js" and b.endswith(".js"):
+            out += [b[:-3] + e for e in TYPED]
     return list(dict.fromkeys(out))
 
 
@@ -146,29 +159,72 @@ def alias_paths(rules: list[dict], path: str, spec: str) -> list[str]:
 
 
 def extract(df: DataFrame, rules: list[dict] | None = None) -> DataFrame:
-    """(path, kind, specifier, line_start, line_end, ref, candidates) of files (path, language, text)."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for path, language, text in f[["path", "language", "text"]].itertuples(index=False):
-                for ref, (kind, spec, a, b) in enumerate(extract_one(text or "", language or "", path)):
-                    aliases = alias_paths(rules, path, spec) if rules and family(language or "", path) == "js" else None
-                    rows.append((path, kind, spec, a, b, ref, candidates(kind, path, language or "", spec, aliases)))
-            yield pd.DataFrame(rows, columns=["path", "kind", "specifier", "line_start", "line_end", "ref", "candidates"])
-
-    return df.mapInPandas(run, "path string, kind string, specifier string, line_start int, line_end int, ref int, candidates array<string>")
-
-
-def resolve(references: DataFrame, files: DataFrame) -> DataFrame:
-    """References with ``target``, the first candidate that exists; others are left out."""
-    c = references.select("path", "kind", "specifier", "line_start", "line_end", "ref", F.posexplode("candidates").alias("ord", "target"))
-    hit = c.join(files.select(F.col("path").alias("target")).distinct(), "target")
+    """(path, kind, specifier, line_start, line_end, ref, form, bases) of files (path, language, text).
+
+    Texts are read one by one, and what is found leaves in batches, however much a file refers to.
+    """
+    names = ["path", "kind", "specifier", "line_start", "line_end", "ref", "form", "bases"]
+    types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols: list[list] = [[] for _ in names]
+
+        def batch() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+            for c in cols:
+                c.clear()
+            return made
+
+        for f in batches:
+            for path, language, text in zip(*(f.column(c) for c in ("path", "language", "text"))):
+                path, language = path.as_py(), language.as_py() or ""
+                js = rules and family(language, path) == "js"
+                for ref, (kind, spec, a, b) in enumerate(extract_one(text.as_py() or "", language, path)):
+                    aliases = alias_paths(rules, path, spec) if js else None
+                    for c, x in zip(cols, (path, kind, spec, a, b, ref, form(kind, path, language), bases(kind, path, spec, aliases))):
+                        c.append(x)
+                    if len(cols[0]) >= BATCH:
+                        yield batch()
+        yield batch()
+
+    schema = "path string, kind string, specifier string, line_start int, line_end int, ref int, form string, bases array<string>"
+    return df.select("path", "language", "text").mapInArrow(run, schema)
+
+
+def named_by(files: DataFrame) -> DataFrame:
+    """(form, base, target): for each form of references, the first existing file that a base means: ``candidates`` read backwards."""
+    p = F.col("path")
+    row = lambda f, base, n: F.struct(F.lit(f).alias("form"), base.alias("base"), F.lit(n).alias("n"))
+    cutting = lambda end: F.substring(p, F.lit(1), F.length(p) - len(end))
+
+    def ending(f: str, n: int, end: str) -> Column:
+        return F.when(F.endswith(p, F.lit(end)) & (cutting(end) != "") & ~cutting(end).rlike(EXTENSION), row(f, cutting(end), n))
+
+    rows = [row(f, p, 0) for f in ENDINGS] + [ending(f, n, e) for f, ends in ENDINGS.items() for n, e in enumerate(ends, 1)]
+    rows += [F.when(F.endswith(p, F.lit(e)), row("js", F.concat(cutting(e), F.lit(".js")), n)) for n, e in enumerate(TYPED, 1)]
+    x = files.select("path", F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("x"))
+    return x.groupBy("x.form", "x.base").agg(F.min(F.struct("x.n", "path")).alias("m")).select("form", "base", F.col("m.path").alias("target"))
+
+
+def resolve(references: DataFrame, files: DataFrame, aliased: bool = True) -> DataFrame:
+    """References with ``target``, the first candidate that exists; others are left out.
+
+    Files say which bases they are meant by, so that a reference meets one row for each of its bases, not one for each candidate.
+    aliased: whether references may have several bases (those of aliases); such ones are read once more.
+    """
+    rows = ["path", "kind", "specifier", "line_start", "line_end", "ref"]
+    meant = named_by(files)
+    found = lambda refs, *more: refs.join(meant, ["base", "form"]).select(*rows, *more, "base", "form", "target").distinct().select(*rows, *more, "target")
+    one = references.filter("size(bases) = 1") if aliased else references
+    out = found(one.select(*rows, "form", F.explode("bases").alias("base")))
+    if not aliased:
+        return out
+    several = found(references.filter("size(bases) > 1").select(*rows, "form", F.posexplode("bases").alias("ord", "base")), "ord")
     first = W.partitionBy("path", "ref").orderBy("ord")
-    return hit.withColumn("rn", F.row_number().over(first)).filter("rn = 1").drop("rn", "ord")
+    return out.unionByName(several.withColumn("rn", F.row_number().over(first)).filter("rn = 1").drop("rn", "ord"))
 
 
 def edges(resolved: DataFrame) -> DataFrame:
-    """(src, dst, kind, specifier, line_start, line_end): edges by natural key, no loops."""
+    """(src, dst, kind, specifier, line_start, line_end): edges by natural key, no loops. resolved: ``resolve``, which has a key once."""
     kind = F.when(F.col("kind") == "include", "includes").otherwise("imports")
-    return resolved.filter("path <> target").select(F.col("path").alias("src"), F.col("target").alias("dst"), kind.alias("kind"), "specifier", "line_start", "line_end").distinct()
+    return resolved.filter("path <> target").select(F.col("path").alias("src"), F.col("target").alias("dst"), kind.alias("kind"), "specifier", "line_start", "line_end")

@@ -11,7 +11,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA_VERSION, INDEX_VERSION, GRAPH_VERSION = "1", "9", "2"
+SCHEMA_VERSION, INDEX_VERSION, GRAPH_VERSION = "1", "9", "3"
 
 
 class Store:

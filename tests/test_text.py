@@ -73,6 +73,29 @@ def test_resolution_and_edges(spark):
     assert [(r.src, r.dst, r.kind) for r in e] == [("a.ts", "b.tsx", "imports")]
 
 
+def test_resolution_takes_the_first_candidate_of_each_form(spark):
+    """Read backwards from the files, as candidates in order would find it: with aliases, endings, folders and repeated rows."""
+    rows = [
+        ("a/m.ts", "typescript", "import './n'\nimport './p'\nimport '@/n'\nimport './q.js'\nimport './none'"), ("a/n/index.ts", "typescript", ""), ("a/n.json", "json", ""), ("a/p/__init__.py", "py", ""), ("lib/n.md", "markdown", ""), ("app/n.js", "javascript", ""), ("a/q.tsx", "typescript", ""),
+        ("a/u.py", "py", "from . import n, p\nfrom .k import z"), ("a/k.py", "py", ""), ("a/k.ts", "typescript", ""), ("a/v.c", "c", '#include "w"\n#include "k"'), ("a/w.hpp", "cpp", ""), ("a/w.c", "c", ""),
+    ]
+    f = spark.createDataFrame(rows + rows[:1], "path string, language string, text string")
+    rules = references.alias_rules("tsconfig.json", '{"compilerOptions": {"paths": {"@/*": ["app/*", "lib/*"]}}}')
+    got = sorted((r.src, r.dst) for r in references.edges(references.resolve(references.extract(f, rules), f)).collect())
+    there, want = {p for p, _, _ in rows}, set()
+    for path, lang, text in rows:
+        for kind, spec, _, _ in references.extract_one(text, lang, path):
+            want |= {(path, next(c for c in found)) for found in [[c for c in references.candidates(kind, path, lang, spec, references.alias_paths(rules, path, spec)) if c in there]] if found}
+    assert got == sorted(want) and ("a/m.ts", "app/n.js") in want and ("a/m.ts", "a/n.json") in want and ("a/u.py", "a/p/__init__.py") in want and ("a/v.c", "a/w.hpp") in want
+
+
+def test_references_of_large_files(spark):
+    """Tens of thousands of references leave in batches, with the path they name and not with all that it may mean."""
+    f = spark.range(8).selectExpr("concat('a/', id, '.ts') AS path", "'typescript' AS language", """array_join(transform(sequence(1, 4000), i -> concat('require("./x', i, '")')), '\n') AS text""").coalesce(1)
+    out = references.extract(f)
+    assert out.count() == 32_000 and out.filter("bases = array(concat('a/x', line_start)) and line_end = line_start and ref = line_start - 1").count() == 32_000
+
+
 def test_plan():
     p = plan_query('find "exact words" getUserName in src/app.ts')
     assert p.phrases == ["exact words"] and p.path_like and "getusername" in p.terms and "user" in p.terms

@@ -1,15 +1,13 @@
-"""Positional inverted index and Okapi BM25 over it (k1 1.2, b 0.75), for many queries at once."""
+"""Positional inverted index, as it is stored; ``matching`` reads it, or texts themselves, with many queries at once."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quarryline.functions.text import tokens
 
-K1, B = 1.2, 0.75
-
 
 def index(df: DataFrame, doc: str, columns: list[str]) -> DataFrame:
     """(doc, col, term, positions, tf): a row per document, column and term."""
@@ -26,53 +24,12 @@ def stats(df: DataFrame, doc: str, columns: list[str]) -> DataFrame:
     return df.select(F.col(doc).alias("doc"), n.cast("long").alias("len"))
 
 
-def idf(n: Column, df: Column) -> Column:
-    return F.log(1 + (n - df + 0.5) / (df + 0.5))
-
-
-def bm25(postings: DataFrame, lengths: DataFrame, queries: DataFrame, require_all: bool = False) -> DataFrame:
-    """(query_id, doc, bm25, matched): queries are (query_id, term) rows. Larger is better.
-
-    Frequencies are aggregated first, so that only the query's terms meet the postings; queries are the small side, and
-    whether they are broadcast is left to their measured size.
-    """
-    total = lengths.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("avg")).first()
-    n, avg = total.n or 0.0, total.avg or 1.0
-    terms = queries.select("query_id", "term").distinct()
-    need = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"))
-    tf = postings.groupBy("doc", "term").agg(F.sum("tf").alias("tf")).join(terms.select("term").distinct(), "term", "left_semi")
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weight = tf.join(df, "term").join(lengths, "doc").select("doc", "term", (idf(F.lit(n), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg))).alias("w"))
-    hits = weight.join(terms, "term").groupBy("query_id", "doc").agg(F.sum("w").alias("bm25"), F.count(F.lit(1)).alias("matched"))
-    if require_all:
-        hits = hits.join(need, "query_id").filter("matched = wanted").drop("wanted")
-    return hits
-
-
 def top(hits: DataFrame, k: int, by: str = "bm25") -> DataFrame:
     """The best ``k`` documents of each query; ties (to six digits) go to the smaller document."""
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round(by, 6)), "doc"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def phrase(postings: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(query_id, doc): documents with a phrase's words next to each other in one column. phrases: (query_id, words).
-
-    The rarest word of a phrase says which documents come into question; for these the positions of all its words,
-    less their offsets, are intersected row by row.
-    """
-    want = phrases.filter("size(words) > 0").select("query_id", F.size("words").alias("n"), F.posexplode("words").alias("off", "term"))
-    rows = postings.join(want.select("term").distinct(), "term", "left_semi")
-    df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rare = want.join(df, "term").groupBy("query_id", "n").agg(F.count_distinct("off").alias("met"), F.min_by("term", F.struct("df", "term")).alias("term")).filter("met = n").select("query_id", "term")
-    some = rows.select("doc", "col", "term").join(rare, "term").select("query_id", "doc", "col").distinct()
-    hit = rows.join(want.join(rare.select("query_id"), "query_id", "left_semi"), "term").join(some, ["query_id", "doc", "col"], "left_semi")
-    hit = hit.select("query_id", "doc", "col", "n", F.transform("positions", lambda p: p - F.col("off")).alias("at"))
-    every = hit.groupBy("query_id", "doc", "col", "n").agg(F.collect_list("at").alias("at")).filter("size(at) = n")
-    starts = F.aggregate("at", F.col("at")[0], lambda acc, x: F.array_intersect(acc, x))
-    return every.filter(F.size(starts) > 0).select("query_id", "doc").distinct()
-
-
 def terms_of(terms: DataFrame, prefixes: DataFrame) -> DataFrame:
     """(query_id, prefix, term): the terms that start with a prefix. terms: (term), each once; prefixes: (query_id, prefix).
 
@@ -83,9 +40,3 @@ def terms_of(terms: DataFrame, prefixes: DataFrame) -> DataFrame:
     t = terms.filter("length(term) > 1").select("term", heads.alias("head"))
     q = prefixes.filter("length(prefix) > 1").select("query_id", "prefix", F.substring("prefix", 1, 4).alias("head"))
     return t.join(q, "head").filter(F.startswith("term", "prefix")).select("query_id", "prefix", "term").distinct()
-
-
-def prefix(postings: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(query_id, doc): documents with a term that starts with the prefix. prefixes: (query_id, prefix)."""
-    found = terms_of(postings.select("term").distinct(), prefixes).select("query_id", "term").distinct()
-    return postings.select("doc", "term").distinct().join(found, "term").select("query_id", "doc").distinct()

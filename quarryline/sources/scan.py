@@ -7,6 +7,7 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,11 @@ from quarryline.functions import paths
 from quarryline.sources.ignore import ignored_by
 
 
+RENAMED = {"R", "C"}
+#: Entries of a status that leave together.
+ITEMS = 10_000
+
+
 def tree(root: str, prefix: str = "") -> Iterator[tuple[str, int, float]]:
     """(path, size, time in ms) of all files below ``root``, without links; skipped folders are not entered."""
     base = root.removeprefix("file://").rstrip("/")
@@ -93,19 +99,27 @@ def deletions(indexed: DataFrame, seen: DataFrame, prefix: str, complete: Column
 def porcelain(df: DataFrame, col: str = "status") -> DataFrame:
     """(path, code, state) of NUL-separated ``git status --porcelain -z`` output, one row per text.
 
-    An entry with R or C is followed by the old name, which is left out: the fold marks each item as entry or old name.
+    An entry with R or C is followed by the old name, which is left out. Items are read one after another and leave in batches.
     """
-    parts = F.filter(F.split(F.col(col), "\0"), lambda x: x != "")
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("skip"))
-    fold = F.aggregate(
-        parts, start,
-        lambda a, x: F.struct(
-            F.when(a["skip"], a["out"]).otherwise(F.concat(a["out"], F.array(x))).alias("out"),
-            (~a["skip"] & F.substring(x, 1, 2).rlike("[RC]")).alias("skip"),
-        ),
-        lambda a: a["out"],
-    )
-    items = df.select(F.explode(fold).alias("x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                out, old = [], False
+                for x in (text.as_py() or "").split("\0"):
+                    if not x:
+                        continue
+                    if old:
+                        old = False
+                        continue
+                    old = not RENAMED.isdisjoint(x[:2])
+                    out.append(x)
+                    if len(out) >= ITEMS:
+                        yield pa.RecordBatch.from_pydict({"x": out})
+                        out = []
+                yield pa.RecordBatch.from_pydict({"x": pa.array(out, pa.string())})
+
+    items = df.select(F.col(col).cast("string")).mapInArrow(run, "x string")
     code = F.substring("x", 1, 2)
     state = (
         F.when(F.contains(code, F.lit("D")), "deleted").when(F.contains(code, F.lit("M")), "modified").when(F.contains(code, F.lit("A")), "added")

@@ -96,6 +96,15 @@ def test_references_of_large_files(spark):
     assert out.count() == 32_000 and out.filter("bases = array(concat('a/x', line_start)) and line_end = line_start and ref = line_start - 1").count() == 32_000
 
 
+def test_long_status_in_one_pass(spark, monkeypatch):
+    """A status of many entries takes time in proportion to them; old names go, in every batch, and empty ones are none."""
+    text = "".join(f"R  new/{i} a.ts\0R  old/{i}\0 M x/{i}\0\0" for i in range(60_000))
+    df = spark.createDataFrame([(text,), (None,), ("",), ("?? R\0CC b\0c",)], "status string")
+    out = scan.porcelain(df)
+    assert out.count() == 120_002 and out.filter("startswith(path, 'old/') or path = ''").count() == 0
+    assert sorted((r.path, r.code, r.state) for r in out.filter("path not like '%/%'").collect()) == [("R", "??", "untracked"), ("b", "CC", "copied")]
+
+
 def test_plan():
     p = plan_query('find "exact words" getUserName in src/app.ts')
     assert p.phrases == ["exact words"] and p.path_like and "getusername" in p.terms and "user" in p.terms

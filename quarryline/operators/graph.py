@@ -96,43 +96,50 @@ def shortest_paths(starts: DataFrame, edges: DataFrame, hops: int = 2) -> DataFr
     return reached
 
 
+def _ends(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(n): nodes where a walk of ``HOPS`` edges from ``a`` to ``b`` ends; each step has the one before once, so that plans stay short."""
+    out = edges.select(F.col(b).alias("n")).distinct()
+    for _ in range(HOPS - 1):
+        out = edges.join(out, F.col(a) == F.col("n"), "left_semi").select(F.col(b).alias("n")).distinct()
+    return out
+
+
 def cycles(edges: DataFrame) -> DataFrame:
     """(node, component): strongly connected components of more than one node, named by their smallest node.
 
     Trim and colour: nodes without incoming or outgoing edges go, again and again; then every node takes the
     smallest node that reaches it, and those that reach that one back form a component; it leaves, and so on.
+    Every node also leads to itself, so that a step keeps what it starts from without reading it twice.
     """
     e = cut(edges.select("src", "dst").filter("src <> dst").distinct())
     done: DataFrame | None = None
-    while e.take(1):
-        n = e.count()
+    n = e.count()
+    while n:
         while True:
-            for _ in range(HOPS):
-                e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-                e = e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-            e = cut(e)
-            left = e.count()
-            if left == n:
+            for a, b in (("src", "dst"), ("dst", "src")):
+                e = cut(e.join(_ends(e, a, b), F.col(a) == F.col("n"), "left_semi"))
+            before, n = n, e.count()
+            if n == before:
                 break
-            n = left
         if not n:
             break
         colour = cut(e.select(F.col("src").alias("n")).distinct().withColumn("c", F.col("n")))
+        loops = cut(e.unionByName(colour.select(F.col("n").alias("src"), F.col("n").alias("dst"))))
         while True:
             pushed = colour
             for _ in range(HOPS):
-                pushed = e.join(pushed, e.src == pushed.n).select(F.col("dst").alias("n"), "c").unionByName(pushed).groupBy("n").agg(F.min("c").alias("c"))
+                pushed = loops.join(pushed, F.col("src") == F.col("n")).groupBy(F.col("dst").alias("n")).agg(F.min("c").alias("c"))
             pushed = cut(pushed)
-            moved = pushed.join(colour.withColumnRenamed("c", "old"), "n").filter("c <> old").take(1)
+            moved = pushed.join(colour.withColumnRenamed("c", "old"), "n").filter("c <> old").limit(1).count()
             colour = pushed
             if not moved:
                 break
         back = cut(colour.filter("n = c").select("n", "c"))
-        within = cut(e.join(colour.withColumnRenamed("n", "src"), "src").withColumnRenamed("c", "cs").join(colour.withColumnRenamed("n", "dst"), "dst").filter("cs = c").select("src", "dst", "c"))
+        within = cut(loops.join(colour.withColumnRenamed("n", "src"), "src").withColumnRenamed("c", "cs").join(colour.withColumnRenamed("n", "dst"), "dst").filter("cs = c").select("src", "dst", "c"))
         have = back.count()
         while True:
             for _ in range(HOPS):
-                back = within.join(back.select(F.col("n").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("n"), "c").unionByName(back).distinct()
+                back = within.join(back.select(F.col("n").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("n"), "c").distinct()
             back = cut(back)
             more = back.count()
             if more == have:
@@ -142,6 +149,7 @@ def cycles(edges: DataFrame) -> DataFrame:
         done = found if done is None else done.unionByName(found)
         gone = back.select("n")
         e = cut(e.join(gone.withColumnRenamed("n", "src"), "src", "left_anti").join(gone.withColumnRenamed("n", "dst"), "dst", "left_anti").select("src", "dst"))
+        n = e.count()
     if done is None:
         return edges.select(F.col("src").alias("node"), F.col("dst").alias("component")).limit(0)
     many = done.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1")

@@ -105,6 +105,20 @@ def test_long_status_in_one_pass(spark, monkeypatch):
     assert sorted((r.path, r.code, r.state) for r in out.filter("path not like '%/%'").collect()) == [("R", "??", "untracked"), ("b", "CC", "copied")]
 
 
+def test_cycles_have_short_plans(spark, monkeypatch):
+    """What is written reads each table a few times for its steps, not twice or four times as often with each step."""
+    n, sizes, write = 30, [], graph.cut
+    e = [(f"a{i:02}", f"a{(i + 1) % n:02}") for i in range(n)] + [(f"a{i:02}", f"b{i:02}") for i in range(9)] + [(f"b{i:02}", f"b{i + 1:02}") for i in range(9)] + [("b09", "c1"), ("c1", "c2"), ("c2", "b09"), ("x", "a00"), ("x", "x")]
+
+    def cut(df):
+        sizes.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation"))
+        return write(df)
+
+    monkeypatch.setattr(graph, "cut", cut)
+    got = {(r.node, r.component) for r in graph.cycles(spark.createDataFrame(e, "src string, dst string")).collect()}
+    assert got == {(f"a{i:02}", "a00") for i in range(n)} | {(x, "b09") for x in ("b09", "c1", "c2")} and max(sizes) <= 2 * graph.HOPS + 2
+
+
 def test_plan():
     p = plan_query('find "exact words" getUserName in src/app.ts')
     assert p.phrases == ["exact words"] and p.path_like and "getusername" in p.terms and "user" in p.terms

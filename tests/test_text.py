@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quarryline.functions import paths, shell, text
 from quarryline.operators import chunk, context, graph, references, symbols
 from quarryline.operators.readplan import plan
+from quarryline.plans import views
 from quarryline.plans.query_plan import plan_query
 from quarryline.sources import ignore, scan
 
@@ -119,6 +120,21 @@ def test_cycles_have_short_plans(spark, monkeypatch):
     assert got == {(f"a{i:02}", "a00") for i in range(n)} | {(x, "b09") for x in ("b09", "c1", "c2")} and max(sizes) <= 2 * graph.HOPS + 2
 
 
+def test_neighbours_are_read_from_tables(spark):
+    """The plan of all kinds of neighbours together has a table of each."""
+    f = spark.createDataFrame([("src/a.ts", 1), ("src/a.test.ts", 1), ("README.md", 1)], "path string, size long")
+    e = spark.createDataFrame([("src/a.test.ts", "src/a.ts", "imports", None, 1, 1)], "src string, dst string, kind string, specifier string, line_start int, line_end int")
+    rel = context.related(f.select(F.col("path").alias("target")), f, e)
+    plan = rel._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") <= 13 and plan.count("Window") == 0
+    assert ("src/a.ts", "src/a.test.ts", "sibling_test") in {(r.target, r.path, r.reason) for r in rel.collect()}
+
+
+def test_pairs_are_told_apart_behind_the_shuffle(spark):
+    plan = views.repo_edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "HashAggregate" not in plan.split("Exchange")[1]
+
+
 def test_plan():
     p = plan_query('find "exact words" getUserName in src/app.ts')
     assert p.phrases == ["exact words"] and p.path_like and "getusername" in p.terms and "user" in p.terms
